@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quern.llm import oracles
 from quern.llm.media import media_features, store_media
 from quern.llm.mixing import mix_sources
+from quern.llm.neardup import near_duplicates
 from quern.llm.pieces import piece_digests
 from quern.llm.reputation import judge_urls, url_host
 from quern.sources.tables import load
@@ -34,6 +35,10 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.withColumn("feature", F.lower(F.hex("feature"))).withColumnRenamed("id", "doc_id")
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(load(spark, sf_dir, "documents"))
+
+
 def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels are the documents' of the same number: a page is bad where quality is 0 or toxic is 1."""
     pages = load(spark, sf_dir, "pages").select("page_id", "url")
