@@ -12,6 +12,7 @@ from quern.llm.media import media_features, store_media
 from quern.llm.mixing import mix_sources
 from quern.llm.neardup import near_duplicates
 from quern.llm.pieces import piece_digests
+from quern.llm.quality import assess_quality
 from quern.llm.reputation import judge_urls, url_host
 from quern.sources.tables import load
 
@@ -35,6 +36,10 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.withColumn("feature", F.lower(F.hex("feature"))).withColumnRenamed("id", "doc_id")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assess_quality(load(spark, sf_dir, "documents"), carry=False).drop("outlier_distance")
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"))
 
