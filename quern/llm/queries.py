@@ -11,6 +11,7 @@ from quern.llm import oracles
 from quern.llm.media import media_features, store_media
 from quern.llm.mixing import mix_sources
 from quern.llm.neardup import near_duplicates
+from quern.llm.pii import KINDS, find_personal_data, joined
 from quern.llm.pieces import piece_digests
 from quern.llm.quality import assess_quality
 from quern.llm.reputation import judge_urls, url_host
@@ -44,6 +45,12 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"))
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(load(spark, sf_dir, "documents"))
+    count = lambda i: F.size(F.filter("base", lambda x: x["k"] == i)).cast("long")
+    return found.select(F.col("_row.doc_id"), *(count(i).alias(f"n_{k}") for i, k in enumerate(KINDS[:4])), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels are the documents' of the same number: a page is bad where quality is 0 or toxic is 1."""
     pages = load(spark, sf_dir, "pages").select("page_id", "url")
