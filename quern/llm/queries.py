@@ -15,6 +15,7 @@ from quern.llm.pii import KINDS, find_personal_data, joined
 from quern.llm.pieces import piece_digests
 from quern.llm.quality import assess_quality
 from quern.llm.reputation import judge_urls, url_host
+from quern.llm.toxicity import score_toxicity
 from quern.sources.tables import load
 
 
@@ -51,6 +52,10 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("_row.doc_id"), *(count(i).alias(f"n_{k}") for i, k in enumerate(KINDS[:4])), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels are the documents' of the same number: a page is bad where quality is 0 or toxic is 1."""
     pages = load(spark, sf_dir, "pages").select("page_id", "url")
