@@ -63,3 +63,47 @@ FROM r
 """
 
 SQL = {"op2_mix_sources": OP2, "op10_url_reputation": OP10}
+
+
+def _canonical(text: str) -> str:
+    from quern.llm.licenses import LOWER, SPELLINGS, UPPER
+
+    out = rf"regexp_replace(translate({text}, '{UPPER}', '{LOWER}'), '(?m)^[\x09\x20]*(?:copyright\b|\(c\)|\x{{A9}})[^\n]*$', '', 'g')"
+    out = rf"regexp_replace(' ' || regexp_replace({out}, '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+', ' ', 'g') || ' ', ' +', ' ', 'g')"
+    for other, one in SPELLINGS:
+        out = f"replace({out}, ' {other} ', ' {one} ')"
+    return f"sha256(trim({out}))"
+
+
+def _op6() -> str:
+    from quern.llm.licenses import LICENSES, NOTICES
+
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    whole = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in LICENSES.items())
+    lines = ", ".join(f"({quoted(k)}, {quoted(t)})" for k, ts in NOTICES.items() for t in ts)
+    return rf"""
+WITH w AS (SELECT l, {_canonical('t')} AS d FROM (VALUES {whole}) AS v(l, t)),
+n AS (SELECT l, {_canonical('t')} AS d FROM (VALUES {lines}) AS v(l, t)),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+x AS (SELECT r, unnest(string_split(text, chr(10))) AS t FROM d),
+m AS (SELECT DISTINCT r, n.l FROM (SELECT r, {_canonical('t')} AS d FROM x WHERE regexp_matches(t, '(?i)licen[sc]e')) AS y JOIN n USING (d)),
+a AS (SELECT r, string_agg(l, ',' ORDER BY l) AS notices FROM m GROUP BY r),
+c AS (SELECT r, doc_id, {_canonical('text')} AS canonical_sha256 FROM d)
+SELECT doc_id, canonical_sha256, w.l AS license, coalesce(notices, '') AS notices
+FROM c LEFT JOIN w ON c.canonical_sha256 = w.d LEFT JOIN a ON c.r = a.r
+"""
+
+
+#: Payloads as UTF-8; digests in base 32 by groups of five bits.
+OP1 = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h)::BIGINT AS n, sha1(h) AS x, h FROM p),
+r AS (SELECT h, max(page_id) AS m FROM d GROUP BY h),
+b AS (SELECT d.page_id, d.n, r.m, array_to_string(list_transform(range(40), lambda i: lpad(bin(('0x' || substr(x, i + 1, 1))::INT), 4, '0')), '') AS bits FROM d JOIN r USING (h))
+SELECT page_id, n AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(5), lambda j: substr(bits, i * 5 + j + 1, 1)::INT * (16 >> j)))::INT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = m THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> m THEN m END AS refers_to
+FROM b
+"""
+
+SQL |= {"op1_warc": OP1, "op6_licenses": _op6()}

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import oracles
+from quern.llm.licenses import scan_licenses
 from quern.llm.media import media_features, store_media
 from quern.llm.mixing import mix_sources
 from quern.llm.neardup import near_duplicates
@@ -16,6 +17,7 @@ from quern.llm.pieces import piece_digests
 from quern.llm.quality import assess_quality
 from quern.llm.reputation import judge_urls, url_host
 from quern.llm.toxicity import score_toxicity
+from quern.llm.warc import CaptureArchive, read_back
 from quern.sources.tables import load
 
 
@@ -25,6 +27,11 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = load(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return read_back(CaptureArchive.write(pages), pages)
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(load(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -42,6 +49,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assess_quality(load(spark, sf_dir, "documents"), carry=False).drop("outlier_distance")
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(load(spark, sf_dir, "documents"))
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"))
 
