@@ -1,10 +1,57 @@
-"""A corpus pipeline."""
+"""A corpus pipeline: quality, near-duplicates, personal data, source mix, tokens.
+
+Each stage takes the documents that the one before it kept and returns
+documents, but for the last, which returns a row of token ids' digests for each
+copy that the mix took. ``run`` writes what a stage returns as Parquet in the
+folder that all executors share and reads it again for the next.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+
+from quern.llm.mixing import mixed_corpus
+from quern.llm.neardup import deduplicated
+from quern.llm.pieces import piece_digests
+from quern.llm.pii import without_personal_data
+from quern.llm.quality import well_formed
+from quern.llm.queries import piece_model
+from quern.shared import Scratch
+from quern.sources.tables import load
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return well_formed(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return deduplicated(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return without_personal_data(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixed_corpus(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return piece_digests(docs, piece_model())
+
+
+STAGES = [("quality", quality), ("near-duplicates", near_duplicates), ("personal data", personal_data), ("source mix", mix), ("tokens", tokens)]
+
+#: Shingle signatures, fitted span weights and token ids can't be expressed in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "pipeline")
+    docs = load(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        done = scratch.put(stage(spark, docs, sf_dir), f"stage{i}")
+        if i:
+            scratch.drop(docs)
+        docs = done
+    return docs
