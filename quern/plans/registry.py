@@ -2,27 +2,29 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
+MODULES = ("keyspace", "strings", "bits", "collections", "zsets", "sketches", "series", "places", "documents", "streams", "events")
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    """Register a function as the query of its own name, with the SQL that must agree with it."""
-    def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-    return add
+def add(name: str, query: Query, sql: str | None = None) -> None:
+    """Register a query with the SQL that must agree with it, if SQL can say it."""
+    if name in _QUERIES:
+        raise ValueError(f"{name} is registered twice")
+    _QUERIES[name] = query
+    if sql:
+        _SQL[name] = sql
 
 
 def _load() -> None:
-    from quern.plans import queries  # noqa: F401
+    for m in MODULES:
+        importlib.import_module(f"quern.plans.{m}")
 
 
 def queries() -> dict[str, Query]:
