@@ -12,7 +12,7 @@ characters set apart by spaces or marks are joined and restored likewise; a
 long restored word is evidence for the words it holds.
 
 A text's score is a logistic function of its evidence, plain and restored, and
-of its length. It is fitted to a sample of at most ``FIT_ROWS`` labelled texts;
+of its length. It is fitted to a sample, by hash of the id, of about ``FIT_ROWS`` labelled texts;
 the character model and the word counts use all of them. The model's size is
 bounded by ``MOST_WORDS`` and ``MOST_TRIGRAMS``.
 
@@ -38,6 +38,8 @@ from quern.shared import Scratch
 
 FOLDS, HELD_OUT = 5, 0
 FIT_ROWS = 20_000
+#: Labels up to this number are sent to every executor, so that texts needn't be shuffled to them.
+SENT_LABELS = 2_000_000
 MOST_WORDS, MOST_TRIGRAMS = 4_000, 60_000
 LEAST_TEXTS, LEAST_RATIO = 6, 20.0
 FLUSH = 200_000
@@ -223,7 +225,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     scratch = Scratch(docs.sparkSession, "toxicity")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).where("toxic IN (0, 1)").where(fold_of(F.col("id")) != held_out_fold)
-    taught = scratch.put(texts.join(marks, "id"))
+    marks = scratch.put(marks)
+    few = marks.count() <= SENT_LABELS
+    taught = scratch.put(texts.join(F.broadcast(marks) if few else marks, "id"))
     seen = {r.toxic: r.n for r in taught.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = seen.get(1, 0), seen.get(0, 0)
     weights, trigrams, fit = {}, {}, None
@@ -232,7 +236,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
         weights = _evidence(learned, toxic, clean)
         grams = learned.where("kind = 1").orderBy(F.desc("clean"), "key").limit(MOST_TRIGRAMS)
         trigrams = {r.key: r.clean for r in grams.select("key", "clean").collect()}
-        sample = taught.withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(FIT_ROWS).select("id", "text", "toxic") if toxic + clean > FIT_ROWS else taught
+        drawn = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, FIT_ROWS / (toxic + clean)))
+        sample = taught.where(F.coalesce(drawn, F.lit(True)))
         rows = _measured(sample, weights, trigrams).select("evidence", "size", "toxic").collect()
         e, s, y = (np.array([r[i] for r in rows], float) for i in range(3))
         if 0 < y.sum() < len(y):
