@@ -22,13 +22,19 @@ import heapq
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Words in each of the two generations of a worker's cache.
 CACHE_WORDS = 250_000
+#: Bytes of text that are split into words at once.
+SLICE = 1 << 20
+#: Symbols of a word up to which the agenda is a list, not a heap.
+SHORT = 40
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -58,8 +64,9 @@ class PieceModel:
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == BYTE}
         self.unknown = next(i for i, p in enumerate(proto.pieces) if p.type == UNKNOWN)
         self.by_word = not any(MARK in p.lstrip(MARK) for p in self.ids)
-        self.cache: dict[str, tuple[tuple[int, ...], str]] = {}
-        self.older: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.names = [str(i) for i in range(len(proto.pieces))]
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @classmethod
     def open(cls, path: str) -> PieceModel:
@@ -67,6 +74,24 @@ class PieceModel:
             cls._open[path] = cls(path)
         return cls._open[path]
 
+    def pieces(self, text: str) -> list[str]:
+        """The pieces of a text whose spaces are already marks."""
+        return self.short_agenda(list(text)) if len(text) <= SHORT else self.agenda(text)
+
+    def short_agenda(self, symbols: list[str]) -> list[str]:
+        """The agenda as a plain list in order of place, which is searched for its best: quicker for few symbols."""
+        score, none = self.scores.get, float("-inf")
+        pairs = [score(a + b, none) for a, b in zip(symbols, symbols[1:], strict=False)]
+        while pairs and (best := max(pairs)) != none:
+            i = pairs.index(best)
+            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = score(symbols[i] + symbols[i + 1], none)
+            if i:
+                pairs[i - 1] = score(symbols[i - 1] + symbols[i], none)
+        return symbols
+
     def agenda(self, text: str) -> list[str]:
         """The pieces of a text whose spaces are already marks."""
         scores, symbols = self.scores, list(text)
@@ -103,16 +128,17 @@ class PieceModel:
         return out
 
     def words(self, text: str) -> list[str]:
-        """The marked text, cut before each run of space marks that follows another character."""
+        """The text cut at spaces, each word without the first of its space marks; or the text as one word."""
         if not text:
             return []
-        marked = self.prefix + text.replace(" ", MARK)
-        if not self.by_word or not self.bytes:
-            return [marked]
-        return _WORD.findall(marked)
-
-    def encode_batch(self, texts: list[str]) -> list[list[tuple[tuple[int, ...], str]]]:
-        """For each text its words' ids, and the same as text; new words are checked against the library."""
+        if not self.by_word or not self.bytes or not self.prefix:
+            return [text.replace(" ", MARK)]
+        if text[0] != " " and "  " not in text and MARK not in text:
+            return text.split(" ")
+        return [w[1:] for w in _WORD.findall(MARK + text.replace(" ", MARK))]
+
+    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text; words that aren't in the cache are checked against the library."""
         if len(self.cache) > CACHE_WORDS:
             self.cache, self.older = {}, self.cache
         cache, older, split = self.cache, self.older, [self.words(t) for t in texts]
@@ -122,22 +148,28 @@ class PieceModel:
                 if w in older:
                     cache[w] = older[w]
                 else:
-                    ids = tuple(self.to_ids(self.agenda(w)))
-                    cache[w] = (ids, ",".join(map(str, ids)))
+                    cache[w] = np.array(self.to_ids(self.pieces(self.prefix + w)), np.uint32).tobytes()
                     new.append(w)
         self.check(new)
-        return [[cache[w] for w in ws] for ws in split]
+        return [np.frombuffer(b"".join(map(cache.__getitem__, ws)), np.uint32).tolist() for ws in split]
 
     def check(self, words: list[str]) -> None:
-        """Raise unless the library gives each marked word the ids in the cache."""
-        cut = len(self.prefix)
-        own = [w for w in words if w.startswith(self.prefix)]
-        bare = [w for w in words if not w.startswith(self.prefix)]
-        if any(bare):
-            raise AssertionError("a word without its mark")
-        for w, ids in zip(own, self.library.encode([w[cut:] for w in own], num_threads=1), strict=True):
-            if list(self.cache[w][0]) != ids and w[cut:]:
-                raise AssertionError(f"{w!r}: {self.cache[w][0]} here, {ids} in the library")
+        """Raise unless the library gives each word the ids in the cache; a mark alone can't be given to it."""
+        for w, ids in zip(words, self.library.encode(words, num_threads=1), strict=True):
+            if np.frombuffer(self.cache[w], np.uint32).tolist() != ids and w:
+                raise AssertionError(f"{w!r}: {np.frombuffer(self.cache[w], np.uint32).tolist()} here, {ids} in the library")
+
+
+def _slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose texts, in the second column, take about ``SLICE`` bytes."""
+    from_, size = 0, 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(b.column(1)), 0).to_pylist()):
+        if i > from_ and size + n > SLICE:
+            yield b.slice(from_, i - from_)
+            from_, size = i, 0
+        size += n
+    if b.num_rows > from_:
+        yield b.slice(from_)
 
 
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -147,8 +179,8 @@ def encode_pieces(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_c
     """``id, ids``: the whole text's ids, without begin and end."""
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = PieceModel.open(model)
-        for b in batches:
-            rows = [[i for ids, _ in ws for i in ids] for ws in m.encode_batch([t or "" for t in b.column(1).to_pylist()])]
+        for b in (x for batch in batches for x in _slices(batch)):
+            rows = m.encode_batch([t or "" for t in b.column(1).to_pylist()])
             yield pa.record_batch([b.column(0), pa.array(rows, pa.list_(pa.int32()))], names=["id", "ids"])
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -169,12 +201,11 @@ def piece_digests(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_c
     """Per row the number of ids, their digest and the digest of the text decoded from them, in one pass."""
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = PieceModel.open(model)
-        for b in batches:
+        for b in (x for batch in batches for x in _slices(batch)):
             n, coded, back = [], [], []
-            for ws in m.encode_batch([t or "" for t in b.column(1).to_pylist()]):
-                ids = [i for own, _ in ws for i in own]
+            for ids in m.encode_batch([t or "" for t in b.column(1).to_pylist()]):
                 n.append(len(ids))
-                coded.append(hashlib.sha256(",".join([s for _, s in ws]).encode()).hexdigest())
+                coded.append(hashlib.sha256(",".join(map(m.names.__getitem__, ids)).encode()).hexdigest())
                 back.append(hashlib.sha256(m.library.decode(ids).encode()).hexdigest())
             yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
