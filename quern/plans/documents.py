@@ -10,7 +10,8 @@ from quern.plans import bind as b
 from quern.plans.registry import add
 from quern.sources.tables import load
 
-DOC = F.col("doc")
+def doc():
+    return F.col("doc")
 
 
 def _props(s, d):
@@ -42,29 +43,29 @@ def _sql(expr: str) -> str:
 
 
 E = "events"
-add("json_get", lambda s, d: _props(s, d).select("key", j.get(DOC, "$.k").alias("value")), "SELECT event_id AS key, (props::JSON -> '$.k')::VARCHAR AS value FROM events")
-add("json_get_string", lambda s, d: _mixed(s, d).select("key", j.get(DOC, "$.s").alias("value")), """SELECT event_id AS key, '"' || event_type || '"' AS value FROM events""")
+add("json_get", lambda s, d: _props(s, d).select("key", j.get(doc(), "$.k").alias("value")), "SELECT event_id AS key, (props::JSON -> '$.k')::VARCHAR AS value FROM events")
+add("json_get_string", lambda s, d: _mixed(s, d).select("key", j.get(doc(), "$.s").alias("value")), """SELECT event_id AS key, '"' || event_type || '"' AS value FROM events""")
 add("json_mget", lambda s, d: j.mget(_props(s, d), load(s, d, "customer").select(F.col("c_custkey").alias("pos"), (F.col("c_custkey") * 5).alias("key")), "$.k"), "SELECT c_custkey AS pos, c_custkey * 5 AS key, (props::JSON -> '$.k')::VARCHAR AS value FROM customer LEFT JOIN events ON event_id = c_custkey * 5")
-add("json_type", lambda s, d: _mixed(s, d).select("key", *(j.type_of(DOC, f"$.{x}").alias(f"t_{x}") for x in ("n", "s", "b", "z", "a", "o", "missing"))), "SELECT event_id AS key, 'number' AS t_n, 'string' AS t_s, 'boolean' AS t_b, 'null' AS t_z, 'array' AS t_a, 'object' AS t_o, NULL::VARCHAR AS t_missing FROM events")
-add("json_objkeys", lambda s, d: _props(s, d).select("key", F.array_join(j.objkeys(DOC), ",").alias("names")), "SELECT event_id AS key, array_to_string(json_keys(props::JSON), ',') AS names FROM events")
-add("json_objlen", lambda s, d: _mixed(s, d).select("key", j.objlen(DOC).alias("n")), "SELECT event_id AS key, 6::BIGINT AS n FROM events")
-add("json_arrlen", lambda s, d: _mixed(s, d).select("key", j.arrlen(DOC, "$.a").alias("n"), j.arrlen(DOC, "$.s").alias("none")), "SELECT event_id AS key, 3::BIGINT AS n, NULL::BIGINT AS none FROM events")
+add("json_type", lambda s, d: _mixed(s, d).select("key", *(j.type_of(doc(), f"$.{x}").alias(f"t_{x}") for x in ("n", "s", "b", "z", "a", "o", "missing"))), "SELECT event_id AS key, 'number' AS t_n, 'string' AS t_s, 'boolean' AS t_b, 'null' AS t_z, 'array' AS t_a, 'object' AS t_o, NULL::VARCHAR AS t_missing FROM events")
+add("json_objkeys", lambda s, d: _props(s, d).select("key", F.array_join(j.objkeys(doc()), ",").alias("names")), "SELECT event_id AS key, array_to_string(json_keys(props::JSON), ',') AS names FROM events")
+add("json_objlen", lambda s, d: _mixed(s, d).select("key", j.objlen(doc()).alias("n")), "SELECT event_id AS key, 6::BIGINT AS n FROM events")
+add("json_arrlen", lambda s, d: _mixed(s, d).select("key", j.arrlen(doc(), "$.a").alias("n"), j.arrlen(doc(), "$.s").alias("none")), "SELECT event_id AS key, 3::BIGINT AS n, NULL::BIGINT AS none FROM events")
 add("json_arrappend", lambda s, d: _spread(_arrays(s, d).withColumn("a", j.arrappend(F.col("a"), F.lit(-1).cast("long"), F.lit(-2).cast("long")))), _sql("list_concat(a, [-1, -2])"))
 add("json_arrinsert", lambda s, d: _spread(_arrays(s, d).withColumn("a", j.arrinsert(F.col("a"), -3, F.lit(-1).cast("long")))), _sql("list_concat(list_concat(a[:greatest(len(a) - 2, 0)], [-1]), a[greatest(len(a) - 2, 0) + 1:])"))
 add("json_arrpop", lambda s, d: _arrays(s, d).select("key", j.arrpop(F.col("a"), 1)[0].alias("popped"), F.size(j.arrpop(F.col("a"), 1)[1]).cast("long").alias("left")), f'SELECT key, a[2] AS popped, CASE WHEN len(a) > 1 THEN len(a) - 1 ELSE len(a) END AS "left" FROM {ARR} AS r')
 add("json_arrtrim", lambda s, d: _spread(_arrays(s, d).withColumn("a", j.arrtrim(F.col("a"), 1, -2))), _sql("a[2:len(a) - 1]"))
 add("json_arrindex", lambda s, d: _arrays(s, d).select("key", j.arrindex(F.col("a"), F.try_element_at("a", F.lit(4))).alias("found"), j.arrindex(F.col("a"), F.lit(-9).cast("long")).alias("none")), f"SELECT key, CASE WHEN len(a) >= 4 THEN 3 ELSE -1 END::BIGINT AS found, -1::BIGINT AS none FROM {ARR} AS r")
-add("json_strlen", lambda s, d: _mixed(s, d).select("key", j.strlen(DOC, "$.s").alias("n")), "SELECT event_id AS key, length(event_type)::BIGINT AS n FROM events")
-add("json_strappend", lambda s, d: _mixed(s, d).select("key", j.strappend(DOC, "$.s", "+é").alias("value")), "SELECT event_id AS key, event_type || '+é' AS value FROM events")
-add("json_numincrby", lambda s, d: _props(s, d).select("key", j.numincrby(DOC, "$.k", 2.5).alias("x")), "SELECT event_id AS key, (props::JSON ->> '$.k')::DOUBLE + 2.5::DOUBLE AS x FROM events")
-add("json_nummultby", lambda s, d: _props(s, d).select("key", j.nummultby(DOC, "$.k", 1.5).alias("x")), "SELECT event_id AS key, (props::JSON ->> '$.k')::DOUBLE * 1.5::DOUBLE AS x FROM events")
-add("json_toggle", lambda s, d: _mixed(s, d).select("key", j.toggle(DOC, "$.b").alias("b"), j.toggle(DOC, "$.missing").alias("none")), "SELECT event_id AS key, event_id % 2 <> 0 AS b, NULL::BOOLEAN AS none FROM events")
-add("json_clear", lambda s, d: _props(s, d).select("key", j.clear(DOC).alias("doc")), "SELECT event_id AS key, '{}' AS doc FROM events")
-add("json_set", lambda s, d: _props(s, d).select("key", j.with_member(DOC, "a", F.lit("[1]")).alias("doc")), """SELECT event_id AS key, '{"a":[1],"k":' || (props::JSON ->> '$.k') || '}' AS doc FROM events""")
-add("json_del", lambda s, d: _mixed(s, d).select("key", j.get(j.without_member(DOC, "o"), "$.o").alias("gone"), j.get(j.without_member(DOC, "o"), "$.n").alias("n")), "SELECT event_id AS key, NULL::VARCHAR AS gone, user_id::VARCHAR AS n FROM events")
+add("json_strlen", lambda s, d: _mixed(s, d).select("key", j.strlen(doc(), "$.s").alias("n")), "SELECT event_id AS key, length(event_type)::BIGINT AS n FROM events")
+add("json_strappend", lambda s, d: _mixed(s, d).select("key", j.strappend(doc(), "$.s", "+é").alias("value")), "SELECT event_id AS key, event_type || '+é' AS value FROM events")
+add("json_numincrby", lambda s, d: _props(s, d).select("key", j.numincrby(doc(), "$.k", 2.5).alias("x")), "SELECT event_id AS key, (props::JSON ->> '$.k')::DOUBLE + 2.5::DOUBLE AS x FROM events")
+add("json_nummultby", lambda s, d: _props(s, d).select("key", j.nummultby(doc(), "$.k", 1.5).alias("x")), "SELECT event_id AS key, (props::JSON ->> '$.k')::DOUBLE * 1.5::DOUBLE AS x FROM events")
+add("json_toggle", lambda s, d: _mixed(s, d).select("key", j.toggle(doc(), "$.b").alias("b"), j.toggle(doc(), "$.missing").alias("none")), "SELECT event_id AS key, event_id % 2 <> 0 AS b, NULL::BOOLEAN AS none FROM events")
+add("json_clear", lambda s, d: _props(s, d).select("key", j.clear(doc()).alias("doc")), "SELECT event_id AS key, '{}' AS doc FROM events")
+add("json_set", lambda s, d: _props(s, d).select("key", j.with_member(doc(), "a", F.lit("[1]")).alias("doc")), """SELECT event_id AS key, '{"a":[1],"k":' || (props::JSON ->> '$.k') || '}' AS doc FROM events""")
+add("json_del", lambda s, d: _mixed(s, d).select("key", j.get(j.without_member(doc(), "o"), "$.o").alias("gone"), j.get(j.without_member(doc(), "o"), "$.n").alias("n")), "SELECT event_id AS key, NULL::VARCHAR AS gone, user_id::VARCHAR AS n FROM events")
 add("json_wildcard", lambda s, d: load(s, d, "events").select(F.col("event_id").alias("key"), j.get(F.concat(F.lit('{"a":[{"b":'), F.col("user_id").cast("string"), F.lit('},{"c":1}]}')), "$.a[*].b").alias("value")), "SELECT event_id AS key, '[' || user_id || ',null]' AS value FROM events")
 add("json_descend", lambda s, d: load(s, d, "events").select(F.col("event_id").alias("key"), j.descend(F.concat(F.lit('{"a":[{"b":'), F.col("user_id").cast("string"), F.lit('},{"c":{"b":2}}]}')), "$..b").alias("value")), "SELECT event_id AS key, '[' || user_id || ',2]' AS value FROM events")
-add("json_set_deep", lambda s, d: j.update_path(_mixed(s, d), "$.o.y[1]", F.lit("7")).select("key", j.get(DOC, "$.o.y").alias("y"), j.get(DOC, "$.o.x").alias("x")), "SELECT event_id AS key, '[null,7]' AS y, '1' AS x FROM events")
+add("json_set_deep", lambda s, d: j.update_path(_mixed(s, d), "$.o.y[1]", F.lit("7")).select("key", j.get(doc(), "$.o.y").alias("y"), j.get(doc(), "$.o.x").alias("x")), "SELECT event_id AS key, '[null,7]' AS y, '1' AS x FROM events")
 
 TOK = "(SELECT DISTINCT doc_id AS doc, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda t: t <> '')) AS term FROM documents)"
 

@@ -37,7 +37,7 @@ WITH m AS (SELECT DISTINCT CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey::VARCHAR E
 SELECT 'suppliers' AS key, m.member, lon, lat FROM m LEFT JOIN {b.GEO} AS g USING (member)""")
 for name, unit, per in (("m", "m", 1.0), ("units", "mi", 1609.340383398085)):
     add(f"geo_dist_{name}", lambda s, d, u=unit: g.geodist(b.geo(s, d), _pairs(s, d), u).withColumn("dist", F.round("dist", 2)), f"""
-SELECT 'suppliers' AS key, x.member AS a, y.member AS b, round({_haversine('x', 'y')} / {per}::DOUBLE, 2) AS dist FROM {b.GEO} AS x JOIN {b.GEO} AS y ON y.member = (x.member::BIGINT % 17 + 1)::VARCHAR""")
+SELECT 'suppliers' AS key, x.member AS a, (x.member::BIGINT % 17 + 1)::VARCHAR AS b, round({_haversine('x', 'y')} / {per}::DOUBLE, 2) AS dist FROM {b.GEO} AS x LEFT JOIN {b.GEO} AS y ON y.member = (x.member::BIGINT % 17 + 1)::VARCHAR""")
 _CODE = " || ".join(f"substr('0123456789bcdefghjkmnpqrstuvwxyz', (1 + {' + '.join(f'(({chr(120 + (c * 5 + k) % 2)} >> {24 - (c * 5 + k) // 2}) & 1) * {16 >> k}' for k in range(5))})::INT, 1)" for c in range(10))
 add("geo_hash", lambda s, d: b.geo(s, d).select("member", g.geohash(F.col("lon"), F.col("lat")).alias("hash")), f"""
 SELECT member, {_CODE} || '0' AS hash FROM (SELECT member, least(floor((lon + 180) / 360 * 33554432), 33554431)::BIGINT AS x, least(floor((lat + 90) / 180 * 33554432), 33554431)::BIGINT AS y FROM {b.GEO} AS g)""")
