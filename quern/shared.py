@@ -32,6 +32,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/quern-{label}-{uuid.uuid4().hex}"
         self._n = 0
+        self._held: set[str] = set()
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -43,13 +44,22 @@ class Scratch:
         df.write.mode("overwrite").parquet(to)
         out = self.spark.read.schema(df.schema).parquet(to)
         out._quern_path = to
+        self._held.add(to)
         return out
 
+    def _delete(self, to: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(to)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        self._held.discard(to)
+
     def drop(self, *tables: DataFrame | None) -> None:
         """Delete tables that nothing reads any more."""
         for df in tables:
             to = getattr(df, "_quern_path", None)
             if to:
-                jvm = self.spark._jvm
-                p = jvm.org.apache.hadoop.fs.Path(to)
-                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+                self._delete(to)
+
+    def drop_all_but(self, *tables: DataFrame) -> None:
+        """Delete all tables but those that the result reads."""
+        for to in self._held - {getattr(df, "_quern_path", None) for df in tables}:
+            self._delete(to)
