@@ -29,7 +29,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST_COPIES = 2
 #: Mean rows of a bucket.
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 1024
 KEY_BITS = 60
 
 

@@ -16,8 +16,10 @@ from quern.llm.pii import KINDS, find_personal_data, joined
 from quern.llm.pieces import piece_digests
 from quern.llm.quality import assess_quality
 from quern.llm.reputation import judge_urls, url_host
+from quern.llm.text import n_words, whole
 from quern.llm.toxicity import score_toxicity
 from quern.llm.warc import CaptureArchive, read_back
+from quern.shared import Scratch
 from quern.sources.tables import load
 
 
@@ -33,7 +35,9 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(load(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
+    sizes = load(spark, sf_dir, "documents").select("doc_id", "source", n_words(whole("text")).alias("size"))
+    sizes = Scratch(spark, "sizes").put(sizes)
+    return mix_sources(sizes, size_col="size").select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
