@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from quern.llm.text import whole
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-COPYRIGHT_LINE = r"(?m)^[\x09\x20]*(?:copyright\b|\(c\)|\xA9)[^\n]*$"
+#: A line that begins with a copyright sign, or with the word and has a sign or a year; text wrapped before the word stays.
+COPYRIGHT_LINE = r"(?m)^[\x09\x20]*(?:copyright[\x09\x20]*(?:\(c\)|\xA9)|copyright\b[^\n]*[0-9]{4}|\(c\)|\xA9)[^\n]*$"
 PUNCTUATION = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Spellings that the SPDX matching guidelines hold to be equal.
 SPELLINGS = (

@@ -66,9 +66,10 @@ SQL = {"op2_mix_sources": OP2, "op10_url_reputation": OP10}
 
 
 def _canonical(text: str) -> str:
-    from quern.llm.licenses import LOWER, SPELLINGS, UPPER
+    from quern.llm.licenses import COPYRIGHT_LINE, LOWER, SPELLINGS, UPPER
 
-    out = rf"regexp_replace(translate({text}, '{UPPER}', '{LOWER}'), '(?m)^[\x09\x20]*(?:copyright\b|\(c\)|\x{{A9}})[^\n]*$', '', 'g')"
+    line = COPYRIGHT_LINE.replace(r"\xA9", r"\x{A9}")
+    out = f"regexp_replace(translate({text}, '{UPPER}', '{LOWER}'), '{line}', '', 'g')"
     out = rf"regexp_replace(' ' || regexp_replace({out}, '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+', ' ', 'g') || ' ', ' +', ' ', 'g')"
     for other, one in SPELLINGS:
         out = f"replace({out}, ' {other} ', ' {one} ')"
