@@ -1,0 +1,213 @@
+"""Quality, near-duplicates and personal data against brute force, with their odd cases."""
+
+import hashlib
+import random
+import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from quern.llm import neardup, pii, quality
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def prose(rng, n, vocabulary=400):
+    return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def corpus(spark, sf):
+    """The small table with odd rows: null, empty and blank texts, repeats, ties, a very long text, an extra column."""
+    base = spark.read.parquet(f"{sf}/documents.parquet")
+    rng = random.Random(3)
+    long_ = prose(rng, 30_000, 9000)
+    odd = [(9001, None, None, None, None), (9002, "", "en", "src0", 0), (9003, " \n\t ", "en", None, 4), (9004, "one two", "en", "src0", 7), (9005, "One TWO", "xx", "src0", 7), (9006, long_, "en", "src0", len(long_)), (9006, long_, "en", "src0", len(long_)), (None, "no id at all here now", "en", "src0", 3), (9007, "a b a b a b a b\na b\na b", "en", "src1", 9), (9008, "Ünï çödé ÀB é", "fr", "s,:\"", 5)]
+    return base.union(spark.createDataFrame(odd, DOCS)).withColumn("_row", F.lit(1)).withColumn("size", F.lit("x")).cache()
+
+
+def brute_stats(t):
+    w = WORD.findall(t or "")
+    n = len(w)
+    seen = Counter(tuple(w[i : i + 3]) for i in range(n - 2))
+    covered = {j for i in range(n - 2) if seen[tuple(w[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
+    lines = [x for x in (t or "").split("\n") if WORD.search(x)]
+    return n, sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(covered)
+
+
+def test_statistics_and_verdicts(spark, corpus):
+    rows = quality.assess_quality(corpus).collect()
+    assert len(rows) == corpus.count()
+    for r in rows:
+        got = (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words)
+        assert got == brute_stats(r.text)
+        assert r.base_failed == (got[0] < 50 or 100 * got[4] > 50 * got[0])
+        assert not (r.base_failed and r.kept) and r.kept is not None
+        if not r.base_failed:
+            assert r.kept == (r.outlier_distance is None or r.outlier_distance <= quality.CUT)
+    kept = quality.well_formed(corpus)
+    assert kept.columns == corpus.columns and kept.count() == sum(r.kept for r in rows)
+    assert quality.assess_quality(corpus.where("false")).count() == 0
+
+
+def test_outliers_agree_with_labels(spark):
+    d = "/root/testdata/sf0.01"
+    found = quality.assess_quality(spark.read.parquet(f"{d}/documents.parquet"), carry=False).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("NOT base_failed")
+    rates = {r.quality: (r.kept, r.n) for r in found.groupBy("quality").agg(F.sum(F.col("kept").cast("int")).alias("kept"), F.count("*").alias("n")).collect()}
+    assert rates[1][0] == rates[1][1]  # clean documents stay
+    assert rates[0][0] <= 0.15 * rates[0][1]
+
+
+def test_estimate_equals_numpy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(400, quality.DIMS)) @ rng.normal(size=(quality.DIMS, quality.DIMS))
+    df = spark.createDataFrame([("g", *map(float, r)) for r in x], "g string, " + ", ".join(f"x{i} double" for i in range(quality.DIMS)))
+    est = quality._estimate(df)
+    cov = np.cov(x.T, bias=True) + np.diag(np.square(quality.FLOORS))
+    d = x - x.mean(axis=0)
+    want = np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d)
+    got = [r.d for r in df.join(est, "g").select(F.col("x0"), quality.distance([F.col(f"x{i}") for i in range(quality.DIMS)]).alias("d")).collect()]
+    assert np.allclose(sorted(got), sorted(want))
+
+
+def brute_groups(rows):
+    sets, up = {}, {}
+    for k, t in rows:
+        if k is None:
+            continue
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+        s = frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+        sets.setdefault(k, []).append(s)
+        up[k] = k
+
+    def find(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    flat = [(k, s) for k, ss in sets.items() for s in set(ss) if s]
+    for i, (a, s) in enumerate(flat):
+        for b, t in flat[:i]:
+            if min(len(s), len(t)) * 100 >= 75 * max(len(s), len(t)) and 175 * len(s & t) >= 75 * (len(s) + len(t)):
+                x, y = sorted((find(a), find(b)))
+                up[y] = x
+    return {k: find(k) for k in up}, {k: sorted(map(len, v)) for k, v in sets.items()}
+
+
+@pytest.fixture(scope="module")
+def copies(spark):
+    """Chains of near copies, a hub with leaves that aren't alike, exact copies, and texts that share a passage."""
+    rng = random.Random(7)
+    rows, k = [], 0
+    base = prose(rng, 150, 5000).split()
+    for _ in range(140):  # copies of one text: unlike each other, alike the text or not
+        t = list(base)
+        for _ in range(rng.randrange(1, 7)):
+            t[rng.randrange(150)] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(t)))
+        k += 1
+    rows.append((k, " ".join(base)))
+    t = prose(rng, 120, 5000).split()
+    for _ in range(12):  # each like the one before
+        k += 1
+        t = list(t)
+        t[rng.randrange(120)] = f"y{k}"
+        t[rng.randrange(120)] = f"z{k}"
+        rows.append((k, " ".join(t)))
+    passage = prose(rng, 60, 5000)
+    for _ in range(90):
+        k += 1
+        rows.append((k, f"{prose(rng, 40, 5000)} {passage} {prose(rng, 20, 5000)}"))
+    for _ in range(40):
+        k += 1
+        rows.append((k, "The SAME text for all of these"))
+    rows += [(k + 1, "short"), (k + 2, "SHORT"), (k + 3, ""), (k + 4, None), (k + 5, " \t"), (5, "another text of document five entirely"), (k + 6, "Another TEXT of document five entirely"), (None, "short")]
+    rng.shuffle(rows)
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(5), rows
+
+
+@pytest.mark.parametrize("short_list", [64, 8])
+def test_near_duplicates_equal_brute_force(spark, copies, monkeypatch, short_list):
+    monkeypatch.setattr(neardup, "SHORT_LIST", short_list)
+    monkeypatch.setattr(neardup, "BLOCK", 4 * short_list)
+    df, rows = copies
+    groups, sizes = brute_groups(rows)
+    got = neardup.near_duplicates(df).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r.doc_id is None:
+            assert r.component_id is None and r.kept
+        else:
+            assert r.component_id == groups[r.doc_id] and r.n_shingles in sizes[r.doc_id] and r.kept == (r.component_id == r.doc_id)
+
+
+def test_deduplicated_rows(spark, copies, corpus):
+    df, rows = copies
+    groups, _ = brute_groups(rows)
+    left = [r.doc_id for r in neardup.deduplicated(df.withColumn("n", F.lit(1))).collect()]
+    assert sorted(x for x in left if x is not None) == sorted({k for k, g in groups.items() if k == g}) and left.count(None) == 1
+    assert neardup.deduplicated(corpus).columns == corpus.columns and neardup.near_duplicates(df.where("false")).count() == 0
+
+
+BASE = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
+
+
+def luhn(d):
+    return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def brute_base(t):
+    out = []
+    for k, (name, p) in enumerate(BASE):
+        for m in re.finditer(p, t or ""):
+            d = re.sub("[^0-9]", "", m.group())
+            ok = [True, k != 1 or all(int(x) <= 255 for x in m.group().split(".")), 14 <= len(d) <= 19 and luhn(d), 10 <= len(d) <= 15][k]
+            if ok:
+                out.append((m.start(), k, m.end(), name))
+    return ",".join(f"{n}:{s}:{e}" for s, _, e, n in sorted(out))
+
+
+ODD = [
+    "x_y@b.co_z@w.com, +1 (22) 33-4444-55, 1.2.3.4.5.6.7.8 1.2.3.256 001.02.03.0255 4111 1111 1111 1111 a@b@c.d", "é😀 4111-1111-1111-1111 é", None, "", "9" * 3000, "a" * 50000 + "@", "+1" * 3000, "1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6", "a@" * 5000 + "b.c", "1." * 9000,
+    "4111 1111 1111 1111 ; " * 300, 'key="AbCd1234efgh5678ijkl" tel 555-123-4567', "+44 (0) 20 7946 0958--. 12", "a@b.c-d.e@f.g", "4111 1111 1111  1111", "1.1.1.1@x.y 10.0.0.1",
+]
+
+
+def test_personal_data_equals_brute_force(spark, corpus):
+    d = corpus.select("doc_id", "text").union(spark.createDataFrame([(i, t) for i, t in enumerate(ODD)], "doc_id long, text string"))
+    rows = pii.find_personal_data(d, carry=("doc_id", "text")).select("_row.text", pii.joined(F.col("base")).alias("base"), pii.joined(F.col("spans")).alias("spans"), F.sha2(pii.joined(F.col("base")), 256).alias("h")).collect()
+    assert len(rows) == d.count()
+    for r in rows:
+        want = brute_base(r.text)
+        assert r.base == want and r.h == hashlib.sha256(want.encode()).hexdigest()
+        assert set(filter(None, want.split(","))) <= set(r.spans.split(","))
+
+
+def test_added_spans_and_redaction(spark):
+    rng = random.Random(2)
+    rows = [(i, f"Some text here with token = \"{''.join(rng.choice('0123456789abcdef') for _ in range(40))}\" and more" if i % 3 == 0 else prose(rng, 30).replace("w", "word ")) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text"))
+    out = {r.doc_id: r for r in pii.without_personal_data(df).collect()}
+    assert all(out[i].text == ('Some text here with token = "[SECRET]" and more' if i % 3 == 0 else t) and out[i].n_chars == len(out[i].text) for i, t in rows)
+    odd = pii.without_personal_data(spark.createDataFrame([(1, None), (2, "ip 10.0.0.1, x@y.zz")], "doc_id long, text string")).collect()
+    assert [r.text for r in sorted(odd)] == [None, "ip [IP], [EMAIL]"] and pii.find_personal_data(df.where("false")).count() == 0
+
+
+def test_em_finds_the_reliable_labelers(spark):
+    rng = random.Random(4)
+    rows = []
+    for _ in range(3000):
+        y = rng.random() < 0.3
+        rows.append(([(1 if y else -1) * (1 if rng.random() < p else -1) for p in (0.95, 0.9, 0.85)] + [0, 0, 0], 1.0, y))
+    pats = {}
+    for v, _, y in rows:
+        pats.setdefault(tuple(v), []).append(y)
+    df = spark.createDataFrame([(list(v), float(len(ys))) for v, ys in pats.items()], "votes array<int>, n double")
+    got = df.agg(F.collect_list(F.struct("votes", "n")).alias("p")).select(F.explode(pii.posteriors(F.col("p"))).alias("x")).select("x.*").collect()
+    right = sum(sum(y == (r.q > 0.5) for y in pats[tuple(r.votes)]) for r in got)
+    assert right > 0.93 * len(rows)
