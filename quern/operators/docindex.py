@@ -21,14 +21,35 @@ def postings(docs: DataFrame, fields: list[str], doc: str = "doc") -> DataFrame:
     """``field, term, doc`` of text fields; a field may hold a text or an array of texts."""
     each = []
     for f in fields:
-        kind = docs.schema[f].dataType.typeName()
-        text = F.array_join(F.col(f), " ") if kind == "array" else F.col(f)
-        each.append(F.coalesce(tokens(text), F.array().cast("array<string>")))
-    rows = None
-    for f, e in zip(fields, each, strict=True):
-        part = docs.select(F.lit(f).alias("field"), F.explode(e).alias("term"), doc)
-        rows = part if rows is None else rows.union(part)
-    return rows
+        text = F.array_join(F.col(f), " ") if docs.schema[f].dataType.typeName() == "array" else F.col(f)
+        found = F.coalesce(tokens(text), F.array().cast("array<string>"))
+        each.append(F.struct(F.lit(f).alias("field"), found.alias("terms")))
+    return docs.select(doc, F.inline(F.array(*each))).select("field", F.explode("terms").alias("term"), doc)
+
+
+class Catalog:
+    """Named indexes: key prefix, text fields and numeric fields of each."""
+
+    def __init__(self):
+        self.indexes: dict[str, tuple[str, list[str], list[str]]] = {}
+
+    def create(self, name: str, prefix: str, schema: dict[str, str]) -> None:
+        bad = set(schema.values()) - {"TEXT", "NUMERIC"}
+        if bad or not schema:
+            raise ValueError(f"fields are TEXT or NUMERIC, not {sorted(bad)}")
+        self.indexes[name] = (prefix, [f for f, k in schema.items() if k == "TEXT"], [f for f, k in schema.items() if k == "NUMERIC"])
+
+    def drop(self, name: str) -> bool:
+        return self.indexes.pop(name, None) is not None
+
+    def names(self) -> list[str]:
+        return sorted(self.indexes)
+
+    def build(self, name: str, docs: DataFrame, doc: str = "doc") -> tuple[DataFrame, DataFrame | None]:
+        """Postings and numbers of the documents under the index's prefix."""
+        prefix, text, numbers = self.indexes[name]
+        own = docs.where(F.col(doc).cast("string").startswith(prefix))
+        return postings(own, text, doc), numeric(own, numbers, doc) if numbers else None
 
 
 def numeric(docs: DataFrame, fields: list[str], doc: str = "doc") -> DataFrame:

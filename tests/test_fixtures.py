@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.engine import CommandError, Engine
-from quern.operators import bits, geo, jsondoc, keyspace, lists, sketches, streams, strings, timeseries, vectors, zsets
+from quern.operators import bits, docindex, geo, jsondoc, keyspace, lists, sketches, streams, strings, timeseries, vectors, zsets
 
 
 def col(df, c=0):
@@ -161,3 +161,16 @@ def test_geo_boxes_lose_nothing(spark):
     a, b = places.alias("a"), places.alias("b")
     brute = a.join(b, geo.distance_m(F.col("a.lon"), F.col("a.lat"), F.col("b.lon"), F.col("b.lat")) <= 800000).select("a.member", "b.member")
     assert pairs == {tuple(r) for r in brute.collect()}
+
+
+def test_document_index(spark):
+    docs = spark.createDataFrame([("doc:1", "hello", ["x", "Red Fox"], 10), ("doc:2", "hello world", None, 15), ("other:1", "hello", None, 1)], "doc string, title string, tags array<string>, views int")
+    c = docindex.Catalog()
+    with pytest.raises(ValueError):
+        c.create("i", "doc:", {"title": "TAG"})
+    c.create("i", "doc:", {"title": "TEXT", "tags": "TEXT", "views": "NUMERIC"})
+    text, numbers = c.build("i", docs)
+    found = lambda *a, **k: sorted(col(docindex.search(text, *a, **k)))
+    assert found("ell") == ["doc:1", "doc:2"] and found("hello fox") == ["doc:1"] and found("hello", numbers, "views", 12, 20) == ["doc:2"]
+    assert c.names() == ["i"] and c.drop("i") and not c.drop("i")
+    assert [tuple(r) for r in docindex.aggregate(docs.withColumn("none", F.lit(None)), "none").collect()] == [("undefined", 3)]
