@@ -107,4 +107,17 @@ SELECT page_id, n AS payload_bytes,
 FROM b
 """
 
-SQL |= {"op1_warc": OP1, "op6_licenses": _op6()}
+#: Shingles as texts, all pairs that share one, and the closure of the links: for small tables.
+OP7 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s AS a JOIN s AS b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT u, v FROM p JOIN n AS x ON u = x.doc_id JOIN n AS y ON v = y.doc_id WHERE 100 * c >= 75 * (x.n + y.n - c)),
+e AS (SELECT u, v FROM l UNION SELECT v, u FROM l),
+r(doc, m) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.v, r.m FROM r JOIN e ON e.u = r.doc)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents AS d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT doc, min(m) AS component_id FROM r GROUP BY doc) AS c ON c.doc = d.doc_id
+"""
+
+SQL |= {"op7_near_duplicates": OP7, "op1_warc": OP1, "op6_licenses": _op6()}
