@@ -30,9 +30,9 @@ def test_strings(e):
         e.incrby("s")
     e.set("t", "hello world")
     assert col(e.getrange("t", 0, 4)) == ["hello"]
-    e.setrange("t", 6, "redis")
-    assert col(e.get("t")) == ["hello redis"]
-    assert col(e.mget("n", "none", "t"), 2) == ["1", None, "hello redis"]
+    e.setrange("t", 6, "spark")
+    assert col(e.get("t")) == ["hello spark"]
+    assert col(e.mget("n", "none", "t"), 2) == ["1", None, "hello spark"]
     with pytest.raises(CommandError):
         e.psetex("k", 1, "v")
 
