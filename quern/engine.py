@@ -93,6 +93,16 @@ class Engine:
             self.delete(*gone)
         return sorted(gone)
 
+    def ping(self, message: str = "PONG") -> str:
+        return message
+
+    def echo(self, message: str) -> str:
+        return message
+
+    def info(self) -> DataFrame:
+        """``type, n_keys, n_expiring``."""
+        return self.keyspace().groupBy("type").agg(F.count("*").alias("n_keys"), F.count("due_ms").alias("n_expiring"))
+
     # strings
     def set(self, key: str, value: str) -> None:
         self._put("string", strings.mset(self.tables["string"], self._rows("", [(key, value, 0)], "key string, value string, pos int")))

@@ -18,6 +18,25 @@ def rule(samples: DataFrame, agg: str, bucket: str, lateness: str = "10 minutes"
     return w.select("key", F.col("window.start").alias("bucket"), "value")
 
 
+class RuleSet:
+    """Running compaction rules by source and destination; each is a streaming query that keeps its destination up to date."""
+
+    def __init__(self, samples: DataFrame, root: str):
+        self.samples, self.root, self.running = samples, root, {}
+
+    def create(self, src: str, dst: str, agg: str, bucket: str, lateness: str = "10 minutes", once: bool = False) -> None:
+        own = rule(self.samples.where(F.col("key") == src), agg, bucket, lateness).withColumn("key", F.lit(dst))
+        out = own.writeStream.format("parquet").outputMode("append").option("path", f"{self.root}/{dst}").option("checkpointLocation", f"{self.root}/{dst}-checkpoint")
+        self.running[src, dst] = (out.trigger(availableNow=True) if once else out).start()
+
+    def delete(self, dst: str) -> int:
+        """Stop all rules to a destination; how many there were."""
+        gone = [k for k in self.running if k[1] == dst]
+        for k in gone:
+            self.running.pop(k).stop()
+        return len(gone)
+
+
 class _InOrder(StatefulProcessor):
     """Keeps each series' last time; drops what is older. Within a batch, rows go by ``seq``."""
 

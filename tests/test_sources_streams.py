@@ -61,6 +61,15 @@ def test_rule_stream_equals_batch(spark, sf, tmp_path):
     assert have.keys() == want.keys() and all(have[k] == pytest.approx(want[k]) for k in want)
 
 
+def test_rules_start_and_stop(spark, sf, tmp_path):
+    s = bind.series(spark, sf).select("key", F.timestamp_millis("ts").alias("time"), "value")
+    made = rules.RuleSet(_stream(spark, s, tmp_path, "ruleset", 1), f"file://{tmp_path}/rules")
+    made.create("click", "click:max", "max", "1 day", once=True)
+    made.running["click", "click:max"].awaitTermination()
+    assert made.delete("click:max") == 1 and made.delete("click:max") == 0
+    assert spark.read.parquet(f"file://{tmp_path}/rules/click:max").count() > 10  # days behind the watermark
+
+
 def test_samples_in_order_across_batches(spark, tmp_path):
     rng = random.Random(1)
     rows = [("a" if rng.random() < 0.5 else "b", rng.randrange(50) + i // 4, float(i), i) for i in range(120)]
