@@ -224,6 +224,7 @@ def near_duplicates(
     scratch.drop(sets, open_)
 
     of_class = scratch.put(classes.join(labels, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("class_component")))
+    scratch.drop_all_but(signed, of_class)
     out = signed.select("id", "n", "h1", "h2").join(of_class, ["h1", "h2"], "left")
     comp = F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("class_component")).otherwise(F.col("id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), comp.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -52,6 +52,8 @@ def with_statistics(df: DataFrame, text: str = "_text") -> DataFrame:
     """``df`` with the base statistics as columns ``_n_words`` ... and two more counts.
 
     A window of three words is compared by its 64-bit hash, within its document.
+    ``_row_no`` is there for filters to refer to: they then stay above these
+    expressions, which they would otherwise repeat.
     """
     words = F.array_remove(F.split(F.col(text), SPACE, -1), "")
     lines = F.filter(F.split(F.col(text), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -68,7 +70,7 @@ def with_statistics(df: DataFrame, text: str = "_text") -> DataFrame:
     df = df.withColumn("_sorted", F.when(twice, F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))).drop("_windows")
     same = lambda x, j: F.coalesce(F.get("_sorted", j - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get("_sorted", j + 1)["h"] == x["h"], F.lit(False))
     covered = F.array_distinct(F.flatten(F.transform(F.filter("_sorted", same), lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))))
-    return df.withColumn("_n_repeat_words", F.coalesce(F.size(covered), F.lit(0)).cast("long")).drop("_sorted")
+    return df.withColumns({"_n_repeat_words": F.coalesce(F.size(covered), F.lit(0)).cast("long"), "_row_no": F.monotonically_increasing_id()}).drop("_sorted")
 
 
 def vector() -> list[Column]:
@@ -168,17 +170,21 @@ def assess_quality(
     scratch = Scratch(spark, "quality")
     columns = docs.columns if carry else [id_col]
     parts = {"_text": whole(text_col), "_lang": F.col(lang_col), "_source": F.col(source_col)}
-    rows = packed(docs, **parts) if carry else docs.select(F.struct(F.col(id_col)).alias("_row"), *(e.alias(k) for k, e in parts.items()))
     failed = (F.col("_n_words") < min_words) | (F.col("_n_repeat_words") * 100 > F.col("_n_words") * max_repeat_percent)
-    known = scratch.put(with_statistics(rows).drop("_text").withColumn("ok", ~failed))
+    measured = lambda rows: with_statistics(rows).drop("_text").withColumn("ok", ~failed)
+    known = scratch.put(measured(docs.select(F.struct(F.lit(True) if carry else F.col(id_col)).alias("_row"), *(e.alias(k) for k, e in parts.items()))))
     groups = _groups(scratch, known)
     same = [F.col("d._lang").eqNullSafe(F.col("k._lang")), F.col("d._source").eqNullSafe(F.col("k._source"))]
-    named = known.alias("d").join(groups.alias("k"), same, "left").select("d.*", "k.g")
+    named = lambda rows: rows.alias("d").join(groups.alias("k"), same, "left").select("d.*", "k.g")
     x = vector()
-    vectors = scratch.put(named.where("ok AND g IS NOT NULL").select("g", *(e.alias(f"x{i}") for i, e in enumerate(x))))
-    found = named.join(estimates(scratch, vectors), "g", "left").withColumn("_d2", distance(x) / F.col("scale"))
+    vectors = scratch.put(named(known).where("ok AND g IS NOT NULL").select("g", *(e.alias(f"x{i}") for i, e in enumerate(x))))
+    rated = estimates(scratch, vectors)
+    # texts are measured again for a result that carries them, rather than stored a second time
+    rows = measured(packed(docs, **parts)) if carry else known
+    scratch.drop_all_but(groups, rated, *([] if carry else [known]))
+    found = named(rows).join(rated, "g", "left").withColumn("_d2", distance(x) / F.col("scale"))
     stats = {s: F.col(f"_{s}") for s in STATS}
-    return unpacked(found, columns, **stats, base_failed=~F.col("ok"), kept=F.col("ok") & F.coalesce(F.col("_d2") <= cut, F.lit(True)), outlier_distance=F.col("_d2"))
+    return unpacked(found, columns, **stats, base_failed=~F.col("ok"), kept=F.col("ok") & (F.col("_row_no") >= 0) & F.coalesce(F.col("_d2") <= cut, F.lit(True)), outlier_distance=F.col("_d2"))
 
 
 def well_formed(docs: DataFrame, **options) -> DataFrame:
