@@ -75,10 +75,10 @@ def with_statistics(df: DataFrame, text: str = "_text") -> DataFrame:
 
 def vector() -> list[Column]:
     """Mean word length, shares of symbols, loud characters, repeated lines and repeated words, on scales near normal."""
-    share = lambda part, all_, few, of: F.log((F.col(part) + few) / (F.col(all_) + of))
+    share = lambda part, all_, times, of: F.log(1 + F.col(part) * times / (F.col(all_) + of))  # noqa: E731  0 for none, however long the text
     return [
-        F.log((F.col("_word_chars") + 1) / (F.col("_n_words") + 1)), share("_n_symbols", "_word_chars", 2, 150), share("_n_loud", "_word_chars", 6, 300),
-        share("_n_dup_lines", "_n_lines", 1, 8), F.asin(F.sqrt(F.least(F.lit(1.0), F.col("_n_repeat_words") / (F.col("_n_words") + 1)))),
+        F.log((F.col("_word_chars") + 1) / (F.col("_n_words") + 1)), share("_n_symbols", "_word_chars", 400, 150), share("_n_loud", "_word_chars", 400, 150),
+        share("_n_dup_lines", "_n_lines", 10, 8), F.asin(F.sqrt(F.least(F.lit(1.0), F.col("_n_repeat_words") / (F.col("_n_words") + 1)))),
     ]
 
 
