@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.shared import ship
+
 OVERWRITES, BARRIERS = ("SET",), ("DEL", "FLUSH")
 
 
@@ -66,6 +68,7 @@ def fold_lists(log: DataFrame) -> DataFrame:
                 items.pop()
         return pd.DataFrame({"key": [pdf["key"].iloc[0]], "items": [list(items)]})
 
+    ship(log.sparkSession)
     return log.groupBy("key").applyInPandas(fold, f"key {log.schema['key'].dataType.simpleString()}, items array<string>")
 
 

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.shared import ship
+
 MEMBERS = "map<string,variant>"
 STEP = re.compile(r"""\.\.|\.\*|\.([^.\[\]]+)|\['([^']*)'\]|\[(\d+)\]|\[(\*)\]""")
 
@@ -212,6 +214,7 @@ def delete_path(doc, path: list):
 
 def update_path(docs: DataFrame, path: str, value: Column | None) -> DataFrame:
     """``docs(key, doc)`` with JSON text set at any path, or with the path removed where ``value`` is None."""
+    ship(docs.sparkSession)
     parts = steps(path)
     rows = docs.withColumn("_value", F.lit(None).cast("string") if value is None else value)
     drop = value is None

@@ -6,8 +6,11 @@ table written to the shared folder outlives the executor that wrote it.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,10 +28,25 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._quern_shared
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once a session; they needn't have it installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_quern_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    to = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="quern-")), "quern.zip")
+    with zipfile.ZipFile(to, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(to)
+    sc._quern_shipped = True
+
+
 class Scratch:
     """A folder of its own under the shared one, for the tables of one call of an operator."""
 
     def __init__(self, spark: SparkSession, label: str):
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/quern-{label}-{uuid.uuid4().hex}"
         self._n = 0

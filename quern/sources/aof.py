@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.shared import ship
+
 CRLF = b"\r\n"
 
 
@@ -75,6 +77,7 @@ def read(spark: SparkSession, path: str, db: int = 0) -> DataFrame:
                 if rows:
                     yield pd.DataFrame({"file": name, "at": [r[0] for r in rows], "cmd": [r[1][0].upper() if r[1] else "" for r in rows], "args": [r[1] for r in rows]})
 
+    ship(spark)
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("path", "content")
     return raw.mapInPandas(parse, "file string, at long, cmd string, args array<string>").withColumn("db", F.lit(db))
 
@@ -87,6 +90,8 @@ def tail(spark: SparkSession, path: str) -> DataFrame:
                 rows = list(parse_commands(data))
                 yield pd.DataFrame({"file": name, "at": [r[0] for r in rows], "args": [r[1] for r in rows]})
 
+    ship(spark)
     schema = "path string, modificationTime timestamp, length long, content binary"
+    ship(spark)
     raw = spark.readStream.schema(schema).format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
     return raw.select("path", "content").mapInPandas(parse, "file string, at long, args array<string>")

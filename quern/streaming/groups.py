@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from quern.shared import ship
+
 
 class _Group(StatefulProcessor):
     """State of one stream and group: the last id delivered, whose turn it is, and what is pending with whom."""
@@ -45,6 +47,7 @@ class _Group(StatefulProcessor):
 
 def deliver(entries: DataFrame, consumers: int) -> DataFrame:
     """``key, grp, id, consumer, what`` for a stream ``entries(key, grp, op, id, arrival)``, op add or ack."""
+    ship(entries.sparkSession)
     kind = entries.schema["key"].dataType.simpleString()
     return entries.groupBy("key", "grp").transformWithStateInPandas(
         statefulProcessor=_Group(consumers), outputStructType=f"key {kind}, grp string, id string, consumer string, what string, arrival long", outputMode="Append", timeMode="None",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from quern.operators import sketches
-from quern.shared import Scratch
+from quern.shared import Scratch, ship
 
 
 def publish(messages: DataFrame, subscriptions: DataFrame) -> DataFrame:
@@ -62,5 +62,6 @@ class _LastValue(StatefulProcessor):
 
 def getset_expiring(writes: DataFrame, ttl_ms: int) -> DataFrame:
     """``key, old_value, value`` of a stream ``writes(key, value, seq)``: what was there, unless it has expired."""
+    ship(writes.sparkSession)
     kind = writes.schema["key"].dataType.simpleString()
     return writes.groupBy("key").transformWithStateInPandas(statefulProcessor=_LastValue(ttl_ms), outputStructType=f"key {kind}, old_value string, value string", outputMode="Update", timeMode="ProcessingTime")

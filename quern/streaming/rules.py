@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from quern.operators.timeseries import AGGREGATES
+from quern.shared import ship
 
 
 def rule(samples: DataFrame, agg: str, bucket: str, lateness: str = "10 minutes") -> DataFrame:
@@ -59,5 +60,6 @@ class _InOrder(StatefulProcessor):
 
 def accept(samples: DataFrame) -> DataFrame:
     """``samples(key, ts, value, seq)`` that aren't older than an earlier one of their key, across batches."""
+    ship(samples.sparkSession)
     kind = samples.schema["key"].dataType.simpleString()
     return samples.groupBy("key").transformWithStateInPandas(statefulProcessor=_InOrder(), outputStructType=f"key {kind}, ts long, value double, seq long", outputMode="Append", timeMode="None")
