@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.shared import ship
+
 MAGIC = b"\x89PNG\r\n\x1a\n"
 WIDTH = 64
 LEVEL = 6
@@ -146,6 +148,7 @@ def store_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             raw = [x or b"" for x in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array([encode_png(padded(x, width), width, level) for x in raw], pa.binary())], names=["id", "n_bytes", "media"])
 
+    ship(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("payload"))
     kind = src.schema["id"].dataType.simpleString()
     return src.mapInArrow(encode, f"id {kind}, n_bytes long, media binary")
@@ -164,5 +167,6 @@ def media_features(stored: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.record_batch([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
+    ship(stored.sparkSession)
     kind = stored.schema["id"].dataType.simpleString()
     return stored.mapInArrow(read, f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature binary")

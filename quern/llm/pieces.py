@@ -28,6 +28,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.shared import ship
+
 MARK = "▁"
 #: Words in each of the two generations of a worker's cache.
 CACHE_WORDS = 250_000
@@ -183,6 +185,7 @@ def encode_pieces(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_c
             rows = m.encode_batch([t or "" for t in b.column(1).to_pylist()])
             yield pa.record_batch([b.column(0), pa.array(rows, pa.list_(pa.int32()))], names=["id", "ids"])
 
+    ship(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return src.mapInArrow(encode, f"id {src.schema['id'].dataType.simpleString()}, ids array<int>")
 
@@ -194,6 +197,7 @@ def decode_pieces(encoded: DataFrame, model: str) -> DataFrame:
         for b in batches:
             yield pa.record_batch([b.column(0), pa.array([m.library.decode(x or []) for x in b.column(1).to_pylist()], pa.string())], names=["id", "text"])
 
+    ship(encoded.sparkSession)
     return encoded.mapInArrow(decode, f"id {encoded.schema['id'].dataType.simpleString()}, text string")
 
 
@@ -209,5 +213,6 @@ def piece_digests(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_c
                 back.append(hashlib.sha256(m.library.decode(ids).encode()).hexdigest())
             yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    ship(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return src.mapInArrow(digest, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
