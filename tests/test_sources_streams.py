@@ -112,8 +112,6 @@ def test_live_forms(spark, sf, tmp_path):
     subs = spark.createDataFrame([("news", 1), ("news", 2), ("other", 3)], "channel string, client int")
     msgs = _stream(spark, spark.createDataFrame([("news", "hello"), ("quiet", "x")], "channel string, payload string"), tmp_path, "msgs", 1)
     assert _drain(live.publish(msgs, subs), "published", tmp_path, "append").count() == 2
-    w = _stream(spark, spark.createDataFrame([("k", "a", 1), ("k", "b", 2)], "key string, value string, seq long"), tmp_path, "w", 1)
-    assert [tuple(r) for r in _drain(live.getset_expiring(w, 3_600_000), "kept", tmp_path, "update").collect()] == [("k", None, "b")]
 
 
 def test_random_and_approximate(spark, sf):
