@@ -49,16 +49,37 @@ In jurisdictions that recognize copyright laws, the author or authors of this so
 THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
 For more information, please refer to <https://unlicense.org>""",
 }
-#: One-line notices by identifier.
-NOTICES = {
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0"),
-    "BSD-3-Clause": ("Licensed under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause"),
-    "CC-BY-4.0": ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0"),
-    "CC-BY-SA-4.0": ("This work is licensed under CC BY-SA 4.0.", "SPDX-License-Identifier: CC-BY-SA-4.0"),
-    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-only"),
-    "MIT": ("Released under the MIT License.", "Licensed under the MIT License.", "SPDX-License-Identifier: MIT"),
-    "MPL-2.0": ("Licensed under the Mozilla Public License, Version 2.0.", "SPDX-License-Identifier: MPL-2.0"),
+#: Names of licences as notices give them, by identifier, with or without an article before them.
+NAMES = {
+    "0BSD": ("0BSD", "0BSD License", "BSD Zero Clause License", "Zero-Clause BSD License"),
+    "AGPL-3.0": ("AGPL 3.0", "AGPLv3", "AGPL-3.0 License", "GNU AGPL v3", "GNU Affero General Public License, version 3", "GNU Affero General Public License v3", "GNU Affero General Public License v3.0"),
+    "Apache-2.0": ("Apache 2.0", "Apache 2.0 License", "Apache License 2.0", "Apache License, Version 2.0", "Apache License v2.0", 'Apache License, Version 2.0 (the "License")'),
+    "Artistic-2.0": ("Artistic License 2.0", "Artistic License, Version 2.0"),
+    "BSD-2-Clause": ("BSD 2-Clause", "BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License", "BSD 2-Clause Simplified License"),
+    "BSD-3-Clause": ("BSD 3-Clause", "BSD 3-Clause License", "3-Clause BSD License", "New BSD License", "Modified BSD License", "BSD 3-Clause New or Revised License"),
+    "BSL-1.0": ("Boost Software License 1.0", "Boost Software License, Version 1.0"),
+    "CC0-1.0": ("CC0", "CC0 1.0", "CC0 1.0 Universal", "CC0 1.0 Universal License", "Creative Commons Zero v1.0 Universal", "Creative Commons CC0 1.0 Universal License"),
+    "EPL-2.0": ("EPL 2.0", "Eclipse Public License 2.0", "Eclipse Public License, Version 2.0", "Eclipse Public License v2.0"),
+    "EUPL-1.2": ("EUPL 1.2", "EUPL, Version 1.2", "European Union Public Licence 1.2", "European Union Public Licence v1.2"),
+    "GPL-2.0": ("GPL 2.0", "GPLv2", "GPL v2", "GNU GPL v2", "GNU GPL, version 2", "GNU General Public License, version 2", "GNU General Public License v2", "GNU General Public License v2.0"),
+    "GPL-3.0": ("GPL 3.0", "GPLv3", "GPL v3", "GNU GPL v3", "GNU GPL, version 3", "GNU General Public License, version 3", "GNU General Public License v3", "GNU General Public License v3.0"),
+    "ISC": ("ISC", "ISC License"),
+    "LGPL-2.1": ("LGPL 2.1", "LGPLv2.1", "GNU LGPL v2.1", "GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License v2.1"),
+    "LGPL-3.0": ("LGPL 3.0", "LGPLv3", "GNU LGPL v3", "GNU Lesser General Public License, version 3", "GNU Lesser General Public License v3", "GNU Lesser General Public License v3.0"),
+    "MIT": ("MIT", "MIT License", "Expat License"),
+    "MPL-2.0": ("MPL 2.0", "MPL-2.0 License", "Mozilla Public License 2.0", "Mozilla Public License, Version 2.0", "Mozilla Public License, v. 2.0", "Mozilla Public License v2.0"),
+    "Unlicense": ("Unlicense", "Unlicense License"),
+    "Zlib": ("zlib", "zlib License"),
 }
+for _short, _long in (("", ""), ("-SA", "-ShareAlike"), ("-ND", "-NoDerivatives"), ("-NC", "-NonCommercial"), ("-NC-SA", "-NonCommercial-ShareAlike"), ("-NC-ND", "-NonCommercial-NoDerivatives")):
+    for _v, _where in (("4.0", "International"), ("3.0", "Unported")):
+        _full = f"Creative Commons Attribution{_long} {_v}"
+        NAMES[f"CC-BY{_short}-{_v}"] = (f"CC BY{_short} {_v}", f"CC BY{_short} {_v} License", f"Creative Commons BY{_short} {_v} License", _full, f"{_full} License", f"{_full} {_where}", f"{_full} {_where} License")
+#: What comes before the name.
+LEADS = ("Licensed under", "Released under", "Distributed under", "Published under", "This work is licensed under", "This project is licensed under", "This software is licensed under", "This software is released under", "License:")
+#: One-line notices by identifier.
+NOTICES = {k: tuple(f"{lead} {the}{name}." for lead in LEADS for the in ("", "the ", "a ") for name in names) + tuple(f"SPDX-License-Identifier: {k}{end}" for end in (("", "-only") if "GPL" in k else ("",))) for k, names in NAMES.items()}
+NOTICES |= {f"{k}-or-later": (f"SPDX-License-Identifier: {k}-or-later",) for k in NAMES if "GPL" in k}
 
 
 def canonical(text: Column) -> Column:
@@ -77,7 +98,7 @@ def digest(text: Column) -> Column:
 def known_digests(spark, texts: dict[str, tuple[str, ...]]) -> DataFrame:
     """``license, digest`` of a fixed table."""
     rows = [(k, t) for k, ts in texts.items() for t in ts]
-    return spark.createDataFrame(rows, "license string, text string").select("license", digest(F.col("text")).alias("digest"))
+    return spark.createDataFrame(rows, "license string, text string").select("license", digest(F.col("text")).alias("digest")).distinct()
 
 
 def scan_licenses(docs: DataFrame, *, licenses: dict[str, str] = LICENSES, notices: dict[str, tuple[str, ...]] = NOTICES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -88,6 +109,6 @@ def scan_licenses(docs: DataFrame, *, licenses: dict[str, str] = LICENSES, notic
     text = whole(text_col)
     speaks = lambda x: x.rlike("(?i)licen[sc]e")
     rows = docs.select(F.col(id_col).alias("doc_id"), digest(text).alias("canonical_sha256"), F.when(speaks(text), F.filter(F.split(text, "\n", -1), speaks)).otherwise(F.array().cast("array<string>")).alias("_lines"))
-    seen = rows.join(F.broadcast(whole_texts), F.col("canonical_sha256") == F.col("digest"), "left").crossJoin(F.broadcast(lines))  # one row
+    seen = rows.join(F.broadcast(whole_texts), F.col("canonical_sha256") == F.col("digest"), "left").join(F.broadcast(lines), F.size("_lines") > 0, "left")  # one row, left out where no line needs it
     named = F.array_sort(F.array_distinct(F.filter(F.transform("_lines", lambda x: F.try_element_at("known", digest(x))), lambda x: x.isNotNull())))
     return seen.select("doc_id", "canonical_sha256", "license", F.array_join(named, ",").alias("notices"))

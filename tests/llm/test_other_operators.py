@@ -144,6 +144,16 @@ def test_licenses(spark):
     assert licenses.scan_licenses(df.where("false")).count() == 0
 
 
+def test_every_licence_line_is_named(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    lines = {x for r in docs.collect() for x in (r.text or "").split("\n") if "license" in x.lower()}
+    lines |= {"Licensed under CC BY-NC-SA 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", "Licensed under the GPL v2.", "SPDX-License-Identifier: BSD-2-Clause", 'Licensed under the Apache License, Version 2.0 (the "License");'}
+    got = {r.doc_id: r.notices for r in licenses.scan_licenses(spark.createDataFrame([(x, x) for x in sorted(lines)], "doc_id string, text string")).collect()}
+    assert set(got) == lines and got["Licensed under CC BY-NC 4.0."] == "CC-BY-NC-4.0" and all(got.values())
+    digests = licenses.known_digests(spark, licenses.NOTICES)
+    assert digests.count() == digests.select("digest").distinct().count()  # no notice names two licences
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
