@@ -8,8 +8,9 @@ A word that holds digits, symbols or separators between letters, or letters
 three times over, is read as a lattice: each character stands for itself, for
 the letters it may replace, or for nothing (separators and repeats), at a cost
 each. The Viterbi path under the character model is the restored word. Single
-characters set apart by spaces or marks are joined and restored likewise; a
-long restored word is evidence for the words it holds.
+characters set apart by spaces or marks are joined and restored likewise,
+with the one-letter words beside them. A long restored word, and a joined one
+of any length, is evidence for the words it holds.
 
 A text's score is a logistic function of its evidence, plain and restored, and
 of its length. It is fitted to a sample, by hash of the id, of about ``FIT_ROWS`` labelled texts;
@@ -52,7 +53,8 @@ REPLACE, DROP, KEEP_ODD = 1.0, 0.5, 8.0
 #: Leaving out a letter's second, and each further, repeat.
 REPEAT = 3.0, 0.3
 STRIPPED = ".,;:!?\"'()[]{}<>*#%&|-_~/\\=`^"
-_SPACED = re.compile(r"(?<!\S)\w(?:[\s._*-]{1,2}\w){3,}(?!\S)")
+#: Single letters or digits set apart by anything else, however long; not from the end of a contraction.
+_SPACED = re.compile(r"(?<![^\W_])(?<![^\W_]['’])[^\W_](?:[\W_]+[^\W_](?![^\W_])){2,}")
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
 
 
@@ -108,8 +110,8 @@ class CharModel:
         return best
 
 
-def plain_and_odd(text: str) -> tuple[set[str], set[str]]:
-    """Distinct lower-case words of letters alone, and the tokens that need restoring."""
+def plain_and_odd(text: str) -> tuple[set[str], set[str], set[str]]:
+    """Distinct lower-case words of letters alone, the tokens that need restoring, and the joined runs of single characters."""
     low = text.lower()
     plain, odd = set(), set()
     triple = _TRIPLE.search(low) is not None
@@ -125,9 +127,7 @@ def plain_and_odd(text: str) -> tuple[set[str], set[str]]:
         plain.add(tok)
         if triple and _TRIPLE.search(tok):
             odd.add(tok)
-    for m in _SPACED.finditer(low):
-        odd.add("".join(c for c in m.group() if c.isalnum()))
-    return plain, odd
+    return plain, odd, {"".join(c for c in m.group() if c.isalnum()) for m in _SPACED.finditer(low)}
 
 
 def _learned(texts: DataFrame) -> DataFrame:
@@ -175,16 +175,22 @@ def _evidence(learned: DataFrame, toxic: int, clean: int) -> dict[str, float]:
     return {r.key: r.w for r in rows.orderBy(F.desc("r"), "key").limit(MOST_WORDS).collect()}
 
 
-def text_evidence(text: str, weights: dict[str, float], chars: CharModel) -> float:
-    plain, odd = plain_and_odd(text)
+def held_sizes(weights: dict[str, float]) -> list[int]:
+    """Sizes of the words to look for inside others."""
+    return sorted({len(w) for w in weights if len(w) > 3})
+
+
+def text_evidence(text: str, weights: dict[str, float], chars: CharModel, sizes: list[int]) -> float:
+    """``sizes`` are the ``held_sizes`` of the weights."""
+    plain, odd, joined = plain_and_odd(text)
     hits = plain & weights.keys()
-    for tok in odd:
+    for tok in odd | joined:
         word = chars.restore(tok)
         if word in weights:
             hits.add(word)
-        elif len(word) > 7:
-            hits |= {w for w in weights if len(w) > 3 and w in word}
-    return sum(weights[w] for w in hits)
+        elif len(word) > 7 or tok in joined:
+            hits |= {w for n in sizes if n <= len(word) for i in range(len(word) - n + 1) if (w := word[i : i + n]) in weights}
+    return math.fsum(weights[w] for w in hits)
 
 
 def _measured(docs: DataFrame, weights: dict[str, float], trigrams: dict[str, int]) -> DataFrame:
@@ -194,9 +200,10 @@ def _measured(docs: DataFrame, weights: dict[str, float], trigrams: dict[str, in
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, chars = model.value[0], CharModel(model.value[1])
+        sizes = held_sizes(w)
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
-            yield pa.record_batch([*(b.column(c) for c in rest), pa.array([text_evidence(t, w, chars) for t in texts], pa.float64()), pa.array([math.log1p(len(t)) for t in texts], pa.float64())], names=[*rest, "evidence", "size"])
+            yield pa.record_batch([*(b.column(c) for c in rest), pa.array([text_evidence(t, w, chars, sizes) for t in texts], pa.float64()), pa.array([math.log1p(len(t)) for t in texts], pa.float64())], names=[*rest, "evidence", "size"])
 
     kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in rest)
     return docs.mapInArrow(measure, f"{kinds}, evidence double, size double")

@@ -179,6 +179,18 @@ def test_restored_words():
         assert chars.restore(odd) == plain
 
 
+def test_spaced_words_beside_punctuation_and_letters():
+    words = ("idiot", "scum", "loser", "scumbag", "ass")
+    chars = toxicity.CharModel({g: 50 for w in words for g in (f"^^{w}$"[i : i + 3] for i in range(len(w) + 1))})
+    weights = {"idiot": 1.0, "scum": 2.0, "loser": 4.0}
+    for text, want in (
+        ("you s c u m!", 2), ("you i d i o t.", 1), ("l o s e r, go", 4), ("(s c u m)", 2), ('"s c u m"', 2), ("s - c - u - m", 2), ("s  --  c  --  u  --  m", 2), ("a s c u m", 2), ("s c u m a", 2), ("such a\ns c u m?! i d 1 0 t; x", 3),
+        ("don't s.c.u.m!", 2), ("l_o_s_e_r.", 4), ("a b c, and 1 2 3 4.", 0), ("", 0),
+    ):
+        assert toxicity.text_evidence(text, weights, chars, toxicity.held_sizes(weights)) == want, text
+    assert toxicity.text_evidence("an a s s!", {"ass": 1.0}, chars, []) == 1
+
+
 def test_reputations(spark):
     rng = random.Random(6)
     rows, marks = [], []
