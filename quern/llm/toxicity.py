@@ -1,7 +1,7 @@
 """Toxicity by noisy-channel deobfuscation and word evidence.
 
-Labelled texts give a character trigram model and, for every word, the number
-of toxic and clean texts that hold it. Words whose counts speak for toxicity
+All texts give a character trigram model, and labelled ones, for every word, the
+number of toxic and clean texts that hold it. Words whose counts speak for toxicity
 (by log-likelihood ratio) are evidence, with their log odds as weight.
 
 A word that holds digits, symbols or separators between letters, or letters
@@ -14,8 +14,9 @@ of any length, is evidence for the words it holds.
 
 A text's score is a logistic function of its evidence, plain and restored, and
 of its length. It is fitted to a sample, by hash of the id, of about ``FIT_ROWS`` labelled texts;
-the character model and the word counts use all of them. The model's size is
-bounded by ``MOST_WORDS`` and ``MOST_TRIGRAMS``.
+the word counts use all of them, and the character model all texts. No trigram
+and no word of evidence is left out: the model grows with the vocabulary, 16
+bytes a trigram, and comes to the driver in parts of ``PART`` rows.
 
 Cases: null and empty texts score the value for no evidence; unlabelled rows,
 labels of absent documents and null labels teach nothing; a row labelled twice
@@ -41,7 +42,7 @@ FOLDS, HELD_OUT = 5, 0
 FIT_ROWS = 20_000
 #: Labels up to this number are sent to every executor, so that texts needn't be shuffled to them.
 SENT_LABELS = 2_000_000
-MOST_WORDS, MOST_TRIGRAMS = 4_000, 60_000
+PART = 1_000_000
 LEAST_TEXTS, LEAST_RATIO = 6, 20.0
 FLUSH = 200_000
 #: What a character may stand for besides itself.
@@ -58,17 +59,43 @@ _SPACED = re.compile(r"(?<![^\W_])(?<![^\W_]['’])[^\W_](?:[\W_]+[^\W_](?![^\W_
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
 
 
+def packed(trigrams: list[str]) -> np.ndarray:
+    """Three characters, of 21 bits each, as a number."""
+    c = np.array(trigrams, "<U3").view(np.uint32).reshape(-1, 3).astype(np.int64)
+    return c[:, 0] << 42 | c[:, 1] << 21 | c[:, 2]
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sum of each one's counts."""
+    if not len(keys):
+        return keys, counts
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[first], np.add.reduceat(counts, first)
+
+
+def char_tables(keys: np.ndarray, counts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Counts of packed trigrams, their last two and last characters, and the two and one before the last."""
+    two, one = (1 << 42) - 1, (1 << 21) - 1
+    return [_summed(k, counts) for k in (keys, keys & two, keys & one, keys >> 21, keys >> 21 & one)]
+
+
+def _count(table: tuple[np.ndarray, np.ndarray], key: int) -> int:
+    keys, counts = table
+    i = keys.searchsorted(key)
+    return int(counts[i]) if i < len(keys) and keys[i] == key else 0
+
+
 class CharModel:
     """Character trigrams, smoothed by bigrams and single characters."""
 
-    def __init__(self, trigrams: dict[str, int]):
-        self.tri, self.bi, self.uni, self.ctx2, self.ctx1 = trigrams, Counter(), Counter(), Counter(), Counter()
-        for g, n in trigrams.items():
-            self.bi[g[1:]] += n
-            self.uni[g[2]] += n
-            self.ctx2[g[:2]] += n
-            self.ctx1[g[1]] += n
-        self.total = sum(self.uni.values()) + 1
+    def __init__(self, trigrams: dict[str, int] | list[tuple[np.ndarray, np.ndarray]]):
+        """Counts by trigram, or their ``char_tables``."""
+        if isinstance(trigrams, dict):
+            trigrams = char_tables(packed(list(trigrams)), np.array(list(trigrams.values()), np.int64))
+        self.tri, self.bi, self.uni, self.ctx2, self.ctx1 = trigrams
+        self.total = int(self.uni[1].sum()) + 1
         self.seen: dict[str, float] = {}
         self.words: dict[str, str] = {}
 
@@ -76,9 +103,12 @@ class CharModel:
         """Of the last of three characters after the first two."""
         p = self.seen.get(g)
         if p is None:
-            one = (self.uni.get(g[2], 0) + 0.1) / (self.total + 10)
-            two = (self.bi.get(g[1:], 0) + 2 * one) / (self.ctx1.get(g[1], 0) + 2)
-            p = self.seen[g] = math.log((self.tri.get(g, 0) + 2 * two) / (self.ctx2.get(g[:2], 0) + 2))
+            a, b, c = map(ord, g)
+            one = (_count(self.uni, c) + 0.1) / (self.total + 10)
+            two = (_count(self.bi, b << 21 | c) + 2 * one) / (_count(self.ctx1, b) + 2)
+            if len(self.seen) > FLUSH:
+                self.seen.clear()
+            p = self.seen[g] = math.log((_count(self.tri, a << 42 | b << 21 | c) + 2 * two) / (_count(self.ctx2, a << 21 | b) + 2))
         return p
 
     def restore(self, token: str) -> str:
@@ -110,49 +140,57 @@ class CharModel:
         return best
 
 
-def plain_and_odd(text: str) -> tuple[set[str], set[str], set[str]]:
-    """Distinct lower-case words of letters alone, the tokens that need restoring, and the joined runs of single characters."""
-    low = text.lower()
-    plain, odd = set(), set()
-    triple = _TRIPLE.search(low) is not None
+def plain_words(low: str, odd: set[str] | None = None) -> set[str]:
+    """Distinct words of letters alone of a lower-case text; tokens that need restoring go to ``odd``."""
+    plain = set()
+    triple = odd is not None and _TRIPLE.search(low) is not None
     for tok in set(low.split()):
         if not tok.isalpha():
             tok = tok.strip(STRIPPED)
             if len(tok) > 2 and tok[-1] == tok[-2] == tok[-3] and not tok[-1].isalpha():
                 tok = tok.rstrip(tok[-1]).strip(STRIPPED)
             if not tok.isalpha():
-                if any(c.isalpha() for c in tok):
+                if odd is not None and any(c.isalpha() for c in tok):
                     odd.add(tok)
                 continue
         plain.add(tok)
         if triple and _TRIPLE.search(tok):
             odd.add(tok)
+    return plain
+
+
+def plain_and_odd(text: str) -> tuple[set[str], set[str], set[str]]:
+    """Distinct lower-case words of letters alone, the tokens that need restoring, and the joined runs of single characters."""
+    low, odd = text.lower(), set()
+    plain = plain_words(low, odd)
     return plain, odd, {"".join(c for c in m.group() if c.isalnum()) for m in _SPACED.finditer(low)}
 
 
 def _learned(texts: DataFrame) -> DataFrame:
-    """``kind, key, toxic, clean`` of ``texts(text, toxic)``: texts holding each word (kind 0), trigrams of words (kind 1)."""
+    """``kind, key, toxic, clean`` of ``texts(text, toxic, clean)``, whose last two are numbers of labels or null: labels of the texts holding each word (kind 0), and trigrams of words in all texts (kind 1, as ``clean``)."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[str, list[int]] = {}
 
         def out() -> Iterator[pa.RecordBatch]:
             grams: Counter[str] = Counter()
-            for w, (a, b) in words.items():
+            for w, (_, _, n) in words.items():
                 s = f"^^{w}$"
                 for i in range(len(s) - 2):
-                    grams[s[i : i + 3]] += a + b
-            n = len(words)
-            keys, tox, clean = [*words, *grams], [x[1] for x in words.values()], [x[0] for x in words.values()]
-            yield pa.record_batch([pa.array([0] * n + [1] * len(grams), pa.int32()), pa.array(keys, pa.string()), pa.array(tox + [0] * len(grams), pa.int64()), pa.array(clean + list(grams.values()), pa.int64())], names=["kind", "key", "toxic", "clean"])
+                    grams[s[i : i + 3]] += n
+            told = {w: x for w, x in words.items() if x[0] or x[1]}
+            keys, tox, clean = [*told, *grams], [x[0] for x in told.values()], [x[1] for x in told.values()]
+            yield pa.record_batch([pa.array([0] * len(told) + [1] * len(grams), pa.int32()), pa.array(keys, pa.string()), pa.array(tox + [0] * len(grams), pa.int64()), pa.array(clean + list(grams.values()), pa.int64())], names=["kind", "key", "toxic", "clean"])
             words.clear()
 
         for b in batches:
-            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for w in plain_and_odd(text or "")[0]:
+            for text, toxic, clean in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                for w in plain_words((text or "").lower()):
                     got = words.get(w)
                     if got is None:
-                        got = words[w] = [0, 0]
-                    got[toxic] += 1
+                        got = words[w] = [0, 0, 0]
+                    got[0] += toxic or 0
+                    got[1] += clean or 0
+                    got[2] += 1
                 if len(words) > FLUSH:
                     yield from out()
         yield from out()
@@ -160,19 +198,32 @@ def _learned(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(count, "kind int, key string, toxic long, clean long").groupBy("kind", "key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
+def _in_parts(rows: DataFrame, part: int = PART) -> Iterator[pa.Table]:
+    """All ``rows(key, ...)`` at the driver, about ``part`` at a time."""
+    parts = rows.count() // part + 1
+    for i in range(parts):
+        yield rows.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == i).toArrow()
+
+
+def _char_tables(learned: DataFrame, part: int = PART) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The ``char_tables`` of all trigrams."""
+    got = [(packed(t.column("key").to_pylist()), t.column("clean").to_numpy()) for t in _in_parts(learned.where("kind = 1").select("key", "clean"), part)]
+    return char_tables(*(np.concatenate(x) for x in zip(*got, strict=True)))
+
+
 def _xlogx(x: Column) -> Column:
     return F.when(x > 0, x * F.log(x)).otherwise(0.0)
 
 
-def _evidence(learned: DataFrame, toxic: int, clean: int) -> dict[str, float]:
-    """Weights of the words that speak for toxicity, at most ``MOST_WORDS``."""
+def _evidence(learned: DataFrame, toxic: int, clean: int, part: int = PART) -> dict[str, float]:
+    """Weights of all words that speak for toxicity."""
     a, b = F.col("toxic").cast("double"), F.col("clean").cast("double")
     n = float(toxic + clean)
     c, d = F.lit(float(toxic)) - a, F.lit(float(clean)) - b
     ratio = 2 * (_xlogx(a) + _xlogx(b) + _xlogx(c) + _xlogx(d) - _xlogx(a + b) - _xlogx(c + d) - _xlogx(a + c) - _xlogx(b + d) + n * math.log(n))
     weight = F.log((a + 0.5) / (toxic + 1.0)) - F.log((b + 0.5) / (clean + 1.0))
     rows = learned.where((F.col("kind") == 0) & (F.col("toxic") >= LEAST_TEXTS)).select("key", ratio.alias("r"), weight.alias("w")).where((F.col("w") > 0) & (F.col("r") >= LEAST_RATIO))
-    return {r.key: r.w for r in rows.orderBy(F.desc("r"), "key").limit(MOST_WORDS).collect()}
+    return {k: w for t in _in_parts(rows.select("key", "w"), part) for k, w in zip(t.column("key").to_pylist(), t.column("w").to_pylist(), strict=True)}
 
 
 def held_sizes(weights: dict[str, float]) -> list[int]:
@@ -193,7 +244,7 @@ def text_evidence(text: str, weights: dict[str, float], chars: CharModel, sizes:
     return math.fsum(weights[w] for w in hits)
 
 
-def _measured(docs: DataFrame, weights: dict[str, float], trigrams: dict[str, int]) -> DataFrame:
+def _measured(docs: DataFrame, weights: dict[str, float], trigrams: list[tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     """``docs(id, text, ...)`` with ``evidence`` and ``size`` in place of the text."""
     model = docs.sparkSession.sparkContext.broadcast((weights, trigrams))
     rest = [c for c in docs.columns if c != "text"]
@@ -237,12 +288,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     taught = scratch.put(texts.join(F.broadcast(marks) if few else marks, "id"))
     seen = {r.toxic: r.n for r in taught.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = seen.get(1, 0), seen.get(0, 0)
-    weights, trigrams, fit = {}, {}, None
+    weights, trigrams, fit = {}, char_tables(packed([]), np.zeros(0, np.int64)), None
     if toxic and clean:
-        learned = scratch.put(_learned(taught.select("text", "toxic")))
+        told = marks.groupBy("id").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
+        learned = scratch.put(_learned(texts.join(F.broadcast(told) if few else told, "id", "left").select("text", "toxic", "clean")))
         weights = _evidence(learned, toxic, clean)
-        grams = learned.where("kind = 1").orderBy(F.desc("clean"), "key").limit(MOST_TRIGRAMS)
-        trigrams = {r.key: r.clean for r in grams.select("key", "clean").collect()}
+        trigrams = _char_tables(learned)
         drawn = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, FIT_ROWS / (toxic + clean)))
         sample = taught.where(F.coalesce(drawn, F.lit(True)))
         rows = _measured(sample, weights, trigrams).select("evidence", "size", "toxic").collect()

@@ -191,6 +191,20 @@ def test_spaced_words_beside_punctuation_and_letters():
     assert toxicity.text_evidence("an a s s!", {"ass": 1.0}, chars, []) == 1
 
 
+def test_model_of_toxicity_is_whole(spark):
+    rows = [(0, f"w{i}", 20, 0) for i in range(5000)] + [(1, chr(0x4E00 + i // 300) + chr(0x5E00 + i % 300) + "$", 0, 1 + i % 3) for i in range(70000)]
+    learned = spark.createDataFrame(rows, "kind int, key string, toxic long, clean long")
+    for part in (toxicity.PART, 9000):
+        assert len(toxicity._evidence(learned, 1000, 1000, part)) == 5000
+        chars = toxicity.CharModel(toxicity._char_tables(learned, part))
+        assert len(chars.tri[0]) == 70000 and all(toxicity._count(chars.tri, int(k)) == r[3] for r, k in zip(rows[5000::97], toxicity.packed([r[1] for r in rows[5000::97]]), strict=True))
+        assert chars.total == 1 + sum(r[3] for r in rows[5000:])
+    texts = spark.createDataFrame([("ab no", 1, 0), ("ab", 0, 2), ("cd", None, None), (None, 1, 0)], "text string, toxic long, clean long")
+    got = {(r.kind, r.key): (r.toxic, r.clean) for r in toxicity._learned(texts).collect()}
+    assert got[0, "ab"] == (1, 2) and (0, "cd") not in got and got[1, "cd$"] == (0, 1) and got[1, "^ab"] == (0, 2)
+    assert toxicity.CharModel({}).restore("1d") and toxicity.CharModel({"^^a": 2}).total == 3
+
+
 def test_reputations(spark):
     rng = random.Random(6)
     rows, marks = [], []
