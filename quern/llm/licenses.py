@@ -1,7 +1,7 @@
 """License scans by the digest of a canonical form.
 
-Canonical text is lower case, without copyright lines, with equivalent
-spellings made one, and with every run of ASCII punctuation and white space as
+Canonical text is lower case, without lines of copyright, of reserved rights and
+of titles that aren't part of a licence, with equivalent spellings made one, and with every run of ASCII punctuation and white space as
 one space. Its SHA-256 digest is looked up among those of known licence texts,
 for the whole text, and among those of known notices, for each of its lines
 that speaks of a licence.
@@ -16,20 +16,30 @@ are ignored.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.text import whole
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A line that begins with a copyright sign, or with the word and has a sign or a year; text wrapped before the word stays.
-COPYRIGHT_LINE = r"(?m)^[\x09\x20]*(?:copyright[\x09\x20]*(?:\(c\)|\xA9)|copyright\b[^\n]*[0-9]{4}|\(c\)|\xA9)[^\n]*$"
+#: A line that is the title of a licence whose own text has none.
+_TITLE = r"[\x09\x20#*=]*(?:the )?(?:(?:mit|expat|isc|zlib|zlib/libpng|bsd|new bsd|modified bsd|simplified bsd|bsd zero[ -]clause|zero[ -]clause bsd|[023]-clause bsd|bsd [023]-clause|bsd 2-clause \"simplified\"|bsd 3-clause \"(?:new|revised)\"(?: or \"revised\")?) licen[sc]e|zero[ -]clause bsd|unlicense)(?: \([a-z0-9/-]+\))?[.:*]*[\x09\x0D\x20]*"
+#: A line that names a holder, without a year perhaps: no longer than eight words, for text may begin like it too.
+_HOLDER = r"[\x09\x20]*(?:copyright|\(c\)|\xA9)(?:[\x09\x20]+[^\x09\x20\n]+){1,8}[\x09\x0D\x20]*"
+#: Lines of holders that begin a paragraph, under a title or not; a line that begins with a copyright sign or the word and has a sign or a year (text wrapped before the word stays); a title; reserved rights.
+COPYRIGHT_LINE = (
+    rf"(?m)(?:\A[\x09\x0A\x0D\x20]*|\n[\x09\x0D\x20]*\n)(?:{_TITLE}\n)?{_HOLDER}(?:\n{_HOLDER})*$"
+    r"|^[\x09\x20]*(?:copyright[\x09\x20]*(?:\(c\)|\xA9)|copyright\b[^\n]*[0-9]{4}|\(c\)[^\n]*[0-9]{4}|\xA9)[^\n]*$"
+    rf"|^{_TITLE}$|^[\x09\x20]*all rights reserved[.]?[\x09\x0D\x20]*$"
+)
 PUNCTUATION = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Spellings that the SPDX matching guidelines hold to be equal.
 SPELLINGS = (
     ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("artefact", "artifact"), ("authorisation", "authorization"), ("authorised", "authorized"), ("calibre", "caliber"), ("cancelled", "canceled"), ("capitalisations", "capitalizations"), ("catalogue", "catalog"), ("categorise", "categorize"), ("centre", "center"), ("emphasised", "emphasized"), ("favour", "favor"), ("favourite", "favorite"), ("fulfil", "fulfill"), ("fulfilment", "fulfillment"), ("initialise", "initialize"), ("judgement", "judgment"), ("labelling", "labeling"), ("labour", "labor"), ("licence", "license"), ("licenced", "licensed"), ("maximise", "maximize"), ("modelled", "modeled"), ("modelling", "modeling"), ("offence", "offense"), ("optimise", "optimize"), ("organisation", "organization"), ("organise", "organize"), ("practise", "practice"), ("programme", "program"), ("realise", "realize"), ("recognise", "recognize"), ("signalling", "signaling"), ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "willfull"), ("non commercial", "noncommercial"), ("per cent", "percent"), ("sub license", "sublicense"), ("copyright holder", "copyright owner"),
 )
-#: Licence texts by identifier.
+#: Licence texts by identifier; long ones are in ``license_texts``, which only the driver reads.
 LICENSES = {
     "0BSD": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.
 THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
@@ -49,6 +59,7 @@ In jurisdictions that recognize copyright laws, the author or authors of this so
 THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
 For more information, please refer to <https://unlicense.org>""",
 }
+LICENSES |= {p.stem: p.read_text("utf-8") for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
 #: Names of licences as notices give them, by identifier, with or without an article before them.
 NAMES = {
     "0BSD": ("0BSD", "0BSD License", "BSD Zero Clause License", "Zero-Clause BSD License"),

@@ -154,6 +154,17 @@ def test_every_licence_line_is_named(spark):
     assert digests.count() == digests.select("digest").distinct().count()  # no notice names two licences
 
 
+def test_licence_files(spark):
+    titles = {"MIT": "MIT License", "ISC": "ISC License (ISC)", "Zlib": "The zlib License", "0BSD": "BSD Zero Clause License", "Unlicense": "# The Unlicense", "BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": "The BSD 3-Clause License"}
+    files = [(f"{k} {i}", f"{head}{licenses.LICENSES[k]}") for k, t in titles.items() for i, head in enumerate(("", f"{t}\n\nCopyright Jane Doe\n\n", f"{t}\nCopyright Jane Doe\nCopyright by A Company, Inc.\n\n", f"{t}\r\n\r\nCopyright (c) 2021, Jane Doe\r\nAll rights reserved.\r\n\r\n", "Copyright Jane Doe <jane@example.com>\n\n", "\n(c) Jane Doe\n\n"))]
+    files += [(f"{k} whole", t) for k, t in licenses.LICENSES.items()]
+    df = spark.createDataFrame([*files, ("- 0", "MIT License"), ("- 1", "Copyright Jane Doe"), ("- 2", "a\ncopyright holders b")], "doc_id string, text string")
+    rows = licenses.scan_licenses(df)
+    assert [r for r in rows.collect() if (r.license or "-") != r.doc_id.split()[0]] == []
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "CC0-1.0", "BSL-1.0"} <= set(licenses.LICENSES) and "" not in {r.d for r in df.select(licenses.canonical(F.col("text")).alias("d"), "doc_id").where("doc_id NOT LIKE '- %'").collect()}
+    agrees({"documents": df}, rows, queries.oracle_sql()["op6_licenses"])
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
