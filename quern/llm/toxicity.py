@@ -10,7 +10,9 @@ the letters it may replace, or for nothing (separators and repeats), at a cost
 each. The Viterbi path under the character model is the restored word. Single
 characters set apart by spaces or marks are joined and restored likewise,
 with the one-letter words beside them. A long restored word, and a joined one
-of any length, is evidence for the words it holds.
+of any length, is evidence for the words it holds. So is read a word of letters
+alone that differs from one of evidence by doubled letters and v for u, unless
+a clean labelled text holds it.
 
 A text's score is a logistic function of its evidence, plain and restored, and
 of its length. It is fitted to a sample, by hash of the id, of about ``FIT_ROWS`` labelled texts;
@@ -29,7 +31,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Set
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +58,8 @@ REPEAT = 3.0, 0.3
 STRIPPED = ".,;:!?\"'()[]{}<>*#%&|-_~/\\=`^"
 #: Single letters or digits set apart by anything else, however long; not from the end of a contraction.
 _SPACED = re.compile(r"(?<![^\W_])(?<![^\W_]['’])[^\W_](?:[\W_]+[^\W_](?![^\W_])){2,}")
+_DOUBLED = re.compile(r"([^\W\d_])\1|v")
+_REPEATED = re.compile(r"(.)\1+")
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
 
 
@@ -231,10 +235,25 @@ def held_sizes(weights: dict[str, float]) -> list[int]:
     return sorted({len(w) for w in weights if len(w) > 3})
 
 
-def text_evidence(text: str, weights: dict[str, float], chars: CharModel, sizes: list[int]) -> float:
-    """``sizes`` are the ``held_sizes`` of the weights."""
+def form(word: str) -> str:
+    """Alike for words that differ by doubled letters and v for u."""
+    return _REPEATED.sub(r"\1", word.replace("v", "u"))
+
+
+def _known(learned: DataFrame, weights: dict[str, float], part: int = PART) -> set[str]:
+    """Words of clean texts that have the form of a word of evidence, and aren't one."""
+    if not weights:
+        return set()
+    forms = learned.sparkSession.createDataFrame([(f,) for f in sorted({form(w) for w in weights})], "form string")
+    words = learned.where("kind = 0 AND clean > 0").select("key", F.regexp_replace(F.translate("key", "v", "u"), r"(.)\1+", "$1").alias("form"))
+    return {k for t in _in_parts(words.join(forms, "form", "left_semi").select("key"), part) for k in t.column("key").to_pylist()} - weights.keys()
+
+
+def text_evidence(text: str, weights: dict[str, float], chars: CharModel, sizes: list[int], forms: Set[str] = frozenset(), known: Set[str] = frozenset()) -> float:
+    """``sizes`` are the ``held_sizes`` of the weights, ``forms`` their forms, and ``known`` words of such a form that stand for themselves."""
     plain, odd, joined = plain_and_odd(text)
     hits = plain & weights.keys()
+    odd |= {w for w in plain - hits if _DOUBLED.search(w) and form(w) in forms and w not in known}
     for tok in odd | joined:
         word = chars.restore(tok)
         if word in weights:
@@ -244,17 +263,17 @@ def text_evidence(text: str, weights: dict[str, float], chars: CharModel, sizes:
     return math.fsum(weights[w] for w in hits)
 
 
-def _measured(docs: DataFrame, weights: dict[str, float], trigrams: list[tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+def _measured(docs: DataFrame, weights: dict[str, float], trigrams: list[tuple[np.ndarray, np.ndarray]], known: set[str]) -> DataFrame:
     """``docs(id, text, ...)`` with ``evidence`` and ``size`` in place of the text."""
-    model = docs.sparkSession.sparkContext.broadcast((weights, trigrams))
+    model = docs.sparkSession.sparkContext.broadcast((weights, trigrams, known))
     rest = [c for c in docs.columns if c != "text"]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, chars = model.value[0], CharModel(model.value[1])
-        sizes = held_sizes(w)
+        sizes, forms, known = held_sizes(w), {form(x) for x in w}, model.value[2]
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
-            yield pa.record_batch([*(b.column(c) for c in rest), pa.array([text_evidence(t, w, chars, sizes) for t in texts], pa.float64()), pa.array([math.log1p(len(t)) for t in texts], pa.float64())], names=[*rest, "evidence", "size"])
+            yield pa.record_batch([*(b.column(c) for c in rest), pa.array([text_evidence(t, w, chars, sizes, forms, known) for t in texts], pa.float64()), pa.array([math.log1p(len(t)) for t in texts], pa.float64())], names=[*rest, "evidence", "size"])
 
     kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in rest)
     return docs.mapInArrow(measure, f"{kinds}, evidence double, size double")
@@ -288,19 +307,19 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     taught = scratch.put(texts.join(F.broadcast(marks) if few else marks, "id"))
     seen = {r.toxic: r.n for r in taught.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = seen.get(1, 0), seen.get(0, 0)
-    weights, trigrams, fit = {}, char_tables(packed([]), np.zeros(0, np.int64)), None
+    weights, trigrams, known, fit = {}, char_tables(packed([]), np.zeros(0, np.int64)), set(), None
     if toxic and clean:
         told = marks.groupBy("id").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
         learned = scratch.put(_learned(texts.join(F.broadcast(told) if few else told, "id", "left").select("text", "toxic", "clean")))
         weights = _evidence(learned, toxic, clean)
-        trigrams = _char_tables(learned)
+        trigrams, known = _char_tables(learned), _known(learned, weights)
         drawn = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, FIT_ROWS / (toxic + clean)))
         sample = taught.where(F.coalesce(drawn, F.lit(True)))
-        rows = _measured(sample, weights, trigrams).select("evidence", "size", "toxic").collect()
+        rows = _measured(sample, weights, trigrams, known).select("evidence", "size", "toxic").collect()
         e, s, y = (np.array([r[i] for r in rows], float) for i in range(3))
         if 0 < y.sum() < len(y):
             fit = _logistic(np.column_stack([np.ones_like(e), e, np.sqrt(e), s]), y)
     z = F.lit(-1e9) if fit is None else F.lit(fit[0]) + F.col("evidence") * fit[1] + F.sqrt("evidence") * fit[2] + F.col("size") * fit[3]
     score = F.when(z > -700, 1 / (1 + F.exp(-z))).otherwise(0.0)
-    out = _measured(texts, weights, trigrams).withColumn("score", score)
+    out = _measured(texts, weights, trigrams, known).withColumn("score", score)
     return out.select(F.col("id").alias("doc_id"), (fold_of(F.col("id")) == held_out_fold).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

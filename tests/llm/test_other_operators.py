@@ -202,6 +202,17 @@ def test_spaced_words_beside_punctuation_and_letters():
     assert toxicity.text_evidence("an a s s!", {"ass": 1.0}, chars, []) == 1
 
 
+def test_disguised_by_letters_alone(spark):
+    chars = toxicity.CharModel({g: 50 for w in ("idiot", "stupid", "scum", "loser", "hop", "hoop") for g in (f"^^{w}$"[i : i + 3] for i in range(len(w) + 1))})
+    weights = {"idiot": 1.0, "scum": 2.0, "stupid": 4.0, "hop": 8.0}
+    learned = spark.createDataFrame([(0, "hoop", 0, 3), (0, "hop", 9, 1), (0, "sccum", 2, 0), (0, "other", 1, 9), (1, "hop", 0, 9)], "kind int, key string, toxic long, clean long")
+    known = toxicity._known(learned, weights)
+    assert known == {"hoop"} and toxicity._known(learned, {}) == set()
+    forms = {toxicity.form(w) for w in weights}
+    for text, want in (("an idiiot", 1), ("Sccum!", 2), ("stvpid", 4), ("sttvppid idiott", 5), ("hoop", 0), ("hopp", 8), ("very good", 0), ("scum sccum", 2)):
+        assert toxicity.text_evidence(text, weights, chars, toxicity.held_sizes(weights), forms, known) == want, text
+
+
 def test_model_of_toxicity_is_whole(spark):
     rows = [(0, f"w{i}", 20, 0) for i in range(5000)] + [(1, chr(0x4E00 + i // 300) + chr(0x5E00 + i % 300) + "$", 0, 1 + i % 3) for i in range(70000)]
     learned = spark.createDataFrame(rows, "kind int, key string, toxic long, clean long")
