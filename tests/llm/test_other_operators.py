@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import licenses, media, mixing, queries, reputation, toxicity, warc
+from quern.llm import licenses, media, mixing, pieces, queries, reputation, toxicity, warc
 from quern.llm.pieces import PieceModel, decode_pieces, encode_pieces, piece_digests
 from tests_support import agrees
 
@@ -86,11 +86,28 @@ def test_pieces_equal_the_library(spark, sf):
         assert coded[r.doc_id] == ids and back[r.doc_id] == m.library.decode(ids)
         d = digests[r.doc_id]
         assert (d.n_tokens, d.ids_sha256, d.decoded_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(m.library.decode(ids).encode()).hexdigest())
-    for t in ("▁" + "abc" * 40, "▁the▁"):
-        assert m.agenda(t) == m.short_agenda(list(t))
+    clash = docs.withColumn("ids_sha256", F.lit(1)).withColumn("n_tokens", F.lit("x")).withColumn("id", F.lit(0))
+    assert {r.doc_id: r.ids_sha256 for r in piece_digests(clash, path).collect()} == {k: r.ids_sha256 for k, r in digests.items()}
     assert piece_digests(docs.where("false"), path).count() == 0
 
 
+def test_both_agendas_equal_the_library():
+    """Short words by rows of a matrix, long ones by an agenda of their own; unbroken texts of some length."""
+    m = PieceModel.open(queries.piece_model())
+    rng = random.Random(11)
+    letters = "etaoinshrdlu'-.éß日本🙂1"
+    words = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 90))) for _ in range(3000)] + ["a" * n for n in range(1, 60)]
+    symbols, at = m.agendas([m.prefix + w for w in words])
+    for w, i, j in zip(words, at, at[1:]):
+        alone = m.agenda(m.prefix + w)
+        assert symbols[i:j].tolist() == alone.tolist()
+        ids, _ = m.to_ids(alone, np.array([0, len(alone)]))
+        assert ids.tolist() == m.library.encode(w)
+    unbroken = "".join(rng.choice(letters) for _ in range(100_000))
+    assert m.encode_batch([unbroken, unbroken + " end"])[0].tolist() == m.library.encode(unbroken)
+    assert max(map(len, m.cache)) < pieces.SHORT
+
+
 def test_images(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(-1, None), (-2, ""), (-3, "x" * 64), (-4, "é" * 300000), (-5, "\0")], "doc_id long, text string"))
     stored = media.store_media(docs.withColumn("media", F.lit(1)))
