@@ -7,12 +7,19 @@ source has delivered the same share of its target at the cut.
 
 Running sums over a source, and over the whole corpus, never pass through one
 task: rows fall into buckets of a bounded mean size by shuffle key (or finish
-time), the sums of the buckets are accumulated, and only inside a bucket does a
-window run. The plan is DataFrame operations throughout.
+time), the sums of the buckets are accumulated in two levels, and only inside a
+bucket does a window run. The cut is found in the same way, which takes the
+place of a sort of all copies: it is where a global range-sort would truncate.
+Only the sources themselves, a row each, are put in order by one task. The plan
+is DataFrame operations throughout.
 
 Cases: a null text has size 0 and is never taken; null is a source of its own,
-the last; a null id is an id like any other; repeated rows are taken on their
-own; a source without words has target 0; an empty table gives an empty result.
+the last; the shuffle key is the digest of id and text, so rows whose id is null
+or repeated don't gather in a bucket; rows that tie are ordered by a hash of all
+their columns, and those alike in all are taken on their own; a source without
+words has target 0; a very long text is one document, taken whole or not; an
+empty table gives an empty result; result columns win over input columns of the
+same name.
 """
 
 from __future__ import annotations
@@ -33,10 +40,10 @@ BUCKET_ROWS = 1024
 KEY_BITS = 60
 
 
-def shuffle_key(doc_id: Column, seed: int) -> Column:
-    """60 bits of the digest of seed and id: the same order in every run."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
-    return F.conv(F.substring(digest, 1, KEY_BITS // 4), 16, 10).cast("long")
+def shuffle_key(doc_id: Column, digest: Column, seed: int) -> Column:
+    """60 bits of the digest of seed, id and the text's digest: the same order in every run."""
+    own = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), digest))
+    return F.conv(F.substring(own, 1, KEY_BITS // 4), 16, 10).cast("long")
 
 
 def source_targets(totals: DataFrame, weights: tuple[int, ...], share: float, copies: int) -> DataFrame:
@@ -67,13 +74,25 @@ def source_targets(totals: DataFrame, weights: tuple[int, ...], share: float, co
 
 def _keyed(df: DataFrame, bits: int, seed: int) -> DataFrame:
     return df.withColumns({
-        "_s_null": F.col("_source").isNull(), "_s": F.coalesce(F.col("_source").cast("string"), F.lit("")), "_key": shuffle_key(F.col("_id"), seed),
+        "_s_null": F.col("_source").isNull(), "_s": F.coalesce(F.col("_source").cast("string"), F.lit("")), "_key": shuffle_key(F.col("_id"), F.col("_digest"), seed),
     }).withColumn("_kb", F.shiftright("_key", KEY_BITS - bits) if bits else F.lit(0).cast("long"))
 
 
+def _before(sums: DataFrame, keys: list[str], order: str, value: str, bits: int) -> DataFrame:
+    """``sums`` with ``before``: the ``value`` of the rows that come before by ``order``, a whole number of ``bits`` bits.
+
+    Sums run within parts of the order and over the parts, so that no task has them all.
+    """
+    sums = sums.withColumn("_part", F.shiftright(order, bits // 2))
+    upto = lambda own, by: F.coalesce(F.sum(value).over(Window.partitionBy(*own).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = sums.groupBy(*keys, "_part").agg(F.sum(value).alias(value))
+    parts = parts.withColumn("_earlier", upto(keys or [F.lit(0)], "_part")).drop(value)
+    return sums.withColumn("_within", upto([*keys, "_part"], order)).join(parts, [*keys, "_part"]).withColumn("before", F.col("_earlier") + F.col("_within")).drop("_part", "_earlier", "_within")
+
+
 def _finish_times(keyed: DataFrame, starts: DataFrame, copies: int) -> DataFrame:
     """``keyed`` with an array ``_copies`` of order keys, one for each copy the source may give."""
-    inside = Window.partitionBy("_s_null", "_s", "_kb").orderBy("_key", F.col("_id").asc_nulls_first(), "_size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("_s_null", "_s", "_kb").orderBy("_key", F.col("_id").asc_nulls_first(), "_size", "_tie").rowsBetween(Window.unboundedPreceding, 0)
     at = F.col("_start") + F.sum("_size").over(inside)
     one = lambda p: F.struct(
         ((F.lit(float(p)) * F.col("_source_size") + F.col("_at")) / F.col("_target")).alias("t"), F.col("_s_rank").alias("r"), F.lit(p).alias("p"), F.col("_key").alias("k"),
@@ -85,26 +104,28 @@ def _finish_times(keyed: DataFrame, starts: DataFrame, copies: int) -> DataFrame
 
 def mix_sources(
     docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, copies: int = MOST_COPIES, seed: int = 17,
-    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size_col: str | None = None,
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size_col: str | None = None, digest_col: str | None = None,
 ) -> DataFrame:
     """``docs`` with ``size``, ``source_size``, ``target`` and ``taken``, the words the mix takes of each row.
 
-    ``taken`` is a whole number of copies of the row, at most ``copies``.
+    ``taken`` is a whole number of copies of the row, at most ``copies``. Sizes
+    and digests (MD5) of the texts are taken from columns where these are named.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "mix")
     size = F.col(size_col).cast("long") if size_col else n_words(whole(text_col))
-    parts = {"_id": F.col(id_col), "_source": F.col(source_col), "_size": size}
+    tie = F.xxhash64(*(f"`{f.name}`" for f in docs.schema if "map<" not in f.dataType.simpleString()))
+    digest = F.col(digest_col) if digest_col else F.md5(whole(text_col).cast("binary"))
+    parts = {"_id": F.col(id_col), "_source": F.col(source_col), "_size": size, "_digest": digest, "_tie": tie}
     narrow = scratch.put(docs.select(*(e.alias(k) for k, e in parts.items())))
     rows = narrow.count()
-    bits = max(0, min(24, ceil(log2(max(1, rows) / BUCKET_ROWS))))
+    bits = min(KEY_BITS, max(0, ceil(log2(max(1, rows) / BUCKET_ROWS))))
 
     keyed = _keyed(narrow, bits, seed)
     buckets = scratch.put(keyed.groupBy("_s_null", "_s", "_kb").agg(F.sum("_size").alias("bucket_size")))
     totals = buckets.groupBy(F.col("_s_null").alias("s_null"), F.col("_s").alias("s")).agg(F.sum("bucket_size").alias("source_size"))
     targets = scratch.put(source_targets(totals, weights, share, copies))
-    before = Window.partitionBy("_s_null", "_s").orderBy("_kb").rowsBetween(Window.unboundedPreceding, -1)
     starts = scratch.put(
-        buckets.withColumn("_start", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)))
+        _before(buckets, ["_s_null", "_s"], "_kb", "bucket_size", bits).withColumnRenamed("before", "_start")
         .join(targets, (F.col("_s_null") == F.col("s_null")) & (F.col("_s") == F.col("s")))
         .select("_s_null", "_s", "_kb", "_start", F.col("source_size").alias("_source_size"), F.col("s_rank").alias("_s_rank"), F.col("target").alias("_target")),
     )
@@ -132,8 +153,8 @@ def _cut(scratch: Scratch, timed: DataFrame, targets: DataFrame, rows: int):
     budget = targets.agg(F.max("budget").alias("b")).first().b
     if budget is None:
         return None
-    so_far = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
-    sums = copies.groupBy("slot").agg(F.sum("_size").alias("n")).withColumn("cum", F.sum("n").over(so_far))
+    sums = _before(copies.groupBy("slot").agg(F.sum("_size").alias("n")), [], "slot", "n", slots.bit_length()).withColumn("cum", F.col("before") + F.col("n"))
+    sums = scratch.put(sums)
     over = sums.where(F.col("cum") > budget).agg(F.min("slot").alias("slot")).first().slot
     done = sums.where(F.col("cum") <= budget).agg(F.max("cum").alias("n"), F.max("slot").alias("slot")).first()
     order = Window.orderBy("t", "r", "p", "k").rowsBetween(Window.unboundedPreceding, 0)

@@ -6,7 +6,7 @@ OP2 = r"""
 WITH d AS (
   SELECT doc_id, source IS NULL AS sn, coalesce(source, '') AS s,
     len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-    ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS k
+    ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS k
   FROM documents),
 tot AS (SELECT sn, s, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY sn, s) AS r FROM d GROUP BY sn, s),
 w AS (SELECT *, (CASE (r - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END)::DOUBLE AS weight, source_size::DOUBLE * 2 AS stop FROM tot),
@@ -31,7 +31,12 @@ WITH p AS (
     translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
   FROM pages),
-q AS (SELECT *, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, string_split(host, '.')[-1] AS suffix FROM p),
+bh AS (SELECT *, string_split(regexp_replace(regexp_replace(regexp_replace(host, '(?s)^.*@', ''), ':[0-9]*$', ''), '\.+$', ''), '.') AS ls FROM p),
+sl AS (SELECT *, CASE WHEN regexp_matches(array_to_string(ls, '.'), '(?s)^([0-9.]+|\[.*)$') THEN 100000
+    WHEN array_to_string(list_slice(ls, -2, -1), '.') IN ('appspot.com', 'azurewebsites.net', 'blogspot.com', 'cloudfront.net', 'firebaseapp.com', 'fly.dev', 'github.io', 'gitlab.io', 'glitch.me', 'herokuapp.com',
+      'id.au', 'ltd.uk', 'me.uk', 'neocities.org', 'netlify.app', 'onrender.com', 'pages.dev', 'plc.uk', 'readthedocs.io', 'surge.sh', 'vercel.app', 'web.app', 'weebly.com', 'wordpress.com', 'workers.dev') THEN 2
+    WHEN len(ls) > 1 AND regexp_matches(ls[-1], '^[a-z][a-z]$') AND ls[-2] IN ('ac', 'co', 'com', 'edu', 'go', 'gob', 'gouv', 'gov', 'mil', 'ne', 'net', 'or', 'org', 'sch') THEN 2 ELSE 1 END AS k FROM bh),
+q AS (SELECT page_id, url, host, path, array_to_string(list_slice(ls, -least(k + 1, len(ls)), -1), '.') AS domain, array_to_string(list_slice(ls, -least(k, len(ls)), -1), '.') AS suffix FROM sl),
 h AS (SELECT host, domain, suffix, count(*)::DOUBLE AS n, sum(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END)::DOUBLE AS bad
   FROM q JOIN labels ON page_id = labels.doc_id GROUP BY ALL),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY ALL),
@@ -65,15 +70,32 @@ FROM r
 SQL = {"op2_mix_sources": OP2, "op10_url_reputation": OP10}
 
 
-def _canonical(text: str) -> str:
-    from quern.llm.licenses import COPYRIGHT_LINE, LOWER, SPELLINGS, UPPER
+#: The same spellings once more, for the SQL doesn't read the operator's: another one, and the one it becomes.
+SPELLED = """
+acknowledgement acknowledgment, analogue analog, artefact artifact, authorisation authorization, authorised authorized, calibre caliber, cancelled canceled, capitalisations capitalizations, catalogue catalog,
+categorise categorize, centre center, emphasised emphasized, favour favor, favourite favorite, fulfil fulfill, fulfilment fulfillment, initialise initialize, judgement judgment, labelling labeling, labour labor,
+licence license, licenced licensed, maximise maximize, modelled modeled, modelling modeling, offence offense, optimise optimize, organisation organization, organise organize, practise practice, programme program,
+realise realize, recognise recognize, signalling signaling, utilisation utilization, whilst while, wilful willful, wilfull willful, willfull willful, non_commercial noncommercial, per_cent percent,
+sub_license sublicense, copyright_holder copyright_owner
+"""
+#: Lines that canonical texts leave out, for lower-case texts.
+_NAMED = "(mit|expat|isc|zlib|zlib/libpng|bsd|new bsd|modified bsd|simplified bsd|bsd zero[ -]clause|zero[ -]clause bsd|[023]-clause bsd|bsd [023]-clause|bsd 2-clause \"simplified\"|bsd 3-clause \"(new|revised)\"( or \"revised\")?)"
+_TITLED = rf"[\t #*=]*(the )?({_NAMED} licen[sc]e|zero[ -]clause bsd|unlicense)( \([a-z0-9/-]+\))?[.:*]*[\t\r ]*"
+_HELD = r"[\t ]*(copyright|\(c\)|\x{A9})([\t ]+[^\t \n]+){1,8}[\t\r ]*"
+LEFT_OUT = "(?m)" + "|".join((
+    rf"(\A[\t\n\r ]*|\n[\t\r ]*\n)({_TITLED}\n)?{_HELD}(\n{_HELD})*$", r"^[\t ]*(copyright[\t ]*(\(c\)|\x{A9})|copyright\b[^\n]*[0-9]{4}|\(c\)[^\n]*[0-9]{4}|\x{A9})[^\n]*$",
+    rf"^{_TITLED}$", r"^[\t ]*all rights reserved[.]?[\t\r ]*$",
+))
+BETWEEN = r"[\x00-/:-@\[-`{-\x7F\x{A0}\x{AB}\x{B7}\x{BB}\x{2000}-\x{2026}\x{2028}\x{2029}\x{202F}\x{2039}\x{203A}\x{2060}\x{FEFF}]+"
 
-    line = COPYRIGHT_LINE.replace(r"\xA9", r"\x{A9}")
-    out = f"regexp_replace(translate({text}, '{UPPER}', '{LOWER}'), '{line}', '', 'g')"
-    out = rf"regexp_replace(' ' || regexp_replace({out}, '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+', ' ', 'g') || ' ', ' +', ' ', 'g')"
-    for other, one in SPELLINGS:
+
+def _canonical(text: str) -> str:
+    out = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    out = f"regexp_replace(' ' || regexp_replace({out}, '{LEFT_OUT}', '', 'g') || ' ', '{BETWEEN}', '  ', 'g')"
+    for pair in SPELLED.replace("\n", " ").split(","):
+        other, one = (x.replace("_", "  ") for x in pair.split())
         out = f"replace({out}, ' {other} ', ' {one} ')"
-    return f"sha256(trim({out}))"
+    return f"sha256(trim(replace({out}, '  ', ' ')))"
 
 
 def _op6() -> str:

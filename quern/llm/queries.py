@@ -35,9 +35,9 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = load(spark, sf_dir, "documents").select("doc_id", "source", n_words(whole("text")).alias("size"))
+    sizes = load(spark, sf_dir, "documents").select("doc_id", "source", n_words(whole("text")).alias("size"), F.md5(whole("text").cast("binary")).alias("digest"))
     sizes = Scratch(spark, "sizes").put(sizes)
-    return mix_sources(sizes, size_col="size").select("doc_id", "size", "source_size", "target", "taken")
+    return mix_sources(sizes, size_col="size", digest_col="digest").select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
