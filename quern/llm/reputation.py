@@ -8,14 +8,21 @@ around their parents. A page is blocked where the lower posterior bound of its
 host's bad rate exceeds ``max_bad``. A host without labels has the posterior
 of the nearest ancestor that has some.
 
-The registered domain is the last two labels of the host, the suffix the last
-one. Counts are combined before they are shuffled, so a hot host costs one row
-a task; pages meet reputations in a join that may be split where it is skewed.
+For reputations, a host loses its user name, port and closing dots. Its suffix
+is the last label, or the last two where these are one of ``SHARED_SUFFIXES``
+or a label of ``SECOND_LEVEL`` under a country's two letters; the registered
+domain has one label more. An address in numbers is its own domain and suffix.
+
+Counts are combined before they are shuffled, so a hot host costs one row a
+task; each level is written once, for the next to read; pages meet reputations
+in a join that may be split where it is skewed.
 
 Cases: a null url, or one without ``://``, has an empty host and path and no
 rule; an empty host is a host like any other; labels may repeat, each counts;
-a null label counts as no evidence of harm; without labels nothing but rules
-blocks; empty tables give empty results.
+a null label counts as no evidence of harm; of rules that tie in length the
+later one wins; repeated rows are judged alike; without labels nothing but rules
+blocks; empty tables give empty results; a very long url is matched by
+expressions that are linear in it; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,6 +36,12 @@ from quern.shared import Scratch
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 Z = 1.645
 MAX_BAD = 0.5
+#: Second-level labels that registries of countries share out, and suffixes under which owners of sites differ.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "go", "gob", "gouv", "gov", "mil", "ne", "net", "or", "org", "sch")
+SHARED_SUFFIXES = (
+    "appspot.com", "azurewebsites.net", "blogspot.com", "cloudfront.net", "firebaseapp.com", "fly.dev", "github.io", "gitlab.io", "glitch.me", "herokuapp.com", "id.au", "ltd.uk", "me.uk", "neocities.org",
+    "netlify.app", "onrender.com", "pages.dev", "plc.uk", "readthedocs.io", "surge.sh", "vercel.app", "web.app", "weebly.com", "wordpress.com", "workers.dev",
+)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -49,12 +62,28 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def registered_domain(host: Column) -> Column:
-    return F.substring_index(host, ".", -2)
+def bare_host(host: Column) -> Column:
+    """Without user name, port and closing dots."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(host, r"(?s)^.*@", ""), r":[0-9]*\z", ""), r"\.+\z", "")
+
+
+def _suffix_labels(bare: Column) -> Column:
+    """How many labels the suffix has; 0 for an address in numbers."""
+    last, second = F.substring_index(bare, ".", -1), F.substring_index(F.substring_index(bare, ".", -2), ".", 1)
+    shared = F.substring_index(bare, ".", -2).isin(*SHARED_SUFFIXES) | (last.rlike(r"^[a-z]{2}\z") & bare.contains(".") & second.isin(*SECOND_LEVEL))
+    return F.when(bare.rlike(r"(?s)^(?:[0-9.]+|\[.*)\z"), 0).when(shared, 2).otherwise(1)
 
 
 def suffix(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+    bare = bare_host(host)
+    n = _suffix_labels(bare)
+    return F.when(n == 0, bare).when(n == 2, F.substring_index(bare, ".", -2)).otherwise(F.substring_index(bare, ".", -1))
+
+
+def registered_domain(host: Column) -> Column:
+    bare = bare_host(host)
+    n = _suffix_labels(bare)
+    return F.when(n == 0, bare).when(n == 2, F.substring_index(bare, ".", -3)).otherwise(F.substring_index(bare, ".", -2))
 
 
 def _prior_weight(children: DataFrame) -> DataFrame:
@@ -79,18 +108,19 @@ def host_counts(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.col("bad"), F.lit(False)).cast("long")).alias("bad"))
 
 
-def host_reputations(counts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def host_reputations(scratch: Scratch, counts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Posteriors ``alpha, beta, mean`` by host, domain and suffix and overall, from ``counts(host, n, bad)``."""
-    hosts = counts.select("host", registered_domain(F.col("host")).alias("domain"), suffix(F.col("host")).alias("suffix"), "n", "bad")
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    hosts = scratch.put(counts.select("host", registered_domain(F.col("host")).alias("domain"), suffix(F.col("host")).alias("suffix"), "n", "bad"))
+    domains = scratch.put(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")))
+    suffixes = scratch.put(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")))
     overall = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    overall = overall.select((F.col("bad") + 0.5).alias("alpha"), (F.col("n") - F.col("bad") + 0.5).alias("beta")).withColumn("mean", F.col("alpha") / (F.col("alpha") + F.col("beta")))
+    overall = scratch.put(overall.select((F.col("bad") + 0.5).alias("alpha"), (F.col("n") - F.col("bad") + 0.5).alias("beta")).withColumn("mean", F.col("alpha") / (F.col("alpha") + F.col("beta"))))
 
     def posterior(level: DataFrame) -> DataFrame:
+        level = scratch.put(level)
         k, m = F.col("k"), F.col("prior")
         known = level.crossJoin(F.broadcast(_prior_weight(level)))  # one row
-        return known.select(*(c for c in level.columns if c != "prior"), (F.col("bad") + k * m).alias("alpha"), (F.col("n") - F.col("bad") + k * (1 - m)).alias("beta")).withColumn("mean", F.col("alpha") / (F.col("alpha") + F.col("beta")))
+        return scratch.put(known.select(*(c for c in level.columns if c != "prior"), (F.col("bad") + k * m).alias("alpha"), (F.col("n") - F.col("bad") + k * (1 - m)).alias("beta")).withColumn("mean", F.col("alpha") / (F.col("alpha") + F.col("beta"))))
 
     suffixes = posterior(suffixes.crossJoin(F.broadcast(overall.select(F.col("mean").alias("prior")))))  # one row
     domains = posterior(domains.join(suffixes.select("suffix", F.col("mean").alias("prior")), "suffix"))
@@ -106,8 +136,9 @@ def lower_bound(alpha: Column, beta: Column, z: float = Z) -> Column:
 
 def judge_urls(pages: DataFrame, outcomes: DataFrame, *, rules=RULES, z: float = Z, max_bad: float = MAX_BAD, page_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """``page_id, host, path, rule, verdict, bad_bound`` for every page; ``outcomes(host, bad)`` are labelled pages."""
-    counts = Scratch(pages.sparkSession, "reputation").put(host_counts(outcomes))
-    hosts, domains, suffixes, whole = host_reputations(counts)
+    scratch = Scratch(pages.sparkSession, "reputation")
+    hosts, domains, suffixes, whole = host_reputations(scratch, host_counts(outcomes))
+    scratch.drop_all_but(hosts, domains, suffixes, whole)
     judged = pages.select(F.col(page_col).alias("page_id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
     names = judged.groupBy("host").agg(F.count("*").alias("pages"))
     bound = lambda t, key, as_: t.select(key, lower_bound(F.col("alpha"), F.col("beta"), z).alias(as_))
