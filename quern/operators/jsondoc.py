@@ -2,15 +2,14 @@
 
 Reads go through ``variant``, so that quoting survives and a wildcard gives an
 array with null for members that lack the path. Changes at the first level
-rebuild the object from its map of members; ``update_path`` reaches any depth,
-batch by batch, where no expression can.
+rebuild the object from its map of members; ``update_path``, and the changes in
+``jsonedit``, reach any depth, batch by batch, where no expression can.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,6 +18,10 @@ from pyspark.sql import functions as F
 from quern.shared import ship
 
 MEMBERS = "map<string,variant>"
+class MISSING:
+    """Stands for no value; a class, since workers know it by name."""
+
+
 STEP = re.compile(r"""\.\.|\.\*|\.([^.\[\]]+)|\['([^']*)'\]|\[(\d+)\]|\[(\*)\]""")
 
 
@@ -49,14 +52,6 @@ def type_of(doc: Column, path: str = "$") -> Column:
     )
 
 
-def objkeys(doc: Column) -> Column:
-    return F.json_object_keys(doc)
-
-
-def objlen(doc: Column) -> Column:
-    return F.size(F.json_object_keys(doc)).cast("long")
-
-
 def _array(doc: Column, path: str) -> Column:
     return F.try_variant_get(parsed(doc), path, "array<variant>")
 
@@ -65,39 +60,6 @@ def arrlen(doc: Column, path: str = "$") -> Column:
     return F.size(_array(doc, path)).cast("long")
 
 
-def arrappend(items: Column, *values: Column) -> Column:
-    return F.concat(items, F.array(*values))
-
-
-def arrinsert(items: Column, index: int, *values: Column) -> Column:
-    """Before ``index``; a negative one counts from behind the end; both are clamped."""
-    n = F.size(items)
-    at = F.least(F.greatest(F.lit(index) if index >= 0 else n + 1 + index, F.lit(0)), n)
-    return F.concat(F.slice(items, F.lit(1), at), F.array(*values), F.slice(items, at + 1, F.greatest(n - at, F.lit(0))))
-
-
-def arrpop(items: Column, index: int = -1) -> tuple[Column, Column]:
-    """What is taken out, and what is left; out of range nothing is."""
-    n = F.size(items)
-    at = F.lit(index) if index >= 0 else n + index
-    ok = (at >= 0) & (at < n)
-    return F.when(ok, F.get(items, at)), F.when(ok, F.filter(items, lambda x, i: i != at)).otherwise(items)
-
-
-def arrtrim(items: Column, start: int, stop: int) -> Column:
-    n = F.size(items)
-    lo = F.greatest(F.lit(start) if start >= 0 else n + start, F.lit(0))
-    hi = F.least(F.lit(stop) if stop >= 0 else F.greatest(n + stop, F.lit(0)), n - 1)
-    return F.when(lo > hi, F.filter(items, lambda x: F.lit(False))).otherwise(F.slice(items, lo + 1, hi - lo + 1))
-
-
-def arrindex(items: Column, value: Column, start: int = 0, stop: int | None = None) -> Column:
-    """The first place equal to the value from ``start`` to ``stop``, both included, or -1."""
-    part = items if not start and stop is None else F.slice(items, start + 1, (stop - start + 1) if stop is not None else F.size(items))
-    at = F.array_position(part, value)
-    return F.when(at > 0, at - 1 + start).otherwise(-1).cast("long")
-
-
 def strlen(doc: Column, path: str) -> Column:
     return F.length(F.try_variant_get(parsed(doc), path, "string")).cast("long")
 
@@ -113,33 +75,6 @@ def without_member(doc: Column, name: str) -> Column:
     return F.to_json(F.map_filter(F.try_variant_get(parsed(doc), "$", MEMBERS), lambda k, v: k != name))
 
 
-def number_at(doc: Column, path: str) -> Column:
-    return F.try_variant_get(parsed(doc), path, "double")
-
-
-def numincrby(doc: Column, path: str, by: float) -> Column:
-    return number_at(doc, path) + F.lit(by)
-
-
-def nummultby(doc: Column, path: str, by: float) -> Column:
-    return number_at(doc, path) * F.lit(by)
-
-
-def strappend(doc: Column, path: str, text: str) -> Column:
-    return F.concat(F.try_variant_get(parsed(doc), path, "string"), F.lit(text))
-
-
-def toggle(doc: Column, path: str) -> Column:
-    """The flipped boolean, null where there is none."""
-    return ~F.try_variant_get(parsed(doc), path, "boolean")
-
-
-def clear(doc: Column) -> Column:
-    """An empty container of the same kind; other values stay."""
-    kind = type_of(doc)
-    return F.when(kind == "object", "{}").when(kind == "array", "[]").otherwise(doc)
-
-
 def steps(path: str) -> list:
     """Names, places and ``*`` of a path; ``..`` is ``**``."""
     out, at = [], 1 if path.startswith("$") else 0
@@ -174,13 +109,57 @@ def find_all(doc, path: list) -> list:
     return find_all(doc[step], rest) if isinstance(doc, dict) and step in doc else [None]
 
 
+def _whole(text: str) -> int | float:
+    x = float(text)
+    return int(x) if x.is_integer() and abs(x) < 1e21 else x
+
+
+def _finite(text: str):
+    raise ValueError(text)
+
+
+def loaded(text: str | None):
+    """The JSON value of a text; a text that is none is a string, without one layer of quotes."""
+    if text is None:
+        return None
+    try:
+        return json.loads(text, parse_float=_whole, parse_constant=_finite)
+    except ValueError:
+        return text[1:-1] if len(text) > 1 and text[0] == text[-1] and text[0] in "'\"" else text
+
+
+def _printed(x):
+    if isinstance(x, float):
+        return int(x) if x.is_integer() and abs(x) < 1e21 else x if x - x == 0 else None
+    if isinstance(x, dict):
+        return {k: _printed(v) for k, v in x.items()}
+    return [_printed(v) for v in x] if isinstance(x, list) else x
+
+
+def dumped(value) -> str:
+    """JSON without spaces, numbers printed as whole where they are; None and numbers that aren't finite are null."""
+    return json.dumps(_printed(value), separators=(",", ":"), ensure_ascii=False)
+
+
+def at_path(doc, path: list):
+    """The value at a path of names and places, or ``MISSING``."""
+    for step in path:
+        if isinstance(step, int) and isinstance(doc, list) and step < len(doc):
+            doc = doc[step]
+        elif not isinstance(step, int) and isinstance(doc, dict) and step in doc:
+            doc = doc[step]
+        else:
+            return MISSING
+    return doc
+
+
 def descend(doc_col: Column, path: str) -> Column:
     """JSON array of all matches of a path with ``..`` or several wildcards; built-in expressions reach one level only."""
     parts = steps(path)
 
     @F.pandas_udf("string")
     def walk(docs: pd.Series) -> pd.Series:
-        return docs.map(lambda d: None if d is None else json.dumps(find_all(json.loads(d), parts), separators=(",", ":")))
+        return docs.map(lambda d: None if d is None else dumped(find_all(loaded(d), parts)))
 
     return walk(doc_col)
 
@@ -213,16 +192,9 @@ def delete_path(doc, path: list):
 
 
 def update_path(docs: DataFrame, path: str, value: Column | None) -> DataFrame:
-    """``docs(key, doc)`` with JSON text set at any path, or with the path removed where ``value`` is None."""
-    ship(docs.sparkSession)
-    parts = steps(path)
-    rows = docs.withColumn("_value", F.lit(None).cast("string") if value is None else value)
-    drop = value is None
+    """``docs(key, doc, ...)`` with JSON text set at any path, or with the path removed where ``value`` is None."""
+    from quern.operators import jsonedit
 
-    def change(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            new = [json.loads(d) if d is not None else None for d in b["doc"]]
-            new = [delete_path(d, parts) if drop else set_path(d, parts, json.loads(v)) for d, v in zip(new, b["_value"], strict=True)]
-            yield pd.DataFrame({"key": b["key"], "doc": [None if d is None else json.dumps(d, separators=(",", ":"), ensure_ascii=False) for d in new]})
-
-    return rows.select("key", "doc", "_value").mapInPandas(change, f"key {docs.schema['key'].dataType.simpleString()}, doc string")
+    ship(docs.sparkSession)
+    new = jsonedit.delete(F.col("doc"), path)["doc"] if value is None else jsonedit.set_value(F.col("doc"), path, value)
+    return docs.withColumn("doc", new)
