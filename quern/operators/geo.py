@@ -93,19 +93,35 @@ def search_box(geo: DataFrame, lon: float, lat: float, width: float, height: flo
 def search_around(geo: DataFrame, centres: DataFrame, radius: float, unit: str = "m") -> DataFrame:
     """``key, centre, member, dist`` for every centre of ``centres(key, centre, clon, clat)`` at once.
 
-    An equality join on cells of at least the radius in degrees of latitude:
-    a centre is looked up in its row of cells and the two beside it, so work
-    grows with what lies near, not with all pairs. The exact distance follows.
+    An equality join on cells: bands of latitude of at least the radius, each
+    cut into cells of longitude that are at least as wide as the radius is
+    there, a whole number of them around the globe. A centre is looked up in its
+    cell and those beside it in its band and the two next to it, so work grows
+    with what lies near. Around the poles a band is one cell. The exact distance
+    follows.
     """
     import math
 
     metres = radius * UNITS[unit]
-    size = max(math.degrees(metres / RADIUS_M) * 1.000001, 1e-4)
-    cell = lambda c: F.floor((F.col(c) + 90) / size).cast("long")
-    places = geo.withColumn("_cell", cell("lat"))
-    around = centres.withColumn("_cell", F.explode(F.sequence(cell("clat") - 1, cell("clat") + 1)))
+    angle = min(metres / RADIUS_M * 1.000001, math.pi)
+    size = max(math.degrees(angle), 1e-4)
+    band_of = lambda c: F.floor((F.col(c) + 90) / size).cast("long")
+
+    def n_cells(band: Column) -> Column:
+        """Of a band, so that centres up to a band away find all within the radius one cell to either side."""
+        top = F.greatest(F.abs((band - 1) * size - 90), F.abs((band + 2) * size - 90))
+        width = F.lit(math.sin(min(max(angle, math.radians(1e-4)), math.pi / 2))) / F.cos(F.radians(top))
+        return F.when((top >= 90) | (width >= 1) | F.lit(angle >= math.pi / 2), 1).otherwise(F.greatest(F.floor(360 / (F.degrees(F.asin(width)) * 1.000001)), F.lit(1))).cast("long")
+
+    def cell(lon: Column, band: Column) -> Column:
+        return F.least(F.floor((lon + 180) / 360 * n_cells(band)), n_cells(band) - 1).cast("long")
+
+    places = geo.withColumn("_band", band_of("lat")).withColumn("_cell", cell(F.col("lon"), F.col("_band")))
+    around = centres.withColumn("_band", F.explode(F.sequence(band_of("clat") - 1, band_of("clat") + 1)))
+    beside = F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.pmod(cell(F.col("clon"), F.col("_band")) + k, n_cells(F.col("_band")))))
+    around = around.withColumn("_cell", F.explode(beside))
     d = distance_m(F.col("clon"), F.col("clat"), F.col("lon"), F.col("lat"))
-    near = places.join(around, ["key", "_cell"]).withColumn("_m", d).where(F.col("_m") <= metres)
+    near = places.join(around, ["key", "_band", "_cell"]).withColumn("_m", d).where(F.col("_m") <= metres)
     return near.select("key", "centre", "member", in_unit(F.col("_m"), unit).alias("dist"))
 
 

@@ -1,12 +1,20 @@
-"""Vectors as ``(id, insert_order, embedding)`` rows: arithmetic, exact and hashed nearest neighbours."""
+"""Vectors as ``(id, insert_order, embedding)`` rows: arithmetic and exact nearest neighbours; ``vectorgraph`` has the approximate ones."""
 
 from __future__ import annotations
 
+from math import ceil
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of the query side up to which every vector meets every query in memory.
-SENT_QUERIES = 10_000
+from quern.shared import ship
+
+#: Queries of a block.
+QUERY_BLOCK = 2_000
+#: Numbers that a task's distances may take at once.
+AT_ONCE = 4_000_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -51,41 +59,60 @@ def search(vectors: DataFrame, query: list[float], k: int, metric: str = "euclid
     return d.orderBy("dist", F.desc("insert_order")).limit(k).select("id", "dist")
 
 
-def knn_join(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:
-    """``query, id, dist, rank`` of the k nearest to each of ``queries(query, q)``.
-
-    A stated set of queries is sent to all vectors in blocks of bounded size,
-    and each block's best k are kept before they meet.
-    """
-    d = METRICS[metric](F.col("embedding"), F.col("q"))
-    asked = queries.count()
-    side = F.broadcast(queries) if asked <= SENT_QUERIES else queries
-    best = Window.partitionBy("query").orderBy("dist", F.desc("insert_order"))
-    part = Window.partitionBy("query", F.pmod(F.xxhash64("id"), F.lit(64))).orderBy("dist", F.desc("insert_order"))
-    near = vectors.crossJoin(side).withColumn("dist", d).where("dist IS NOT NULL").select("query", "id", "insert_order", "dist")
-    first = near.withColumn("_n", F.row_number().over(part)).where(F.col("_n") <= k).drop("_n")
-    return first.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query", "id", "dist", "rank")
+def _nearest(x: np.ndarray, order: np.ndarray, q: np.ndarray, k: int, metric: str) -> list[tuple[float, int]]:
+    """Distance and row of the k nearest rows to a vector, newer ones first among equals."""
+    step, found = max(1, AT_ONCE // max(1, len(q))), []
+    for lo in range(0, len(x), step):
+        part = x[lo : lo + step]
+        if metric == "euclidean":
+            d = np.sqrt(np.square(part - q).sum(axis=1))
+        else:
+            with np.errstate(invalid="ignore", divide="ignore"):
+                d = 1 - part @ q / (np.sqrt(np.square(part).sum(axis=1)) * np.sqrt(np.square(q).sum()))
+        at = np.flatnonzero(np.isfinite(d))
+        if len(at) > k:
+            at = at[d[at] <= np.partition(d[at], k - 1)[k - 1]]
+        found += zip(d[at].tolist(), (-order[lo + at]).tolist(), (lo + at).tolist(), strict=True)
+        found = sorted(found)[:k]
+    return [(d, i) for d, _, i in found]
 
 
-def hashed_neighbours(vectors: DataFrame, queries: DataFrame, k: int, tables: int = 8, width: float = 4.0, dims: int = 64, seed: int = 3) -> DataFrame:
-    """Approximate k nearest by random projections: an equality join on buckets, then exact distances.
+def knn_join(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:
+    """``query, id, dist, rank`` of the k nearest to each of ``queries(query, q)``, exactly.
 
-    Stands where a graph index stood; recall grows with ``tables`` and ``width``.
+    A stated set of queries against all vectors, in blocks: a block of queries
+    meets a block of vectors in one task, which keeps the best k of each query.
+    Vectors and queries of different lengths don't meet.
     """
-    import random
-
-    rng = random.Random(seed)
-    planes = [[rng.gauss(0, 1) for _ in range(dims)] for _ in range(tables)]
-    shifts = [rng.uniform(0, width) for _ in range(tables)]
-
-    def cells(v: Column) -> Column:
-        return F.array(*(F.struct(F.lit(t).alias("t"), F.floor((dot(v, F.array(*map(F.lit, planes[t]))) + shifts[t]) / width).alias("b")) for t in range(tables)))
-
-    a = vectors.withColumn("cell", F.explode(cells(F.col("embedding"))))
-    b = queries.withColumn("cell", F.explode(cells(F.col("q"))))
-    near = a.join(b, "cell").withColumn("dist", euclidean(F.col("embedding"), F.col("q"))).select("query", "id", "insert_order", "dist").distinct()
-    w = Window.partitionBy("query").orderBy("dist", F.desc("insert_order"))
-    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "id", "dist", "rank")
+    ship(vectors.sparkSession)
+    many = max(1, ceil(queries.count() / QUERY_BLOCK))
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    id_type, query_type = vectors.schema["id"].dataType.simpleString(), queries.schema["query"].dataType.simpleString()
+
+    def find(own: pa.Table, asked: pa.Table) -> pa.Table:
+        ids, rows = own.column("id").to_pylist(), []
+        order = np.array(own.column("insert_order").to_pylist(), np.int64)
+        by_size: dict[int, list[int]] = {}
+        vectors_ = own.column("embedding").to_pylist()
+        for i, v in enumerate(vectors_):
+            if v:
+                by_size.setdefault(len(v), []).append(i)
+        ready = {n: (np.array(at), np.array([vectors_[i] for i in at], np.float64)) for n, at in by_size.items()}
+        for name, q in zip(asked.column("query").to_pylist(), asked.column("q").to_pylist(), strict=True):
+            if q and len(q) in ready:
+                at, x = ready[len(q)]
+                rows += [(name, ids[at[i]], int(order[at[i]]), d) for d, i in _nearest(x, order[at], np.array(q, np.float64), k, metric)]
+        cols = list(zip(*rows, strict=True)) or [()] * 4
+        kinds = (asked.schema.field("query").type, own.schema.field("id").type, pa.int64(), pa.float64())
+        return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["query", "id", "insert_order", "dist"])
+
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = vectors.select("id", F.col("insert_order").cast("long").alias("insert_order"), F.col("embedding").cast("array<double>").alias("embedding"), dealt("id", parts).alias("i")).withColumn("j", upto(many))
+    right = queries.select("query", F.col("q").cast("array<double>").alias("q"), dealt("query", many).alias("j")).withColumn("i", upto(parts))
+    near = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(find, f"query {query_type}, id {id_type}, insert_order long, dist double")
+    best = Window.partitionBy("query").orderBy("dist", F.desc("insert_order"))
+    return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query", "id", "dist", "rank")
 
 
 def stats(vectors: DataFrame) -> DataFrame:

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from quern.functions import embedders
 from quern.operators import geo as g
+from quern.operators import vectorgraph as vg
 from quern.operators import vectors as v
 from quern.plans import bind as b
 from quern.plans.registry import add
+from quern.shared import Scratch
 from quern.sources.tables import load
 
 LON, LAT, KM = 15.0, 37.0, 3000.0
@@ -24,7 +26,7 @@ DIST = f"(SELECT g.*, {_haversine('c', 'g')} AS m FROM {b.GEO} AS g, {CENTRE} AS
 
 
 def _members(s, d):
-    return load(s, d, "supplier").where("s_suppkey % 3 = 0").select(F.lit("suppliers").alias("key"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_suppkey").cast("string")).otherwise("none").alias("member")).distinct()
+    return load(s, d, "supplier").select(F.lit("suppliers").alias("key"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_suppkey").cast("string")).otherwise("none").alias("member")).distinct()
 
 
 def _pairs(s, d):
@@ -33,7 +35,7 @@ def _pairs(s, d):
 
 add("geo_add", lambda s, d: g.geoadd(b.geo(s, d).withColumn("lat", F.col("lat") * 1.2).withColumn("seq", F.col("member"))), f"SELECT key, member, lon, lat * 1.2::DOUBLE AS lat FROM {b.GEO} AS g WHERE abs(lat * 1.2::DOUBLE) <= 90")
 add("geo_pos", lambda s, d: g.geopos(b.geo(s, d), _members(s, d)), f"""
-WITH m AS (SELECT DISTINCT CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey::VARCHAR ELSE 'none' END AS member FROM supplier WHERE s_suppkey % 3 = 0)
+WITH m AS (SELECT DISTINCT CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey::VARCHAR ELSE 'none' END AS member FROM supplier)
 SELECT 'suppliers' AS key, m.member, lon, lat FROM m LEFT JOIN {b.GEO} AS g USING (member)""")
 for name, unit, per in (("m", "m", 1.0), ("units", "mi", 1609.340383398085)):
     add(f"geo_dist_{name}", lambda s, d, u=unit: g.geodist(b.geo(s, d), _pairs(s, d), u).withColumn("dist", F.round("dist", 2)), f"""
@@ -48,8 +50,8 @@ SELECT member, round(m / 1000, 4) AS dist FROM {DIST} AS d WHERE abs(lat - {LAT}
 add("geo_search_member", lambda s, d: g.members_around(b.geo(s, d), 1500.0, "km").select("centre", "member", F.round("dist", 3).alias("dist")), f"""
 SELECT x.member AS centre, y.member, round({_haversine('x', 'y')} / 1000, 3) AS dist FROM {b.GEO} AS x, {b.GEO} AS y WHERE {_haversine('x', 'y')} <= 1500000""")
 add("geo_store", lambda s, d: g.store(g.search_radius(b.geo(s, d), LON, LAT, KM, "km"), "near").withColumn("score", F.round("score", 4)), f"SELECT 'near' AS key, member, round(m / 1000, 4) AS score FROM {DIST} AS d WHERE m <= {KM} * 1000")
-add("geo_radius_withcoord", lambda s, d: g.search_radius(b.geo(s, d), LON, LAT, 100.0 * KM, "ft", 100000).select("member", "lon", "lat", g.geohash(F.col("lon"), F.col("lat")).alias("hash"), F.round("dist", 1).alias("dist")), f"""
-SELECT member, lon, lat, {_CODE} || '0' AS hash, round(m / 0.3048::DOUBLE, 1) AS dist FROM (SELECT *, least(floor((lon + 180) / 360 * 33554432), 33554431)::BIGINT AS x, least(floor((lat + 90) / 180 * 33554432), 33554431)::BIGINT AS y FROM {DIST} AS d) WHERE m / 0.3048::DOUBLE <= 300000""")
+add("geo_radius_withcoord", lambda s, d: g.search_radius(b.geo(s, d), LON, LAT, 10_000.0 * KM, "ft").select("member", "lon", "lat", g.geohash(F.col("lon"), F.col("lat")).alias("hash"), F.round("dist", 1).alias("dist")), f"""
+SELECT member, lon, lat, {_CODE} || '0' AS hash, round(m / 0.3048::DOUBLE, 1) AS dist FROM (SELECT *, least(floor((lon + 180) / 360 * 33554432), 33554431)::BIGINT AS x, least(floor((lat + 90) / 180 * 33554432), 33554431)::BIGINT AS y FROM {DIST} AS d) WHERE m / 0.3048::DOUBLE <= 30000000""")
 
 Q = "(SELECT embedding AS q FROM embeddings WHERE vec_id = 0)"
 EUC = "round(sqrt(list_sum(list_transform(list_zip(embedding::DOUBLE[], q::DOUBLE[]), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 6)"
@@ -65,6 +67,11 @@ def _queries(s, d):
     return load(s, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
 
 
+def _writes(s, d):
+    """Two vectors for each id."""
+    return load(s, d, "embeddings").select(F.floor(F.col("vec_id") / 2).cast("long").alias("id"), "embedding", F.col("vec_id").alias("seq"))
+
+
 def _arith(s, d, f):
     one = F.array(*map(F.lit, _query(s, d)))
     return b.vectors(s, d).select("id", F.round(f(F.col("embedding"), one), 6).alias("x"))
@@ -80,5 +87,12 @@ for name, f, op in (("addvec", v.add, "+"), ("subvec", v.subtract, "-")):
     add(f"vec_{name}", lambda s, d, f=f: b.vectors(s, d).select("id", F.inline(F.transform(f(F.col("embedding"), F.array(*map(F.lit, _query(s, d)))), lambda x, i: F.struct(i.cast("long").alias("i"), F.round(x, 6).alias("x"))))), f"""
 SELECT vec_id AS id, unnest(range(64)) AS i, unnest(list_transform(list_zip(embedding::DOUBLE[], q::DOUBLE[]), lambda z: round(z[1] {op} z[2], 6))) AS x FROM embeddings, {Q} AS q""")
 add("vec_embedadd_json", lambda s, d: embedders.embed(load(s, d, "events").select("event_id", F.concat(F.lit('{"vector":['), F.col("user_id").cast("string"), F.lit(",1.5]}")).alias("payload")), "json").select("event_id", F.col("embedding")[0].alias("a"), F.col("embedding")[1].alias("b")), "SELECT event_id, user_id::DOUBLE AS a, 1.5::DOUBLE AS b FROM events")
-add("vec_stats", lambda s, d: v.stats(b.vectors(s, d)), "SELECT count(*) AS n_vectors, 64::BIGINT AS dim FROM embeddings")
-add("vec_hashed_neighbours", lambda s, d: v.hashed_neighbours(b.vectors(s, d), _queries(s, d), 5))
+add("vec_add", lambda s, d: v.upsert(_writes(s, d)).select("id", "insert_order", F.round(F.col("embedding")[0].cast("double"), 6).alias("x0")), """
+SELECT id, min(seq) AS insert_order, round(arg_max(x, seq)::DOUBLE, 6) AS x0 FROM (SELECT vec_id // 2 AS id, vec_id AS seq, embedding[1] AS x FROM embeddings) GROUP BY id""")
+add("vec_stats", lambda s, d: v.stats(b.vectors(s, d)), "SELECT count(*) AS n_vectors, max(len(embedding)) AS dim FROM embeddings")
+def _graph(s, d):
+    return Scratch(s, "graph").put(vg.build(b.vectors(s, d)))
+
+
+add("vec_graph_stats", lambda s, d: vg.stats(_graph(s, d)).select("n_vectors", "dim", "n_shards"), "SELECT count(*) AS n_vectors, max(len(embedding)) AS dim, 1::BIGINT AS n_shards FROM embeddings")
+add("vec_graph_search", lambda s, d: vg.search(_graph(s, d), _queries(s, d), 5).select("query", "id", F.round("dist", 6).alias("dist"), F.col("rank").cast("long").alias("rank")))
