@@ -1,11 +1,17 @@
-"""Bitmaps as distinct ``(key, bit)`` rows, and bit fields packed into integers.
+"""Bitmaps as distinct ``(key, bit)`` rows, and bit fields packed into integers or byte strings.
 
 Bit 0 is the first bit of the first byte. A bitmap's size grows with its set
-bits only; the packed form counts bits per 32,768-bit block.
+bits only; the packed form counts bits per 32,768-bit block. Fields of up to 62
+bits of one integer are expressions; ``bitfield`` runs any list of subcommands
+over fields of up to 64 bits of a byte string, in Arrow batches.
 """
 
 from __future__ import annotations
 
+import re
+from decimal import Decimal
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,18 +43,28 @@ def bitcount(bits: DataFrame, start: int | None = None, end: int | None = None)
     return packed.groupBy("key").agg(F.sum(F.bitmap_count("m")).cast("long").alias("n_bits"))
 
 
-def bitpos(bits: DataFrame, on: int, start_bit: int = 0) -> DataFrame:
-    """The first bit at or after ``start_bit`` that is set, or not set, of each key.
+def bitpos(bits: DataFrame, on: int, start: int = 0, end: int | None = None) -> DataFrame:
+    """The first bit that is set, or not set, of each key from byte ``start`` to byte ``end``, both included.
 
-    The first clear bit follows the first set bit whose successor is missing.
+    Negative bytes count from the key's last. Without a set bit it is -1; without
+    a clear one, the first bit behind the range. The first clear bit follows the
+    first set bit whose successor is missing.
     """
-    after = bits.where(F.col("bit") >= start_bit)
-    keys = bits.select("key").distinct()
+    n = F.floor(F.max("bit") / 8).cast("long") + 1
+    ranges = bits.groupBy("key").agg(n.alias("_n"))
+    lo = F.greatest(F.lit(start) if start >= 0 else F.col("_n") + start, F.lit(0))
+    hi = F.lit(2**60) if end is None else F.lit(end) if end >= 0 else F.col("_n") + end
+    ranges = ranges.withColumns({"_lo": lo.cast("long"), "_hi": F.least(hi, F.col("_n") - 1).cast("long")})
+    inside = bits.join(ranges, "key").where((F.col("bit") >= F.col("_lo") * 8) & (F.col("bit") < (F.col("_hi") + 1) * 8))
+    nothing = F.col("_hi") < F.col("_lo")
+    beyond = F.col("_lo") >= F.col("_n")
     if on:
-        return keys.join(after.groupBy("key").agg(F.min("bit").alias("p")), "key", "left").select("key", F.coalesce("p", F.lit(-1)).cast("long").alias("pos"))
-    gap = after.withColumn("_next", F.lead("bit").over(Window.partitionBy("key").orderBy("bit"))).where("_next IS NULL OR _next > bit + 1")
-    first = after.groupBy("key").agg(F.min("bit").alias("lo")).join(gap.groupBy("key").agg((F.min("bit") + 1).alias("end")), "key")
-    return keys.join(first, "key", "left").select("key", F.when(F.col("lo") == start_bit, F.col("end")).otherwise(start_bit).cast("long").alias("pos"))
+        found = inside.groupBy("key").agg(F.min("bit").alias("_p"))
+        return ranges.join(found, "key", "left").select("key", F.when(beyond | nothing, -1).otherwise(F.coalesce("_p", F.lit(-1))).cast("long").alias("pos"))
+    gap = inside.withColumn("_next", F.lead("bit").over(Window.partitionBy("key").orderBy("bit"))).where("_next IS NULL OR _next > bit + 1")
+    first = inside.groupBy("key").agg(F.min("bit").alias("_first")).join(gap.groupBy("key").agg((F.min("bit") + 1).alias("_end")), "key")
+    clear = F.when(F.col("_first") == F.col("_lo") * 8, F.col("_end")).otherwise(F.col("_lo") * 8)
+    return ranges.join(first, "key", "left").select("key", F.when(beyond, F.col("_n") * 8).when(nothing, -1).otherwise(clear).cast("long").alias("pos"))
 
 
 def bitop(bits: DataFrame, op: str, keys: list, width: int | None = None) -> DataFrame:
@@ -83,3 +99,68 @@ def field_incr(value: Column, by: Column, width: int, signed: bool = False, over
     if overflow == "SAT":
         return F.greatest(F.lit(lo), F.least(F.lit(hi), total))
     return F.when(total.between(lo, hi), total)
+
+
+def field_at(kind: str, offset: str | int) -> tuple[int, int, bool]:
+    """Offset in bits, width and sign of a field such as ``u8`` at 16 or ``#2``, which counts in fields."""
+    m = re.fullmatch(r"([ui])(\d+)", kind.lower())
+    at = re.fullmatch(r"(#?)(\d+)", str(offset))
+    if not m or not at or not 1 <= int(m[2]) <= 64:
+        raise ValueError("syntax error")
+    width = int(m[2])
+    return int(at[2]) * (width if at[1] else 1), width, m[1] == "i"
+
+
+def _run(data: bytes, ops: list[tuple]) -> tuple[bytes, list[int | None]]:
+    policy, replies = "WRAP", []
+    for name, *args in ops:
+        if name == "OVERFLOW":
+            policy = args[0]
+            continue
+        offset, width, signed = field_at(args[0], args[1])
+        n = max(len(data), -(-(offset + width) // 8)) if name != "GET" else len(data)
+        padded = data.ljust(max(n, -(-(offset + width) // 8)), b"\0")
+        total, mask = len(padded) * 8, (1 << width) - 1
+        at = total - offset - width
+        word = int.from_bytes(padded, "big")
+        raw = word >> at & mask
+        old = raw - (1 << width) if signed and raw >> (width - 1) else raw
+        if name == "GET":
+            replies.append(old)
+            continue
+        new = args[2] + (old if name == "INCRBY" else 0)
+        lo, hi = (-(1 << (width - 1)), (1 << (width - 1)) - 1) if signed else (0, mask)
+        if not lo <= new <= hi:
+            if policy == "FAIL":
+                replies.append(None)
+                continue
+            new = max(lo, min(hi, new)) if policy == "SAT" else (new - lo) % (1 << width) + lo
+        data = (word & ~(mask << at) | (new & mask) << at).to_bytes(len(padded), "big")
+        replies.append(old if name == "SET" else new)
+    return data, replies
+
+
+def bitfield(value: Column, ops: list[tuple]) -> Column:
+    """``value, replies`` of a byte string under subcommands in order; a null value is an empty string.
+
+    ``("GET", kind, offset)``, ``("SET", kind, offset, number)``, ``("INCRBY",
+    kind, offset, number)`` and ``("OVERFLOW", "WRAP" | "SAT" | "FAIL")``, which
+    holds for those after it. A refused change replies with null.
+    """
+    for name, *args in ops:
+        if name not in ("GET", "SET", "INCRBY", "OVERFLOW") or (name == "OVERFLOW" and args[0] not in ("WRAP", "SAT", "FAIL")):
+            raise ValueError("syntax error")
+        if name != "OVERFLOW":
+            field_at(args[0], args[1])
+
+    @F.pandas_udf("value binary, replies array<decimal(20,0)>")
+    def run(values: pd.Series) -> pd.DataFrame:
+        done = [_run(bytes(v) if v is not None else b"", ops) for v in values]
+        return pd.DataFrame({"value": [d[0] for d in done], "replies": [[None if r is None else Decimal(r) for r in d[1]] for d in done]})
+
+    return run(value)
+
+
+def bitfield_ro(value: Column, fields: list[tuple[str, str | int]]) -> Column:
+    """The numbers of some fields."""
+    return bitfield(value, [("GET", kind, offset) for kind, offset in fields])["replies"]

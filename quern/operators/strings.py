@@ -56,6 +56,46 @@ def set_with_expiry(writes: DataFrame, now: Column) -> DataFrame:
     return writes.where("ttl_s > 0").groupBy("key").agg(F.max_by(F.struct("value", due.alias("expire_at")), "seq").alias("x")).select("key", "x.*")
 
 
+def set_replies(kv: DataFrame, writes: DataFrame) -> DataFrame:
+    """``writes`` with ``done`` and ``old_value``, for SET with its options in order of ``seq``.
+
+    ``kv(key, value, due_ms)`` is what is there, ``writes(key, value, seq, cond,
+    keep_ttl, due_ms)`` has NX, XX or null as ``cond``. A key exists once any
+    write without XX came before, so no write needs the outcome of another.
+    ``old_value`` is the reply of the option GET.
+    """
+    before = Window.partitionBy("key").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    there = kv.select("key", F.col("value").alias("_base"), F.lit(1).alias("_there"))
+    exists = F.col("_there").isNotNull() | F.coalesce(F.max(F.when(F.col("cond") == "XX", 0).otherwise(1)).over(before) == 1, F.lit(False))
+    done = F.when(F.col("cond") == "NX", ~F.col("_exists")).when(F.col("cond") == "XX", F.col("_exists")).otherwise(True)
+    old = F.coalesce(F.last(F.when(F.col("done"), F.col("value")), ignorenulls=True).over(before), "_base")
+    return writes.join(there, "key", "left").withColumn("_exists", exists).withColumn("done", done).withColumn("old_value", old).drop("_base", "_there", "_exists")
+
+
+def set_state(kv: DataFrame, replies: DataFrame) -> DataFrame:
+    """``key, value, due_ms`` that the ``set_replies`` leave; KEEPTTL leaves the time to live, other writes set or clear it."""
+    done = replies.where("done")
+    last = done.groupBy("key").agg(F.max_by("value", "seq").alias("_value"), F.max_by(F.when(~F.col("keep_ttl") | F.col("due_ms").isNotNull(), F.struct("due_ms")), F.when(~F.col("keep_ttl") | F.col("due_ms").isNotNull(), F.col("seq"))).alias("_due"))
+    due = F.when(F.col("_due").isNotNull(), F.col("_due.due_ms")).otherwise(F.col("due_ms"))
+    return kv.join(last, "key", "full").select("key", F.coalesce("_value", "value").alias("value"), due.alias("due_ms"))
+
+
+def get_ex(kv: DataFrame, requested: DataFrame, now_ms: Column) -> tuple[DataFrame, DataFrame]:
+    """What GETEX returns, and the table it leaves.
+
+    ``kv(key, value, due_ms)``; ``requested(key, mode, amount)`` with EX or PX
+    and a positive amount, PERSIST, or null to read only. Amounts that aren't
+    positive are errors: they have ``ok`` false, no value and no effect.
+    """
+    timed = F.col("mode").isin("EX", "PX")
+    ok = ~F.coalesce(timed, F.lit(False)) | F.coalesce(F.col("amount") > 0, F.lit(False))
+    asked = requested.withColumn("ok", ok)
+    replies = asked.join(kv.select("key", "value"), "key", "left").select("key", "mode", "ok", F.when(F.col("ok"), F.col("value")).alias("value"))
+    due = F.when(F.col("mode") == "PERSIST", F.lit(None).cast("long")).when(F.col("mode") == "EX", now_ms + F.col("amount") * 1000).when(F.col("mode") == "PX", now_ms + F.col("amount")).otherwise(F.col("due_ms"))
+    left = kv.join(asked.where("ok").select("key", "mode", "amount"), "key", "left").select("key", "value", due.cast("long").alias("due_ms"))
+    return replies, left
+
+
 def get_set(writes: DataFrame) -> DataFrame:
     """``writes`` with ``old_value``, what GETSET returned."""
     return writes.withColumn("old_value", F.lag("value").over(Window.partitionBy("key").orderBy("seq")))

@@ -13,8 +13,8 @@ from quern.sources.tables import load
 
 
 def _requested(s, d):
-    p = load(s, d, "part").where("p_partkey % 10 = 1")
-    return p.select(F.col("p_partkey").alias("pos"), F.concat(F.when(F.col("p_partkey") % 20 == 1, F.lit("part:")).otherwise(F.lit("none:")), F.col("p_partkey").cast("string")).alias("key"))
+    p = load(s, d, "part")
+    return p.select(F.col("p_partkey").alias("pos"), F.concat(F.when(F.col("p_partkey") % 2 == 1, F.lit("part:")).otherwise(F.lit("none:")), F.col("p_partkey").cast("string")).alias("key"))
 
 
 def _writes(s, d):
@@ -33,7 +33,7 @@ def _pairs(s, d):
 PAIRS = "(SELECT CASE WHEN p_partkey % 8 = 0 THEN 'part:' ELSE 'new:' END || p_partkey AS key, p_brand AS value, p_partkey % 16 AS txn FROM part WHERE p_partkey % 4 = 0)"
 
 add("str_get", lambda s, d: st.get(b.parts(s, d), "part:7").select("value"), "SELECT p_name AS value FROM part WHERE p_partkey = 7")
-add("str_mget", lambda s, d: st.mget(b.parts(s, d), _requested(s, d)), "SELECT p_partkey AS pos, CASE WHEN p_partkey % 20 = 1 THEN 'part:' ELSE 'none:' END || p_partkey AS key, CASE WHEN p_partkey % 20 = 1 THEN p_name END AS value FROM part WHERE p_partkey % 10 = 1")
+add("str_mget", lambda s, d: st.mget(b.parts(s, d), _requested(s, d)), "SELECT p_partkey AS pos, CASE WHEN p_partkey % 2 = 1 THEN 'part:' ELSE 'none:' END || p_partkey AS key, CASE WHEN p_partkey % 2 = 1 THEN p_name END AS value FROM part")
 add("str_set_lww", lambda s, d: st.set_last(_writes(s, d)), "SELECT user_id AS key, arg_max(event_type, (ts, event_id)) AS value FROM events GROUP BY 1")
 add("str_setnx", lambda s, d: st.set_if_absent(_writes(s, d)), "SELECT user_id AS key, arg_min(event_type, (ts, event_id)) AS value FROM events GROUP BY 1")
 add("str_set_xx", lambda s, d: st.set_if_present(st.set_if_absent(_writes(s, d).where("event_id % 7 = 0")), _writes(s, d)), """
@@ -43,8 +43,47 @@ add("str_msetnx", lambda s, d: st.msetnx(b.parts(s, d), _pairs(s, d)), f"SELECT
 add("str_setex", lambda s, d: st.set_with_expiry(_writes(s, d), now()).select("key", "value", F.unix_millis("expire_at").alias("due_ms")), f"""
 SELECT user_id AS key, arg_max(event_type, (ts, event_id)) AS value, arg_max({b.NOW_MS} + floor(value)::BIGINT * 1000, (ts, event_id)) AS due_ms FROM events WHERE floor(value) > 0 GROUP BY 1""")
 add("str_getset", lambda s, d: st.get_set(_writes(s, d)).select("event_id", "old_value"), "SELECT event_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS old_value FROM events")
-add("str_getdel", lambda s, d: st.get_delete(b.parts(s, d), _requested(s, d))[1], "SELECT 'part:' || p_partkey AS key, p_name AS value FROM part WHERE p_partkey % 20 <> 1")
-add("str_getex", lambda s, d: st.set_with_expiry(b.parts(s, d).select("key", "value", F.lit(1).alias("seq"), F.length("value").alias("ttl_s")), now()).select("key", "value", F.unix_millis("expire_at").alias("due_ms")), f"SELECT key, value, {b.NOW_MS} + length(value) * 1000 AS due_ms FROM {b.PARTS} AS p")
+add("str_getdel", lambda s, d: st.get_delete(b.parts(s, d), _requested(s, d))[1], "SELECT 'part:' || p_partkey AS key, p_name AS value FROM part WHERE p_partkey % 2 = 0")
+
+
+def _expiring_parts(s, d):
+    return b.parts(s, d).withColumn("due_ms", F.when(F.length("value") % 3 == 0, F.lit(b.NOW_MS) + 5000).cast("long"))
+
+
+def _reads(s, d):
+    """A GETEX of every part, of each mode in turn, some with amounts that are refused."""
+    k = F.col("p_partkey")
+    mode = F.element_at(F.array(F.lit("EX"), F.lit("PX"), F.lit("PERSIST"), F.lit(None).cast("string")), (k % 4 + 1).cast("int"))
+    return load(s, d, "part").select(F.concat(F.lit("part:"), k.cast("string")).alias("key"), mode.alias("mode"), (k % 9 - 1).alias("amount"))
+
+
+GETEX = f"""(SELECT 'part:' || p_partkey AS key, p_name AS value, ['EX', 'PX', 'PERSIST', NULL][p_partkey % 4 + 1] AS mode, p_partkey % 9 - 1 AS amount,
+  CASE WHEN length(p_name) % 3 = 0 THEN {b.NOW_MS} + 5000 END AS due_ms, p_partkey % 4 > 1 OR p_partkey % 9 > 1 AS ok FROM part)"""
+add("str_getex", lambda s, d: st.get_ex(_expiring_parts(s, d), _reads(s, d), F.lit(b.NOW_MS))[0], f"SELECT key, mode, ok, CASE WHEN ok THEN value END AS value FROM {GETEX} AS g")
+add("str_getex_left", lambda s, d: st.get_ex(_expiring_parts(s, d), _reads(s, d), F.lit(b.NOW_MS))[1], f"""
+SELECT key, value, CASE WHEN NOT ok OR mode IS NULL THEN due_ms WHEN mode = 'EX' THEN {b.NOW_MS} + amount * 1000 WHEN mode = 'PX' THEN {b.NOW_MS} + amount END AS due_ms FROM {GETEX} AS g""")
+
+
+def _options(s, d):
+    """SET of every event with the options its number gives; half of the users exist before."""
+    e, k = load(s, d, "events"), F.col("event_id")
+    cond = F.when(k % 5 == 0, "NX").when(k % 3 == 0, "XX")
+    due = F.when(k % 4 == 0, F.lit(b.NOW_MS) + k)
+    writes = e.select(F.col("user_id").alias("key"), "event_id", F.concat("event_type", k.cast("string")).alias("value"), F.struct("ts", "event_id").alias("seq"), cond.alias("cond"), (k % 7 == 0).alias("keep_ttl"), due.cast("long").alias("due_ms"))
+    kv = e.where("user_id % 2 = 0").groupBy(F.col("user_id").alias("key")).agg(F.lit("before").alias("value"), F.lit(1).cast("long").alias("due_ms"))
+    return kv, writes
+
+
+OPTIONS = f"""(SELECT *, CASE cond WHEN 'NX' THEN NOT x WHEN 'XX' THEN x ELSE true END AS done FROM
+  (SELECT *, user_id % 2 = 0 OR coalesce(bool_or(cond IS DISTINCT FROM 'XX') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS x FROM
+    (SELECT user_id, ts, event_id, event_type || event_id AS v, CASE WHEN event_id % 5 = 0 THEN 'NX' WHEN event_id % 3 = 0 THEN 'XX' END AS cond, event_id % 7 = 0 AS keep, CASE WHEN event_id % 4 = 0 THEN {b.NOW_MS} + event_id END AS due FROM events)))"""
+add("str_set_options", lambda s, d: st.set_replies(*_options(s, d)).select("event_id", "done", "old_value"), f"""
+SELECT event_id, done, coalesce(last_value(CASE WHEN done THEN v END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), CASE WHEN user_id % 2 = 0 THEN 'before' END) AS old_value FROM {OPTIONS} AS o""")
+add("str_set_left", lambda s, d: st.set_state(_options(s, d)[0], st.set_replies(*_options(s, d))), f"""
+WITH o AS (SELECT * FROM {OPTIONS} AS o WHERE done), u AS (SELECT DISTINCT user_id FROM events WHERE user_id % 2 = 0 UNION SELECT user_id FROM o),
+n AS (SELECT user_id, arg_max(v, (ts, event_id)) AS v FROM o GROUP BY 1), t AS (SELECT user_id, arg_max(struct_pack(d := due), (ts, event_id)) AS t FROM o WHERE NOT keep OR due IS NOT NULL GROUP BY 1)
+SELECT u.user_id AS key, coalesce(n.v, 'before') AS value, CASE WHEN t.user_id IS NOT NULL THEN t.t.d WHEN u.user_id % 2 = 0 THEN 1 END AS due_ms FROM u LEFT JOIN n USING (user_id) LEFT JOIN t USING (user_id)""")
+
 add("str_append", lambda s, d: b.parts(s, d).withColumn("value", st.append(F.col("value"), F.lit("é!"))).select("key", "value", st.strlen(F.col("value")).alias("n_bytes")), f"SELECT key, value || 'é!' AS value, strlen(value || 'é!') AS n_bytes FROM {b.PARTS} AS p")
 add("str_append_fold", lambda s, d: st.append_all(load(s, d, "events").select(F.col("user_id").alias("key"), F.substring("event_type", 1, 1).alias("value"), F.struct("ts", "event_id").alias("seq"))), "SELECT user_id AS key, string_agg(substr(event_type, 1, 1), '' ORDER BY ts, event_id) AS value FROM events GROUP BY 1")
 add("str_strlen", lambda s, d: _docs(s, d).select("doc_id", st.strlen(F.col("text")).alias("n_bytes")), "SELECT doc_id, strlen(text) AS n_bytes FROM documents")
