@@ -5,14 +5,21 @@ aggregates whose partial results are at most 16,384 rows a key and task.
 
 An item's two buckets in a cuckoo filter are a fixed pair, and moving a
 fingerprint never leaves its pair; so ``(key, fp, lo, hi, n)`` answers as the
-filter does for as long as every insert finds a place.
+filter does for as long as every insert finds a place. ``cf_fill`` places items
+one by one under a capacity, and tells which find no place.
 """
 
 from __future__ import annotations
 
+import random
+
+import pandas as pd
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.shared import ship
+
 P = 14
 M = 1 << P
 ALPHA = 0.7213 / (1 + 1.079 / M)
@@ -67,8 +74,8 @@ def native_distinct(items: DataFrame) -> DataFrame:
 
 
 def fnv1a(text: Column) -> Column:
-    """32-bit FNV-1a over the UTF-8 bytes."""
-    codes = F.transform(F.filter(F.split(F.hex(F.encode(text, "UTF-8")), "(?<=\\G..)"), lambda c: c != ""), lambda c: F.conv(c, 16, 10).cast("long"))
+    """32-bit FNV-1a over the UTF-16 units."""
+    codes = F.transform(F.filter(F.split(F.hex(F.encode(text, "UTF-16BE")), "(?<=\\G....)"), lambda c: c != ""), lambda c: F.conv(c, 16, 10).cast("long"))
     step = lambda h, b: (h.bitwiseXOR(b) * F.lit(FNV_PRIME).cast("long")).bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
     return F.aggregate(codes, F.lit(FNV_BASE).cast("long"), step)
 
@@ -83,11 +90,62 @@ def buckets_of(capacity: int = 1024, bucket_size: int = 4) -> int:
 
 def cf_place(items: DataFrame, buckets: int = 256) -> DataFrame:
     """``items`` with the fingerprint and the pair of buckets of ``item``."""
+    return _placed(items, buckets).drop("_first")
+
+
+def _placed(items: DataFrame, buckets: int) -> DataFrame:
     h = F.col("_h")
     out = items.withColumn("_h", fnv1a(F.col("item").cast("string")))
-    out = out.withColumn("fp", F.when(h.bitwiseAND(F.lit(255)) == 0, 1).otherwise(h.bitwiseAND(F.lit(255))).cast("int"))
-    out = out.withColumn("_i1", h.bitwiseAND(F.lit(buckets - 1))).withColumn("_i2", F.col("_i1").bitwiseXOR(fnv1a(F.col("fp").cast("string"))).bitwiseAND(F.lit(buckets - 1)))
-    return out.withColumns({"lo": F.least("_i1", "_i2"), "hi": F.greatest("_i1", "_i2")}).drop("_h", "_i1", "_i2")
+    mark = h.bitwiseXOR(F.shiftright(h, 16)).bitwiseAND(F.lit(255))
+    out = out.withColumn("fp", F.when(mark == 0, 1).otherwise(mark).cast("int"))
+    out = out.withColumn("_first", h.bitwiseAND(F.lit(buckets - 1))).withColumn("_second", F.col("_first").bitwiseXOR(fnv1a(F.col("fp").cast("string"))).bitwiseAND(F.lit(buckets - 1)))
+    return out.withColumns({"lo": F.least("_first", "_second"), "hi": F.greatest("_first", "_second")}).drop("_h", "_second")
+
+
+def cf_fill(items: DataFrame, capacity: int = 1024, bucket_size: int = 4, kicks: int = 500, only_new: bool = False, seed: int = 1) -> DataFrame:
+    """``items(key, item, seq)`` with ``added``, 1 or 0, for a filter of each key that was reserved with a capacity.
+
+    An item goes into one of its two buckets, or takes the place of another,
+    which moves to its own other bucket, up to ``kicks`` times; then the filter
+    is full, the item is not added, and the last one moved is lost, as in the
+    original. With ``only_new`` items that seem to be there aren't added. Items
+    are placed with expressions; a key's filter, which its capacity bounds, is
+    filled by one task in order of ``seq``.
+    """
+    buckets = buckets_of(capacity, bucket_size)
+    ship(items.sparkSession)
+    placed = _placed(items, buckets).select("key", "item", "seq", "fp", "lo", "hi", F.col("_first").alias("first"))
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        rng, held, added = random.Random(seed), {}, []
+        pdf = pdf.sort_values("seq", kind="stable")
+        pair = {}
+        for fp, lo, hi, first in zip(pdf["fp"], pdf["lo"], pdf["hi"], pdf["first"], strict=True):
+            pair.setdefault(fp, lo ^ hi)  # the two buckets of a fingerprint differ by its own hash
+            second = lo if first == hi else hi
+            own, other = held.setdefault(first, []), held.setdefault(second, [])
+            if only_new and (fp in own or fp in other):
+                added.append(0)
+                continue
+            done = next((b for b in (own, other) if len(b) < bucket_size), None)
+            if done is not None:
+                done.append(fp)
+                added.append(1)
+                continue
+            i, f, ok = rng.choice((first, second)), fp, 0
+            for _ in range(kicks):
+                at = rng.randrange(bucket_size)
+                held[i][at], f = f, held[i][at]
+                i ^= pair[f]
+                if len(held.setdefault(i, [])) < bucket_size:
+                    held[i].append(f)
+                    ok = 1
+                    break
+            added.append(ok)
+        return pdf[["key", "item", "seq"]].assign(added=added)
+
+    kinds = {c: items.schema[c].dataType.simpleString() for c in ("key", "item", "seq")}
+    return placed.groupBy("key").applyInPandas(fill, ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", added int")
 
 
 def cf_add(items: DataFrame, buckets: int = 256) -> DataFrame:

@@ -25,6 +25,20 @@ def retain(series: DataFrame, retention_ms: int) -> DataFrame:
     return series.join(last, "key").where(F.col("ts") >= F.col("_last") - retention_ms).drop("_last")
 
 
+def create(meta: DataFrame, writes: DataFrame) -> DataFrame:
+    """``key, retention_ms`` after TS.CREATE of ``writes(key, retention_ms, seq)``: the last retention given, 0 without any."""
+    every = meta.select("key", "retention_ms", F.lit(None).cast(writes.schema["seq"].dataType).alias("seq"), F.lit(0).alias("_new")).union(writes.select("key", "retention_ms", "seq", F.lit(1).alias("_new")))
+    given = F.when(F.col("retention_ms").isNotNull(), F.struct("_new", "seq"))
+    return every.groupBy("key").agg(F.coalesce(F.max_by("retention_ms", given), F.lit(0)).cast("long").alias("retention_ms"))
+
+
+def retain_each(series: DataFrame, meta: DataFrame) -> DataFrame:
+    """Samples that their key's ``meta(key, retention_ms)`` keeps; 0 and keys without it keep all."""
+    last = series.groupBy("key").agg(F.max("ts").alias("_last")).join(meta.select("key", "retention_ms"), "key", "left")
+    oldest = F.when(F.coalesce("retention_ms", F.lit(0)) > 0, F.col("_last") - F.col("retention_ms"))
+    return series.join(last.select("key", oldest.alias("_oldest")), "key").where("_oldest IS NULL OR ts >= _oldest").drop("_oldest")
+
+
 def add(samples: DataFrame, retention_ms: int | None = None) -> DataFrame:
     """What a sequence of TS.ADD leaves."""
     out = overwrite(accept(samples))

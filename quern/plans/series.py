@@ -34,3 +34,21 @@ add("ts_rule_epoch", lambda s, d: ts.rule(b.series(s, d), "sum", DAY).withColumn
 RULES = [("click", "click:max", "max", DAY), ("click", "click:avg", "avg", HOUR), ("view", "view:min", "min", HOUR)]
 add("ts_rules", lambda s, d: ts.rules(b.series(s, d), s.createDataFrame(RULES, "src string, dst string, agg string, bucket_ms long")).withColumn("value", F.round("value", 6)), " UNION ALL ".join(
     f"SELECT '{dst}' AS key, ts // {ms} * {ms} AS bucket, round({agg}(value), 6) AS value FROM {b.SERIES} AS t WHERE key = '{src}' GROUP BY ALL" for src, dst, agg, ms in RULES))
+
+
+def _created(s, d):
+    """A series for each event type, created again by each user, some without saying how long it keeps."""
+    e = b.events(s, d)
+    return e.select(F.col("event_type").alias("key"), F.when(F.col("user_id") % 3 == 0, F.col("user_id") * HOUR).alias("retention_ms"), F.struct("ts", "event_id").alias("seq"))
+
+
+CREATED = f"(SELECT event_type AS key, coalesce(arg_max(user_id * {HOUR}, (ts, event_id)) FILTER (user_id % 3 = 0), 0) AS retention_ms FROM events GROUP BY 1)"
+
+
+def _none(s):
+    return s.createDataFrame([], "key string, retention_ms long")
+
+
+add("ts_create", lambda s, d: ts.create(_none(s), _created(s, d)), f"SELECT key, retention_ms FROM {CREATED} AS c")
+add("ts_retention_each", lambda s, d: ts.retain_each(b.series(s, d), ts.create(_none(s), _created(s, d))).select("key", "ts", "value"), f"""
+SELECT t.key, t.ts, t.value FROM (SELECT *, max(ts) OVER (PARTITION BY key) AS top FROM {b.SERIES} AS t) AS t JOIN {CREATED} AS c ON t.key = c.key WHERE c.retention_ms = 0 OR t.ts >= top - c.retention_ms""")

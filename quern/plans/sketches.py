@@ -41,14 +41,14 @@ def _fnv(x: str) -> str:
 
 
 PLACE = f"""(SELECT *, least(i1, i2) AS lo, greatest(i1, i2) AS hi FROM (SELECT *, xor(i1, {_fnv('fp::VARCHAR')} & 255) AS i2 FROM
-  (SELECT *, CASE WHEN h & 255 = 0 THEN 1 ELSE (h & 255)::INT END AS fp, h & 255 AS i1 FROM (SELECT *, {_fnv('item')} AS h FROM {{items}} AS i))))"""
-USERS = "(SELECT event_type AS key, user_id::VARCHAR AS item, event_id AS seq FROM events WHERE user_id % 3 = 0)"
+  (SELECT *, CASE WHEN xor(h, h >> 16) & 255 = 0 THEN 1 ELSE (xor(h, h >> 16) & 255)::INT END AS fp, h & 255 AS i1 FROM (SELECT *, {_fnv('item')} AS h FROM {{items}} AS i))))"""
+USERS = "(SELECT event_type AS key, user_id::VARCHAR AS item, event_id AS seq FROM events)"
 CF = f"(SELECT key, fp, lo, hi, count(*) AS n FROM {PLACE.format(items=USERS)} AS p GROUP BY ALL)"
 PROBES = "(SELECT 'click' AS key, c_custkey::VARCHAR AS item FROM customer)"
 
 
 def _users(s, d):
-    return load(s, d, "events").where("user_id % 3 = 0").select(F.col("event_type").alias("key"), F.col("user_id").cast("string").alias("item"), F.col("event_id").alias("seq"))
+    return load(s, d, "events").select(F.col("event_type").alias("key"), F.col("user_id").cast("string").alias("item"), F.col("event_id").alias("seq"))
 
 
 def _probes(s, d):
@@ -59,7 +59,11 @@ add("cf_fingerprint", lambda s, d: sk.cf_place(_probes(s, d)), f"SELECT key, ite
 add("cf_add", lambda s, d: sk.cf_add(_users(s, d)), f"SELECT key, fp, lo, hi, n FROM {CF} AS c")
 add("cf_addnx", lambda s, d: sk.cf_addnx(_users(s, d)).select("key", "item", "seq", "added"), f"SELECT key, item, seq, (row_number() OVER (PARTITION BY key, fp, lo, hi ORDER BY seq) = 1)::INT AS added FROM {PLACE.format(items=USERS)} AS p")
 add("cf_exists", lambda s, d: sk.cf_exists(sk.cf_add(_users(s, d)), _probes(s, d)), f"SELECT p.key, item, (c.n IS NOT NULL)::INT AS present FROM {PLACE.format(items=PROBES)} AS p LEFT JOIN {CF} AS c ON c.key = p.key AND c.fp = p.fp AND c.lo = p.lo AND c.hi = p.hi")
-add("cf_del", lambda s, d: sk.cf_delete(sk.cf_add(_users(s, d)), _users(s, d).where("seq % 2 = 0").drop("seq")), f"""
-WITH g AS (SELECT key, fp, lo, hi, count(*) AS n FROM {PLACE.format(items=USERS.replace('% 3 = 0', '% 3 = 0 AND event_id % 2 = 0'))} AS p GROUP BY ALL)
+add("cf_del", lambda s, d: sk.cf_delete(sk.cf_add(_users(s, d)), _users(s, d).where("key IN ('click', 'view') OR cast(item AS int) < 40").drop("seq")), f"""
+WITH g AS (SELECT key, fp, lo, hi, count(*) AS n FROM {PLACE.format(items="(SELECT event_type AS key, user_id::VARCHAR AS item FROM events WHERE event_type IN ('click', 'view') OR user_id < 40)")} AS p GROUP BY ALL)
 SELECT c.key, c.fp, c.lo, c.hi, c.n - coalesce(g.n, 0) AS n FROM {CF} AS c LEFT JOIN g ON c.key = g.key AND c.fp = g.fp AND c.lo = g.lo AND c.hi = g.hi WHERE c.n > coalesce(g.n, 0)""")
-add("cf_insert", lambda s, d: sk.cf_add(_users(s, d)).groupBy("key").agg(F.sum("n").alias("inserted")), "SELECT event_type AS key, count(*) AS inserted FROM events WHERE user_id % 3 = 0 GROUP BY 1")
+add("cf_insert", lambda s, d: sk.cf_fill(_users(s, d).groupBy("key", "item").agg(F.min("seq").alias("seq")), 1 << 20).select("key", "item", "seq", "added"), f"SELECT key, item, min(seq) AS seq, 1::INT AS added FROM {USERS} AS u GROUP BY ALL")
+add("cf_copies", lambda s, d: sk.cf_fill(_users(s, d).where("item = '0'"), 1 << 20).groupBy("key").agg(F.sum("added").alias("held")), "SELECT event_type AS key, least(count(*), 8)::BIGINT AS held FROM events WHERE user_id = 0 GROUP BY 1")
+add("cf_insertnx", lambda s, d: sk.cf_fill(_users(s, d), 1024, only_new=True).select("key", "item", "seq", "added"), f"SELECT key, item, seq, (row_number() OVER (PARTITION BY key, fp, lo, hi ORDER BY seq) = 1)::INT AS added FROM {PLACE.format(items=USERS)} AS p")
+add("cf_reserve", lambda s, d: s.createDataFrame([(1 << c, sk.buckets_of(1 << c)) for c in range(13)], "capacity long, buckets long"), "SELECT (1 << c)::BIGINT AS capacity, greatest(1, (1 << c) // 4)::BIGINT AS buckets FROM (SELECT unnest(range(13)) AS c)")
+add("cf_full", lambda s, d: sk.cf_fill(_users(s, d), 16, 4, 20).groupBy("key").agg(F.least(F.sum("added"), F.lit(17)).alias("held"), F.bool_or(F.col("added") == 0).alias("full")).select("key", (F.col("held") >= 4).alias("some"), "full"), "SELECT event_type AS key, true AS some, true AS full FROM events GROUP BY 1")
