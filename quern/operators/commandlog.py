@@ -6,11 +6,14 @@ whose effect depends on the value so far, in any order, are folded key by key.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.shared import ship
+from quern.operators import folds
+from quern.sources import aof
+
+#: Bytes of the stream that a replica may lie behind.
+BACKLOG = 1 << 20
 
 OVERWRITES, BARRIERS = ("SET",), ("DEL", "FLUSH")
 
@@ -52,24 +55,48 @@ def expiring(log: DataFrame, now) -> DataFrame:
 
 
 def fold_lists(log: DataFrame) -> DataFrame:
-    """``key, items`` after LPUSH, RPUSH, LPOP, RPOP and LTRIM in order; one key's log at a time, in a task that holds that key."""
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        from collections import deque
-
-        items: deque[str] = deque()
-        for cmd, arg in zip(pdf.sort_values("seq")["cmd"], pdf.sort_values("seq")["arg"], strict=True):
-            if cmd == "LPUSH":
-                items.appendleft(arg)
-            elif cmd == "RPUSH":
-                items.append(arg)
-            elif cmd == "LPOP" and items:
-                items.popleft()
-            elif cmd == "RPOP" and items:
-                items.pop()
-        return pd.DataFrame({"key": [pdf["key"].iloc[0]], "items": [list(items)]})
-
-    ship(log.sparkSession)
-    return log.groupBy("key").applyInPandas(fold, f"key {log.schema['key'].dataType.simpleString()}, items array<string>")
+    """``key, items`` after all commands on lists of ``log(key, seq, cmd, arg)``; several arguments are separated by spaces.
+
+    LPUSH, RPUSH, LPOP, RPOP, LSET, LTRIM, LREM and DEL take effect; any other raises.
+    """
+    known = "LPUSH RPUSH LPOP RPOP LSET LTRIM LREM DEL".split()
+    bad = F.raise_error(F.concat(F.col("cmd"), F.lit(" is no command on a list")))
+    many = F.col("cmd").isin("LSET", "LTRIM", "LREM")
+    args = F.when(F.col("arg").isNull() | F.col("cmd").isin("LPOP", "RPOP", "DEL"), F.array().cast("array<string>")).when(many, F.split("arg", " ", 2)).otherwise(F.array("arg"))
+    each = log.select(F.lit(0).alias("db"), "key", "seq", F.when(F.col("cmd").isin(known), F.col("cmd")).otherwise(bad).alias("cmd"), args.alias("args"))
+    left = folds.fold(each).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("x"))
+    empty = F.array().cast("array<string>")
+    return log.select("key").distinct().join(left, "key", "left").select("key", F.coalesce(F.transform("x", lambda v: v["value"]), empty).alias("items"))
+
+
+def offsets(log: DataFrame) -> DataFrame:
+    """``log(seq, args)`` with ``ends``, the byte of the replication stream behind each command.
+
+    Running sums go over ranges of ``seq`` and then within them, so no task has
+    the whole log.
+    """
+    sized = log.withColumn("_n", F.octet_length(aof.encode_command(F.col("args"))) + 2)
+    span = sized.agg(F.min("seq").alias("_lo"), (F.floor((F.max("seq") - F.min("seq")) / 1024) + 1).alias("_width"))
+    part = F.floor((F.col("seq") - F.col("_lo")) / F.col("_width"))
+    dealt = sized.crossJoin(F.broadcast(span)).withColumn("_part", part).drop("_lo", "_width")  # one row
+    upto = lambda n, own: F.sum(n).over(Window.partitionBy(*own).orderBy("seq" if own else "_part").rowsBetween(Window.unboundedPreceding, 0 if own else -1))
+    before = dealt.groupBy("_part").agg(F.sum("_n").alias("_sum")).withColumn("_before", F.coalesce(upto("_sum", []), F.lit(0)))  # at most 1,024 rows
+    return dealt.withColumn("_within", upto("_n", ["_part"])).join(before, "_part").withColumn("ends", (F.col("_before") + F.col("_within")).cast("long")).drop("_part", "_n", "_sum", "_before", "_within")
+
+
+def psync(log: DataFrame, replid: str, asked: str, offset: int, backlog: int = BACKLOG) -> tuple[str, DataFrame]:
+    """CONTINUE or FULLRESYNC for a replica that has the stream of ``asked`` up to ``offset``, and the commands it still needs.
+
+    It may go on while its offset lies within the last ``backlog`` bytes and at
+    the end of a command of the same history; else it needs a snapshot and the
+    commands after that.
+    """
+    stream = offsets(log)
+    last = stream.agg(F.coalesce(F.max("ends"), F.lit(0)).alias("x")).first().x
+    at_end = offset == 0 or stream.where(F.col("ends") == offset).take(1)
+    if asked == replid and last - backlog <= offset <= last and at_end:
+        return "CONTINUE", stream.where(F.col("ends") > offset)
+    return "FULLRESYNC", stream.where(F.lit(False))
 
 
 def catch_up(log: DataFrame, applied: int, limit: int | None = None) -> DataFrame:

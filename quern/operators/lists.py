@@ -100,6 +100,21 @@ def blocking_pick(lists: DataFrame, requested: DataFrame, side: str = "LEFT") ->
     return requested.select("client").distinct().join(best, "client", "left").select("client", "x.key", "x.value")
 
 
+def blocking_pops(log: DataFrame) -> DataFrame:
+    """``client, key, value, at``: what waiting clients get, and at which ``seq`` they are served.
+
+    ``log(key, seq, op, arg)`` has pushes to the tail (PUSH, ``arg`` the value)
+    and BLPOPs without a time limit (WAIT, ``arg`` the client). Clients are
+    served in order, so the n-th of a key gets the n-th value pushed, as soon as
+    both are there; those that still wait at the end are left out.
+    """
+    n = F.row_number().over(Window.partitionBy("key", "op").orderBy("seq"))
+    numbered = log.withColumn("_n", n)
+    pushes = numbered.where("op = 'PUSH'").select("key", "_n", F.col("arg").alias("value"), F.col("seq").alias("_pushed"))
+    waits = numbered.where("op = 'WAIT'").select("key", "_n", F.col("arg").alias("client"), F.col("seq").alias("_asked"))
+    return waits.join(pushes, ["key", "_n"]).select("client", "key", "value", F.greatest("_pushed", "_asked").alias("at"))
+
+
 def to_arrays(lists: DataFrame) -> DataFrame:
     """``key, items``."""
     return lists.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]).alias("items"))

@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The class letter and event name of each notified command.
+#: The commands that are notified, by the letter of their class; an event has its command's name.
 CLASSES = {
-    "SET": ("$", "set"), "APPEND": ("$", "append"), "INCR": ("$", "incrby"), "INCRBY": ("$", "incrby"), "DECR": ("$", "decrby"), "SETRANGE": ("$", "setrange"), "DEL": ("g", "del"), "EXPIRE": ("g", "expire"), "RENAME": ("g", "rename_from"), "PERSIST": ("g", "persist"),
-    "LPUSH": ("l", "lpush"), "RPUSH": ("l", "rpush"), "LPOP": ("l", "lpop"), "RPOP": ("l", "rpop"), "SADD": ("s", "sadd"), "SREM": ("s", "srem"), "HSET": ("h", "hset"), "HDEL": ("h", "hdel"), "ZADD": ("z", "zadd"), "ZREM": ("z", "zrem"), "EXPIRED": ("x", "expired"),
+    "$": ("SET", "SETNX", "SETEX", "APPEND", "SETRANGE", "INCR", "INCRBY", "DECR", "DECRBY"),
+    "g": ("DEL", "EXPIRE", "PEXPIRE", "EXPIREAT", "PEXPIREAT", "PERSIST"),
+    "l": ("LPUSH", "RPUSH", "LPOP", "RPOP", "LSET"),
+    "s": ("SADD", "SREM", "SPOP", "SMOVE", "SUNIONSTORE", "SINTERSTORE", "SDIFFSTORE"),
+    "h": ("HSET", "HDEL", "HMSET"),
+    "z": ("ZADD", "ZREM"),
+    "x": ("EXPIRED",),
 }
 
 
@@ -28,20 +33,30 @@ def subscriptions_at_end(log: DataFrame) -> DataFrame:
     return log.groupBy("client", "channel").agg(F.max_by("op", "seq").alias("op")).where("op = 'SUBSCRIBE'").select("client", "channel")
 
 
-def _by_command(place: int) -> Column:
+def _class_of(cmd: Column) -> Column:
     out = F.lit(None).cast("string")
-    for cmd, pair in CLASSES.items():
-        out = F.when(F.col("cmd") == cmd, pair[place]).otherwise(out)
+    for letter, commands in CLASSES.items():
+        out = F.when(cmd.isin(*commands), letter).otherwise(out)
     return out
 
 
+def expirations(keys: DataFrame, after_ms: Column, now_ms: Column) -> DataFrame:
+    """``seq, db, cmd, key``: an EXPIRED for each of ``keys(db, key, due_ms)`` that falls due after one sweep and by the next.
+
+    ``seq`` is the time it fell due; together with the commands of a log these
+    rows go through ``notifications``.
+    """
+    due = F.col("due_ms")
+    return keys.where((due > after_ms) & (due <= now_ms)).select(due.alias("seq"), "db", F.lit("EXPIRED").alias("cmd"), "key")
+
+
 def notifications(log: DataFrame, flags: str) -> DataFrame:
     """``seq, channel, payload`` for ``log(seq, db, cmd, key)`` under flags such as ``KEA``.
 
     K and E choose the two kinds of channel, A stands for all classes.
     """
     wanted = set("g$lshzx") if "A" in flags else set(flags) & set("g$lshzx")
-    told = log.withColumns({"_class": _by_command(0), "_event": _by_command(1)}).where(F.col("_class").isin(sorted(wanted)))
+    told = log.withColumns({"_class": _class_of(F.upper("cmd")), "_event": F.lower("cmd")}).where(F.col("_class").isin(sorted(wanted)))
     kinds = []
     db = F.col("db").cast("string")
     if "E" in flags:

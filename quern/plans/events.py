@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.operators import commandlog as cl
+from quern.operators import folds as fo
 from quern.operators import notify as nt
 from quern.plans import bind as b
 from quern.plans.registry import add
@@ -18,10 +19,10 @@ def _messages(s, d):
 def _subs(s, d):
     """Customers subscribe to the channel of their number's remainder."""
     names = F.array(*map(F.lit, ("click", "view", "error", "quiet")))
-    return load(s, d, "customer").where("c_custkey <= 40").select(F.col("c_custkey").alias("client"), F.element_at(names, (F.col("c_custkey") % 4 + 1).cast("int")).alias("channel"))
+    return load(s, d, "customer").select(F.col("c_custkey").alias("client"), F.element_at(names, (F.col("c_custkey") % 4 + 1).cast("int")).alias("channel"))
 
 
-SUBS = "(SELECT c_custkey AS client, ['click', 'view', 'error', 'quiet'][(c_custkey % 4 + 1)::INT] AS channel FROM customer WHERE c_custkey <= 40)"
+SUBS = "(SELECT c_custkey AS client, ['click', 'view', 'error', 'quiet'][(c_custkey % 4 + 1)::INT] AS channel FROM customer)"
 add("pubsub_publish_counts", lambda s, d: nt.receivers(_messages(s, d), _subs(s, d)), f"SELECT event_id AS seq, (SELECT count(*) FROM {SUBS} AS s WHERE s.channel = event_type) AS receivers FROM events")
 add("pubsub_delivery", lambda s, d: nt.publish(_messages(s, d), _subs(s, d)).groupBy("client", "channel").agg(F.count("*").alias("n_messages")), f"SELECT client, channel, count(*) AS n_messages FROM events JOIN {SUBS} AS s ON channel = event_type GROUP BY ALL")
 add("pubsub_unsubscribe", lambda s, d: nt.subscriptions_at_end(load(s, d, "events").select(F.col("user_id").alias("client"), F.col("event_type").alias("channel"), F.struct("ts", "event_id").alias("seq"), F.when(F.col("event_id") % 2 == 0, "SUBSCRIBE").otherwise("UNSUBSCRIBE").alias("op"))), "SELECT client, channel FROM (SELECT user_id AS client, event_type AS channel, arg_max(event_id, (ts, event_id)) AS e FROM events GROUP BY ALL) WHERE e % 2 = 0")
@@ -32,9 +33,21 @@ def _commands(s, d):
     return load(s, d, "events").select(F.col("event_id").alias("seq"), (F.col("user_id") % 2).cast("int").alias("db"), cmd[F.col("event_type")].alias("cmd"), F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("key"))
 
 
-EV = "(SELECT event_id AS seq, user_id % 2 AS db, 'user:' || user_id AS key, CASE event_type WHEN 'signup' THEN 'set' WHEN 'click' THEN 'incrby' WHEN 'view' THEN 'lpush' WHEN 'error' THEN 'del' ELSE 'hset' END AS ev FROM events)"
+EV = "(SELECT event_id AS seq, user_id % 2 AS db, 'user:' || user_id AS key, CASE event_type WHEN 'signup' THEN 'set' WHEN 'click' THEN 'incr' WHEN 'view' THEN 'lpush' WHEN 'error' THEN 'del' ELSE 'hset' END AS ev FROM events)"
 add("notify_keyevents", lambda s, d: nt.notifications(_commands(s, d), "EA"), f"SELECT seq, '__keyevent@' || db || '__:' || ev AS channel, key AS payload FROM {EV} AS e")
-add("notify_keyspace", lambda s, d: nt.notifications(_commands(s, d), "KE$g"), f"SELECT seq, unnest(['__keyevent@' || db || '__:' || ev, '__keyspace@' || db || '__:' || key]) AS channel, unnest([key, ev]) AS payload FROM {EV} AS e WHERE ev IN ('set', 'incrby', 'del')")
+add("notify_keyspace", lambda s, d: nt.notifications(_commands(s, d), "KE$g"), f"SELECT seq, unnest(['__keyevent@' || db || '__:' || ev, '__keyspace@' || db || '__:' || key]) AS channel, unnest([key, ev]) AS payload FROM {EV} AS e WHERE ev IN ('set', 'incr', 'del')")
+
+
+def _due(s, d):
+    """Keys that fall due by the value of their last event, in hours."""
+    e = b.events(s, d).groupBy(F.col("user_id")).agg(F.max_by(F.col("ms") + F.floor("value").cast("long") * 3_600_000, F.struct("ts", "event_id")).alias("due_ms"))
+    return e.select((F.col("user_id") % 2).cast("int").alias("db"), F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("key"), "due_ms")
+
+
+SWEPT, SWEEP = 1706000000000, 1706600000000
+add("notify_expired", lambda s, d: nt.notifications(nt.expirations(_due(s, d), F.lit(SWEPT), F.lit(SWEEP)), "KEx"), f"""
+SELECT due AS seq, unnest(['__keyevent@' || db || '__:expired', '__keyspace@' || db || '__:' || key]) AS channel, unnest([key, 'expired']) AS payload FROM
+  (SELECT user_id % 2 AS db, 'user:' || user_id AS key, arg_max((epoch_us(ts) // 1000) + floor(value)::BIGINT * 3600000, (ts, event_id)) AS due FROM events GROUP BY user_id) WHERE due > {SWEPT} AND due <= {SWEEP}""")
 
 
 def _accesses(s, d):
@@ -77,6 +90,48 @@ def _transactional(s, d):
 add("txn_exec_fold", lambda s, d: cl.transactions(_transactional(s, d)).groupBy("key").agg(F.max_by("arg", "effect").alias("value")), """
 SELECT user_id AS key, arg_max(event_id, (CASE WHEN event_type <> 'purchase' THEN event_id // 10 * 20 + 19 ELSE event_id * 2 END, event_id * 2)) AS value
 FROM events WHERE event_type = 'purchase' OR event_id // 10 % 4 <> 0 GROUP BY 1""")
-add("log_list_fold", lambda s, d: cl.fold_lists(load(s, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "click", "LPUSH").otherwise("RPUSH").alias("cmd"), F.col("event_id").cast("string").alias("arg"))).select("key", F.array_join("items", ",").alias("items")), """
-SELECT user_id AS key, string_agg(event_id::VARCHAR, ',' ORDER BY CASE WHEN event_type = 'click' THEN 0 ELSE 1 END, CASE WHEN event_type = 'click' THEN -event_id ELSE event_id END) AS items FROM events GROUP BY 1""")
+
+
+def _list_log(s, d):
+    """Pushes to either end by type, and a trim of each user's list to its first and last places but one at the end."""
+    e = load(s, d, "events")
+    pushes = e.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "click", "LPUSH").otherwise("RPUSH").alias("cmd"), F.col("event_id").cast("string").alias("arg"))
+    users = e.groupBy(F.col("user_id").alias("key")).agg(F.max("event_id").alias("seq"))
+    more = F.array(*(F.struct(F.lit(c).alias("cmd"), F.lit(a).alias("arg")) for c, a in (("LSET", "0 first"), ("LTRIM", "0 -3"), ("LREM", "1 none"), ("RPOP", None), ("LPOP", None), ("LPUSH", "new"))))
+    return pushes.union(users.select("key", (F.col("seq") + 1_000_000).alias("seq"), F.posexplode(more)).select("key", F.col("seq") + F.col("pos"), "col.cmd", "col.arg"))
+
+
+add("log_list_fold", lambda s, d: cl.fold_lists(_list_log(s, d)).select("key", F.array_join("items", ",").alias("items")), """
+WITH l AS (SELECT user_id AS key, list(event_id::VARCHAR ORDER BY CASE WHEN event_type = 'click' THEN 0 ELSE 1 END, CASE WHEN event_type = 'click' THEN -event_id ELSE event_id END) AS a FROM events GROUP BY 1)
+SELECT key, array_to_string(list_concat(['new'], a[2:len(a) - 3]), ',') AS items FROM l""")
 add("repl_catch_up", lambda s, d: cl.catch_up(_commands(s, d), 9000).select("seq", "cmd"), f"SELECT event_id AS seq, CASE event_type WHEN 'signup' THEN 'SET' WHEN 'click' THEN 'INCR' WHEN 'view' THEN 'LPUSH' WHEN 'error' THEN 'DEL' ELSE 'HSET' END AS cmd FROM events WHERE event_id > 9000")
+
+
+def _hash_log(s, d):
+    k = F.col("event_id")
+    cmd = F.when(F.col("event_type") == "error", "HDEL").otherwise("HSET")
+    args = F.when(F.col("event_type") == "error", F.array(F.lit("click"))).otherwise(F.array("event_type", k.cast("string")))
+    return load(s, d, "events").select(F.lit(0).alias("db"), F.col("user_id").alias("key"), k.alias("seq"), cmd.alias("cmd"), args.alias("args"))
+
+
+add("log_hash_fold", lambda s, d: fo.fold(_hash_log(s, d)).select("key", "type", F.col("name").alias("field"), "value", "errors"), """
+WITH w AS (SELECT user_id AS key, event_type AS field, max(event_id) AS e FROM events WHERE event_type <> 'error' GROUP BY ALL), x AS (SELECT user_id AS key, max(event_id) AS e FROM events WHERE event_type = 'error' GROUP BY 1)
+SELECT w.key, 'hash' AS type, field, w.e::VARCHAR AS value, 0::BIGINT AS errors FROM w LEFT JOIN x USING (key) WHERE field <> 'click' OR x.e IS NULL OR w.e > x.e""")
+
+
+def _set_log(s, d):
+    op = F.when(F.col("event_type").isin("error", "signup"), "SREM").otherwise("SADD")
+    return load(s, d, "events").select(F.lit(0).alias("db"), F.col("user_id").alias("key"), F.col("event_id").alias("seq"), op.alias("cmd"), F.array(F.floor(F.col("value") / 10).cast("long").cast("string")).alias("args"))
+
+
+add("log_set_fold", lambda s, d: fo.fold(_set_log(s, d)).select("key", F.col("name").alias("member")), """
+SELECT key, member FROM (SELECT user_id AS key, floor(value / 10)::BIGINT::VARCHAR AS member, arg_max(event_type NOT IN ('error', 'signup'), event_id) AS there FROM events GROUP BY ALL) WHERE there""")
+
+
+def _stream_log(s, d):
+    return load(s, d, "events").select(F.col("event_id").alias("seq"), F.array(F.lit("SET"), F.concat(F.lit("k"), F.col("user_id").cast("string")), F.col("event_type")).alias("args"))
+
+
+STREAMED = """(SELECT event_id AS seq, sum(4 + 9 + 4 + strlen('k' || user_id) + 2 + 4 + strlen(event_type) + 2) OVER (ORDER BY event_id)::BIGINT AS ends FROM events)"""
+add("repl_offsets", lambda s, d: cl.offsets(_stream_log(s, d)).select("seq", "ends"), f"SELECT seq, ends FROM {STREAMED} AS r")
+add("repl_psync", lambda s, d: cl.psync(_stream_log(s, d), "id1", "id1", cl.offsets(_stream_log(s, d)).where("seq = 9000").first().ends)[1].select("seq", "ends"), f"SELECT seq, ends FROM {STREAMED} AS r WHERE seq > 9000")
