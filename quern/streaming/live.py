@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from quern.operators import sketches
-from quern.shared import Scratch, ship
+from quern.shared import ship
 
 
 def publish(messages: DataFrame, subscriptions: DataFrame) -> DataFrame:
@@ -25,20 +25,45 @@ def consume(entries: DataFrame, handle: Callable[[DataFrame, int], None], checkp
 
 
 class LiveRegisters:
-    """HyperLogLog registers kept up to date by the batches of a stream; a batch that is repeated changes nothing."""
+    """HyperLogLog registers kept up to date by the batches of a stream, as a table for each batch in a folder.
 
-    def __init__(self, scratch: Scratch):
-        self.scratch, self.table = scratch, None
+    The folder goes with the stream's checkpoint: after a restart the registers
+    are those of the last whole table, and a batch that comes again is merged
+    into the table before it once more.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def _path(self, number: int) -> str:
+        return f"{self.root}/batch={number}"
+
+    def _whole(self) -> list[int]:
+        """Numbers of the batches whose tables are complete."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(p):
+            return []
+        done = [s.getPath() for s in fs.listStatus(p) if s.getPath().getName().startswith("batch=")]
+        return sorted(int(d.getName()[6:]) for d in done if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(d, "_SUCCESS")))
 
     def __call__(self, batch: DataFrame, number: int) -> None:
         new = sketches.pfadd(batch)
-        if self.table is not None:
-            new = self.table.union(new).groupBy("key", "idx").agg(F.max("rho").alias("rho"))
-        before, self.table = self.table, self.scratch.put(new, f"registers{number}")
-        self.scratch.drop(before)
+        before = [n for n in self._whole() if n < number]
+        if before:
+            old = self.spark.read.parquet(self._path(before[-1])).select(*new.columns)
+            new = old.union(new).groupBy("key", "idx").agg(F.max("rho").alias("rho"))
+        new.write.mode("overwrite").parquet(self._path(number))
+        for n in before[:-1]:
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(n))
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+    def table(self) -> DataFrame:
+        whole = self._whole()
+        return self.spark.read.parquet(self._path(whole[-1])) if whole else self.spark.createDataFrame([], "key string, idx int, rho int")
 
     def count(self) -> DataFrame:
-        return sketches.pfcount(self.table)
+        return sketches.pfcount(self.table())
 
 
 class _LastValue(StatefulProcessor):

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.engine import CommandError, Engine
-from quern.operators import bits, docindex, geo, jsondoc, keyspace, lists, sketches, streams, strings, timeseries, vectors, zsets
+from quern.operators import bits, docindex, geo, jsondoc, jsonedit, keyspace, lists, sketches, streams, strings, timeseries, vectors, zsets
 
 
 def col(df, c=0):
@@ -146,7 +146,7 @@ def test_json_paths(spark):
     assert jsondoc.update_path(d, "$.tags[0]", None).select(jsondoc.get(c, "$.tags")).first()[0] == "[]"
     assert d.select(jsondoc.descend(c, "$..b")).first()[0] == "[1]"
     assert jsondoc.steps("$.a['b c'][3][*].*") == ["a", "b c", 3, "*", "*"]
-    assert d.select(jsondoc.get(jsondoc.without_member(c, "a"), "$.a"), jsondoc.clear(c)).first() == (None, "{}")
+    assert d.select(jsondoc.get(jsondoc.without_member(c, "a"), "$.a"), jsonedit.clear(c)["doc"]).first() == (None, "{}")
 
 
 def test_geo_boxes_lose_nothing(spark):
@@ -158,10 +158,35 @@ def test_geo_boxes_lose_nothing(spark):
     for km in (500.0, 3000.0, 15000.0):
         brute = {r.member for r in places.where(d <= km * 1000).collect()}
         assert {r.member for r in geo.search_radius(places, 170.0, 70.0, km, "km").collect()} == brute
-    pairs = {(r.centre, r.member) for r in geo.members_around(places, 800.0, "km").collect()}
+    edge = [("g", f"e{i}", lon, lat) for i, (lon, lat) in enumerate([(180.0, 0.0), (-180.0, 0.0), (179.99, 89.99), (0.0, 90.0), (0.0, -90.0), (-179.9, -60.0), (179.9, -60.0), (12.0, 89.0), (-168.0, 89.0)])]
+    places = places.union(spark.createDataFrame(edge, places.schema)).cache()
     a, b = places.alias("a"), places.alias("b")
-    brute = a.join(b, geo.distance_m(F.col("a.lon"), F.col("a.lat"), F.col("b.lon"), F.col("b.lat")) <= 800000).select("a.member", "b.member")
-    assert pairs == {tuple(r) for r in brute.collect()}
+    metres = geo.distance_m(F.col("a.lon"), F.col("a.lat"), F.col("b.lon"), F.col("b.lat"))
+    for km in (1.0, 800.0, 2500.0, 9000.0, 20100.0):
+        pairs = [(r.centre, r.member) for r in geo.members_around(places, km, "km").collect()]
+        brute = a.join(b, metres <= km * 1000).select("a.member", "b.member")
+        assert sorted(pairs) == sorted(tuple(r) for r in brute.collect())
+
+
+def test_json_changes_of_odd_documents(spark):
+    docs = [None, "no json", '"text"', "[1, 2.50, 3e2]", '{"b": 1, "a": {"x": [1, {"y": "é"}]}}', "12", "true", "null", "{}"]
+    df = spark.createDataFrame(list(enumerate(docs)), "key int, doc string")
+    d = F.col("doc")
+    of = lambda c: [tuple(r.x) for r in df.select(c.alias("x"), "key").orderBy("key").collect()]
+    missing = (None, None, "path does not exist")
+    assert of(jsonedit.arrappend(d, "$", F.lit("{}"))) == [missing, ("no json", None, "path is not an array"), ('"text"', None, "path is not an array"), ("[1,2.5,300,{}]", "4", None)] + [(x, None, "path is not an array") for x in docs[4:]]
+    assert of(jsonedit.strappend(d, "$", F.lit('"!"')))[:3] == [missing, ('"no json!"', "8", None), ('"text!"', "5", None)]
+    assert of(jsonedit.numincrby(d, "$", 0.5))[5] == ("12.5", "12.5", None) and of(jsonedit.toggle(d, "$"))[6] == ("false", "0", None)
+    assert of(jsonedit.arrpop(d, "$.a.x", 0))[4] == ('{"b":1,"a":{"x":[{"y":"é"}]}}', "1", None) and of(jsonedit.arrpop(d))[0] == (None, None, None)
+    assert of(jsonedit.clear(d))[3:6] == [("[]", "1", None), ("{}", "1", None), ("12", "0", None)]
+    assert of(jsonedit.delete(d, "$.a.x[1].y"))[4] == ('{"b":1,"a":{"x":[1,{}]}}', "1", None) and of(jsonedit.delete(d, "$"))[0] == (None, "0", None)
+    plain = [r[0] for r in df.select(jsonedit.set_value(d, "$.n[1]", F.lit("1.0")).alias("x"), "key").orderBy("key").collect()]
+    assert plain[0] == plain[1] == '{"n":[null,1]}' and plain[4].startswith('{"b":1,"a"')
+    assert [r[0] for r in df.select(jsonedit.value_at(d, "$..y").alias("x"), "key").orderBy("key").collect()][4].endswith('"é"]')
+    assert jsondoc.update_path(df.withColumn("other", F.lit(1)), "$.q", F.lit("2")).columns == ["key", "doc", "other"]
+    assert df.select(jsondoc.descend(d, "$..x").alias("x")).where("x IS NOT NULL").count() == 8
+    with pytest.raises(ValueError):
+        jsonedit.toggle(d, "$.a[*]")
 
 
 def test_document_index(spark):
