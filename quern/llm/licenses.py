@@ -1,17 +1,20 @@
 """License scans by the digest of a canonical form.
 
 Canonical text is lower case, without lines of copyright, of reserved rights and
-of titles that aren't part of a licence, with equivalent spellings made one, and with every run of ASCII punctuation and white space as
-one space. Its SHA-256 digest is looked up among those of known licence texts,
+of titles that aren't part of a licence, with equivalent spellings made one, and
+with every run of ASCII or typographic punctuation and white space as one space.
+Its SHA-256 digest is looked up among those of known licence texts,
 for the whole text, and among those of known notices, for each of its lines
 that speaks of a licence.
 
-The known digests are a fixed table, computed with the same expressions and
-joined by broadcast; its size doesn't depend on the data.
+The known digests are fixed tables, computed with the same expressions and
+joined by broadcast; their size doesn't depend on the data. What a text's lines
+name is gathered by row from digests alone.
 
 Cases: a null text is the empty one; an empty canonical form matches nothing;
-repeated rows are alike; an empty table gives an empty result; extra columns
-are ignored.
+repeated rows are alike; notices of one text are sorted by name; an empty table
+gives an empty result; extra columns are ignored, whatever their names; a very
+long text is read whole, a fixed number of times.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.text import whole
+from quern.shared import Scratch
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A line that is the title of a licence whose own text has none.
@@ -34,10 +38,16 @@ COPYRIGHT_LINE = (
     r"|^[\x09\x20]*(?:copyright[\x09\x20]*(?:\(c\)|\xA9)|copyright\b[^\n]*[0-9]{4}|\(c\)[^\n]*[0-9]{4}|\xA9)[^\n]*$"
     rf"|^{_TITLE}$|^[\x09\x20]*all rights reserved[.]?[\x09\x0D\x20]*$"
 )
-PUNCTUATION = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: ASCII but letters and digits, no-break and thin spaces, guillemets, dashes, curly quotes, bullets, dots.
+PUNCTUATION = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F\xA0\xAB\xB7\xBB\u2000-\u2026\u2028\u2029\u202F\u2039\u203A\u2060\uFEFF]+"
 #: Spellings that the SPDX matching guidelines hold to be equal.
 SPELLINGS = (
-    ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("artefact", "artifact"), ("authorisation", "authorization"), ("authorised", "authorized"), ("calibre", "caliber"), ("cancelled", "canceled"), ("capitalisations", "capitalizations"), ("catalogue", "catalog"), ("categorise", "categorize"), ("centre", "center"), ("emphasised", "emphasized"), ("favour", "favor"), ("favourite", "favorite"), ("fulfil", "fulfill"), ("fulfilment", "fulfillment"), ("initialise", "initialize"), ("judgement", "judgment"), ("labelling", "labeling"), ("labour", "labor"), ("licence", "license"), ("licenced", "licensed"), ("maximise", "maximize"), ("modelled", "modeled"), ("modelling", "modeling"), ("offence", "offense"), ("optimise", "optimize"), ("organisation", "organization"), ("organise", "organize"), ("practise", "practice"), ("programme", "program"), ("realise", "realize"), ("recognise", "recognize"), ("signalling", "signaling"), ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "willfull"), ("non commercial", "noncommercial"), ("per cent", "percent"), ("sub license", "sublicense"), ("copyright holder", "copyright owner"),
+    ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("artefact", "artifact"), ("authorisation", "authorization"), ("authorised", "authorized"), ("calibre", "caliber"), ("cancelled", "canceled"),
+    ("capitalisations", "capitalizations"), ("catalogue", "catalog"), ("categorise", "categorize"), ("centre", "center"), ("emphasised", "emphasized"), ("favour", "favor"), ("favourite", "favorite"), ("fulfil", "fulfill"),
+    ("fulfilment", "fulfillment"), ("initialise", "initialize"), ("judgement", "judgment"), ("labelling", "labeling"), ("labour", "labor"), ("licence", "license"), ("licenced", "licensed"), ("maximise", "maximize"),
+    ("modelled", "modeled"), ("modelling", "modeling"), ("offence", "offense"), ("optimise", "optimize"), ("organisation", "organization"), ("organise", "organize"), ("practise", "practice"), ("programme", "program"),
+    ("realise", "realize"), ("recognise", "recognize"), ("signalling", "signaling"), ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "willful"), ("wilfull", "willful"), ("willfull", "willful"),
+    ("non commercial", "noncommercial"), ("per cent", "percent"), ("sub license", "sublicense"), ("copyright holder", "copyright owner"),
 )
 #: Licence texts by identifier; long ones are in ``license_texts``, which only the driver reads.
 LICENSES = {
@@ -95,11 +105,11 @@ NOTICES |= {f"{k}-or-later": (f"SPDX-License-Identifier: {k}-or-later",) for k i
 
 def canonical(text: Column) -> Column:
     out = F.regexp_replace(F.translate(text, UPPER, LOWER), COPYRIGHT_LINE, "")
-    out = F.concat(F.lit(" "), F.regexp_replace(out, PUNCTUATION, " "), F.lit(" "))
-    out = F.regexp_replace(out, " +", " ")
+    # two spaces between words, so that each has its own on either side and equal neighbours are both replaced
+    out = F.regexp_replace(F.concat(F.lit(" "), out, F.lit(" ")), PUNCTUATION, "  ")
     for other, one in SPELLINGS:
-        out = F.replace(out, F.lit(f" {other} "), F.lit(f" {one} "))
-    return F.trim(out)
+        out = F.replace(out, F.lit(f" {other} ".replace(" ", "  ")[1:-1]), F.lit(f" {one} ".replace(" ", "  ")[1:-1]))
+    return F.trim(F.replace(out, F.lit("  "), F.lit(" ")))
 
 
 def digest(text: Column) -> Column:
@@ -114,12 +124,15 @@ def known_digests(spark, texts: dict[str, tuple[str, ...]]) -> DataFrame:
 
 def scan_licenses(docs: DataFrame, *, licenses: dict[str, str] = LICENSES, notices: dict[str, tuple[str, ...]] = NOTICES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, canonical_sha256, license, notices``: the licence that the whole text is, and those its lines name (sorted, comma-joined)."""
-    spark = docs.sparkSession
-    whole_texts = known_digests(spark, {k: (v,) for k, v in licenses.items()})
-    lines = known_digests(spark, notices).agg(F.map_from_entries(F.collect_list(F.struct("digest", "license"))).alias("known"))
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "licenses")
+    known = scratch.put(known_digests(spark, {k: (v,) for k, v in licenses.items()}))
+    named = scratch.put(known_digests(spark, notices))
     text = whole(text_col)
     speaks = lambda x: x.rlike("(?i)licen[sc]e")
-    rows = docs.select(F.col(id_col).alias("doc_id"), digest(text).alias("canonical_sha256"), F.when(speaks(text), F.filter(F.split(text, "\n", -1), speaks)).otherwise(F.array().cast("array<string>")).alias("_lines"))
-    seen = rows.join(F.broadcast(whole_texts), F.col("canonical_sha256") == F.col("digest"), "left").join(F.broadcast(lines), F.size("_lines") > 0, "left")  # one row, left out where no line needs it
-    named = F.array_sort(F.array_distinct(F.filter(F.transform("_lines", lambda x: F.try_element_at("known", digest(x))), lambda x: x.isNotNull())))
-    return seen.select("doc_id", "canonical_sha256", "license", F.array_join(named, ",").alias("notices"))
+    lines = F.when(speaks(text), F.transform(F.filter(F.split(text, "\n", -1), speaks), digest)).otherwise(F.array().cast("array<string>"))
+    # digests are written before the joins, so that a row's number stays its own
+    rows = scratch.put(docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("doc_id"), digest(text).alias("canonical_sha256"), lines.alias("_lines")))
+    told = rows.where(F.size("_lines") > 0).select("_row", F.explode("_lines").alias("digest")).join(F.broadcast(named.withColumnRenamed("license", "named")), "digest")  # fixed tables
+    told = told.groupBy("_row").agg(F.array_join(F.array_sort(F.collect_set("named")), ",").alias("_named"))
+    found = rows.drop("_lines").join(F.broadcast(known), F.col("canonical_sha256") == F.col("digest"), "left").join(told, "_row", "left")
+    return found.select("doc_id", "canonical_sha256", "license", F.coalesce("_named", F.lit("")).alias("notices"))
