@@ -3,7 +3,18 @@
 Each stage takes the documents that the one before it kept and returns
 documents, but for the last, which returns a row of token ids' digests for each
 copy that the mix took. ``run`` writes what a stage returns as Parquet in the
-folder that all executors share and reads it again for the next.
+folder that all executors share and reads it again for the next, so that an
+executor lost later costs no stage that is done.
+
+Cases: a null, empty or very short text fails the quality rules and goes, so
+later stages see none unless they are called alone: then near-duplicates keeps
+texts without words and rows without an id, personal data leaves a null text
+null, the mix takes no text without words, and tokens gives an empty text no ids.
+Rows that repeat an id stay one document, the first by a hash of the row; of
+near copies the smallest id stays; ties in the mix are ordered by a hash of the
+row. A null language or source is a value of its own. Further columns are
+carried to the stage before the last, whatever their names. Very long texts pass
+whole through every stage. An empty table gives an empty result.
 """
 
 from __future__ import annotations
