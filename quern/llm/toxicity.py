@@ -15,15 +15,23 @@ alone that differs from one of evidence by doubled letters and v for u, unless
 a clean labelled text holds it.
 
 A text's score is a logistic function of its evidence, plain and restored, and
-of its length. It is fitted to a sample, by hash of the id, of about ``FIT_ROWS`` labelled texts;
-the word counts use all of them, and the character model all texts. No trigram
-and no word of evidence is left out: the model grows with the vocabulary, 16
-bytes a trigram, and comes to the driver in parts of ``PART`` rows.
+of its length. It is fitted to a sample, by hash of the id, of about ``FIT_ROWS``
+labelled texts, each measured by the words of the other half of the labels, so
+that no text's label speaks for its own words; the words of evidence of the
+result use all labels, and the character model all texts. No trigram and no word
+of evidence is left out: the model grows with the vocabulary, 16 bytes a
+trigram, and comes to the driver in parts of ``PART`` rows.
+
+Up to ``SENT_LABELS`` labels are sent to the texts; more are joined with them,
+with the same result.
 
 Cases: null and empty texts score the value for no evidence; unlabelled rows,
 labels of absent documents and null labels teach nothing; a row labelled twice
-counts twice; with no labels at all every score is 0.0; repeated rows score
-alike; extra columns are ignored.
+counts twice; of restored words that tie in likelihood the one that comes last
+in the alphabet is taken; with no labels at all every score is 0.0; repeated
+rows score alike; a very long text is measured whole, in a part of a batch of
+its own; an empty table gives an empty result; extra columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -38,12 +46,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.batches import slices
 from quern.shared import Scratch
 
 FOLDS, HELD_OUT = 5, 0
 FIT_ROWS = 20_000
-#: Labels up to this number are sent to every executor, so that texts needn't be shuffled to them.
-SENT_LABELS = 2_000_000
+#: Labels up to this number (some 10 MB) are sent to every executor, so that texts needn't be shuffled to them.
+SENT_LABELS = 500_000
+#: Kinds of counts: words in texts of either half of the labels, and trigrams.
+HALVES, TRIGRAMS = (0, 2), 1
 PART = 1_000_000
 LEAST_TEXTS, LEAST_RATIO = 6, 20.0
 FLUSH = 200_000
@@ -171,30 +182,38 @@ def plain_and_odd(text: str) -> tuple[set[str], set[str], set[str]]:
 
 
 def _learned(texts: DataFrame) -> DataFrame:
-    """``kind, key, toxic, clean`` of ``texts(text, toxic, clean)``, whose last two are numbers of labels or null: labels of the texts holding each word (kind 0), and trigrams of words in all texts (kind 1, as ``clean``)."""
+    """``kind, key, toxic, clean`` of ``texts(text, toxic, clean, half)``: labels of the texts holding each word, and trigrams of words in all texts.
+
+    Of ``texts`` the numbers of labels are null where there are none. A trigram's
+    count is its ``clean``.
+    """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[str, list[int]] = {}
 
         def out() -> Iterator[pa.RecordBatch]:
             grams: Counter[str] = Counter()
-            for w, (_, _, n) in words.items():
+            rows = []
+            for w, (n, *told) in words.items():
                 s = f"^^{w}$"
                 for i in range(len(s) - 2):
                     grams[s[i : i + 3]] += n
-            told = {w: x for w, x in words.items() if x[0] or x[1]}
-            keys, tox, clean = [*told, *grams], [x[0] for x in told.values()], [x[1] for x in told.values()]
-            yield pa.record_batch([pa.array([0] * len(told) + [1] * len(grams), pa.int32()), pa.array(keys, pa.string()), pa.array(tox + [0] * len(grams), pa.int64()), pa.array(clean + list(grams.values()), pa.int64())], names=["kind", "key", "toxic", "clean"])
+                rows += [(kind, w, *told[2 * i : 2 * i + 2]) for i, kind in enumerate(HALVES) if any(told[2 * i : 2 * i + 2])]
+            rows += [(TRIGRAMS, g, 0, n) for g, n in grams.items()]
+            cols = list(zip(*rows, strict=True)) or [()] * 4
+            kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64())
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["kind", "key", "toxic", "clean"])
             words.clear()
 
-        for b in batches:
-            for text, toxic, clean in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+        for b in slices(batches, 0):
+            for text, toxic, clean, half in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 for w in plain_words((text or "").lower()):
                     got = words.get(w)
                     if got is None:
-                        got = words[w] = [0, 0, 0]
-                    got[0] += toxic or 0
-                    got[1] += clean or 0
-                    got[2] += 1
+                        got = words[w] = [0, 0, 0, 0, 0]
+                    got[0] += 1
+                    if toxic is not None:
+                        got[1 + 2 * half] += toxic
+                        got[2 + 2 * half] += clean
                 if len(words) > FLUSH:
                     yield from out()
         yield from out()
@@ -211,7 +230,7 @@ def _in_parts(rows: DataFrame, part: int = PART) -> Iterator[pa.Table]:
 
 def _char_tables(learned: DataFrame, part: int = PART) -> list[tuple[np.ndarray, np.ndarray]]:
     """The ``char_tables`` of all trigrams."""
-    got = [(packed(t.column("key").to_pylist()), t.column("clean").to_numpy()) for t in _in_parts(learned.where("kind = 1").select("key", "clean"), part)]
+    got = [(packed(t.column("key").to_pylist()), t.column("clean").to_numpy()) for t in _in_parts(learned.where(F.col("kind") == TRIGRAMS).select("key", "clean"), part)]
     return char_tables(*(np.concatenate(x) for x in zip(*got, strict=True)))
 
 
@@ -219,14 +238,15 @@ def _xlogx(x: Column) -> Column:
     return F.when(x > 0, x * F.log(x)).otherwise(0.0)
 
 
-def _evidence(learned: DataFrame, toxic: int, clean: int, part: int = PART) -> dict[str, float]:
-    """Weights of all words that speak for toxicity."""
+def _evidence(learned: DataFrame, toxic: int, clean: int, part: int = PART, halves: tuple[int, ...] = HALVES) -> dict[str, float]:
+    """Weights of all words that speak for toxicity, by so many labels of some halves."""
     a, b = F.col("toxic").cast("double"), F.col("clean").cast("double")
     n = float(toxic + clean)
     c, d = F.lit(float(toxic)) - a, F.lit(float(clean)) - b
     ratio = 2 * (_xlogx(a) + _xlogx(b) + _xlogx(c) + _xlogx(d) - _xlogx(a + b) - _xlogx(c + d) - _xlogx(a + c) - _xlogx(b + d) + n * math.log(n))
     weight = F.log((a + 0.5) / (toxic + 1.0)) - F.log((b + 0.5) / (clean + 1.0))
-    rows = learned.where((F.col("kind") == 0) & (F.col("toxic") >= LEAST_TEXTS)).select("key", ratio.alias("r"), weight.alias("w")).where((F.col("w") > 0) & (F.col("r") >= LEAST_RATIO))
+    words = learned.where(F.col("kind").isin(*halves)).groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    rows = words.where(F.col("toxic") >= LEAST_TEXTS).select("key", ratio.alias("r"), weight.alias("w")).where((F.col("w") > 0) & (F.col("r") >= LEAST_RATIO))
     return {k: w for t in _in_parts(rows.select("key", "w"), part) for k, w in zip(t.column("key").to_pylist(), t.column("w").to_pylist(), strict=True)}
 
 
@@ -245,8 +265,8 @@ def _known(learned: DataFrame, weights: dict[str, float], part: int = PART) -> s
     if not weights:
         return set()
     forms = learned.sparkSession.createDataFrame([(f,) for f in sorted({form(w) for w in weights})], "form string")
-    words = learned.where("kind = 0 AND clean > 0").select("key", F.regexp_replace(F.translate("key", "v", "u"), r"(.)\1+", "$1").alias("form"))
-    return {k for t in _in_parts(words.join(forms, "form", "left_semi").select("key"), part) for k in t.column("key").to_pylist()} - weights.keys()
+    words = learned.where((F.col("kind") != TRIGRAMS) & (F.col("clean") > 0)).select("key", F.regexp_replace(F.translate("key", "v", "u"), r"(.)\1+", "$1").alias("form"))
+    return {k for t in _in_parts(words.join(forms, "form", "left_semi").select("key").distinct(), part) for k in t.column("key").to_pylist()} - weights.keys()
 
 
 def text_evidence(text: str, weights: dict[str, float], chars: CharModel, sizes: list[int], forms: Set[str] = frozenset(), known: Set[str] = frozenset()) -> float:
@@ -266,12 +286,12 @@ def text_evidence(text: str, weights: dict[str, float], chars: CharModel, sizes:
 def _measured(docs: DataFrame, weights: dict[str, float], trigrams: list[tuple[np.ndarray, np.ndarray]], known: set[str]) -> DataFrame:
     """``docs(id, text, ...)`` with ``evidence`` and ``size`` in place of the text."""
     model = docs.sparkSession.sparkContext.broadcast((weights, trigrams, known))
-    rest = [c for c in docs.columns if c != "text"]
+    rest, at = [c for c in docs.columns if c != "text"], docs.columns.index("text")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, chars = model.value[0], CharModel(model.value[1])
         sizes, forms, known = held_sizes(w), {form(x) for x in w}, model.value[2]
-        for b in batches:
+        for b in slices(batches, at):
             texts = [t or "" for t in b.column("text").to_pylist()]
             yield pa.record_batch([*(b.column(c) for c in rest), pa.array([text_evidence(t, w, chars, sizes, forms, known) for t in texts], pa.float64()), pa.array([math.log1p(len(t)) for t in texts], pa.float64())], names=[*rest, "evidence", "size"])
 
@@ -297,28 +317,39 @@ def fold_of(doc_id: Column, folds: int = FOLDS) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out_fold: int = HELD_OUT) -> DataFrame:
+def half_of(doc_id: Column, folds: int = FOLDS) -> Column:
+    """0 or 1, whatever the fold."""
+    return F.pmod(F.floor(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) / folds), F.lit(2)).cast("int")
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out_fold: int = HELD_OUT, sent_labels: int = SENT_LABELS) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row of ``docs``; only labels outside the held-out fold teach."""
     scratch = Scratch(docs.sparkSession, "toxicity")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).where("toxic IN (0, 1)").where(fold_of(F.col("id")) != held_out_fold)
-    marks = scratch.put(marks)
-    few = marks.count() <= SENT_LABELS
-    taught = scratch.put(texts.join(F.broadcast(marks) if few else marks, "id"))
-    seen = {r.toxic: r.n for r in taught.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    toxic, clean = seen.get(1, 0), seen.get(0, 0)
+    marks = scratch.put(marks.withColumn("half", half_of(F.col("id"))))
+    sent = F.broadcast if marks.count() <= sent_labels else (lambda x: x)
+    seen = {(r.half, r.toxic): r.n for r in texts.select("id").join(sent(marks), "id").groupBy("half", "toxic").agg(F.count("*").alias("n")).collect()}
+    of = lambda t, halves=(0, 1): sum(seen.get((h, t), 0) for h in halves)
+    toxic, clean = of(1), of(0)
     weights, trigrams, known, fit = {}, char_tables(packed([]), np.zeros(0, np.int64)), set(), None
     if toxic and clean:
-        told = marks.groupBy("id").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
-        learned = scratch.put(_learned(texts.join(F.broadcast(told) if few else told, "id", "left").select("text", "toxic", "clean")))
+        told = marks.groupBy("id", "half").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
+        learned = scratch.put(_learned(texts.join(sent(told), "id", "left").select("text", "toxic", "clean", "half")))
         weights = _evidence(learned, toxic, clean)
         trigrams, known = _char_tables(learned), _known(learned, weights)
         drawn = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, FIT_ROWS / (toxic + clean)))
-        sample = taught.where(F.coalesce(drawn, F.lit(True)))
-        rows = _measured(sample, weights, trigrams, known).select("evidence", "size", "toxic").collect()
+        picked = scratch.put(marks.where(F.coalesce(drawn, F.lit(True))))
+        sample = scratch.put(texts.join(F.broadcast(picked), "id"))  # about FIT_ROWS rows
+        rows = []
+        for half, other in ((0, 1), (1, 0)):
+            own = _evidence(learned, of(1, (other,)), of(0, (other,)), halves=(HALVES[other],)) if of(1, (other,)) and of(0, (other,)) else {}
+            rows += _measured(sample.where(F.col("half") == half), own, trigrams, _known(learned, own)).select("evidence", "size", "toxic").collect()
+        scratch.drop(learned, sample, picked)
         e, s, y = (np.array([r[i] for r in rows], float) for i in range(3))
         if 0 < y.sum() < len(y):
             fit = _logistic(np.column_stack([np.ones_like(e), e, np.sqrt(e), s]), y)
+    scratch.drop(marks)
     z = F.lit(-1e9) if fit is None else F.lit(fit[0]) + F.col("evidence") * fit[1] + F.sqrt("evidence") * fit[2] + F.col("size") * fit[3]
     score = F.when(z > -700, 1 / (1 + F.exp(-z))).otherwise(0.0)
     out = _measured(texts, weights, trigrams, known).withColumn("score", score)
