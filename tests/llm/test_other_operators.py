@@ -67,6 +67,14 @@ def test_mix_equals_sql_and_meets_targets(spark, sized):
     out = mixing.mixed_corpus(sized.withColumn("size", F.lit("kept")))
     assert out.columns == ["doc_id", "text", "source", "size"] and out.where("size = 'kept'").count() == out.count()
     assert out.count() == mixed.where("size > 0").agg(F.sum(F.col("taken") / F.col("size"))).first()[0]
+    null_ids = spark.range(5000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"), F.lit("a").alias("source"))
+    keys = null_ids.select(mixing.shuffle_key(F.col("doc_id"), F.md5(F.col("text").cast("binary")), 17).alias("k"))
+    assert keys.groupBy(F.shiftright("k", mixing.KEY_BITS - 4)).count().agg(F.max("count")).first()[0] < 450  # no bucket holds them all
+    sums = spark.range(1000).select((F.col("id") * 7 % 1000).alias("o"), (F.col("id") % 3).alias("s"), F.lit(2).cast("long").alias("n"))
+    before = {r.o: r.before for r in mixing._before(sums, [], "o", "n", 10).collect()}
+    assert before == {i: 2 * i for i in range(1000)}
+    per = mixing._before(sums, ["s"], "o", "n", 10).collect()
+    assert all(r.before == sum(x.n for x in per if x.s == r.s and x.o < r.o) for r in per)
     assert mixing.mix_sources(sized.where("false")).count() == 0 and mixing.mix_sources(sized.where("text IS NULL")).first().taken == 0
 
 
@@ -121,6 +129,30 @@ def test_images(spark, sf):
     assert media.media_features(media.store_media(docs.where("false"))).count() == 0
 
 
+def brute_hash(samples):
+    """Block means, the cosine transform by its double sum, and the bits above the median."""
+    def mean(i, j):
+        rows, cols = (([k * n // 32 for k in (x, x + 1)] if n >= 32 else [x * n // 32, x * n // 32 + 1]) for x, n in ((i, samples.shape[0]), (j, samples.shape[1])))
+        return samples[rows[0] : rows[1], cols[0] : cols[1]].astype(float).mean()
+
+    small = np.array([[mean(i, j) for j in range(32)] for i in range(32)])
+    wave = lambda k, n: np.cos(np.pi * k * (2 * n + 1) / 64)
+    low = [round(sum(small[i, j] * wave(u, i) * wave(v, j) for i in range(32) for j in range(32)), 6) for u in range(8) for v in range(8)]
+    return np.packbits(np.array(low) > np.median(low)).tobytes()
+
+
+def test_features_equal_brute_force(spark, sf):
+    """Features of stored texts, of lengths around 32 lines and of repeated rows."""
+    texts = ["", "a", "abc " * 500, "é" * 1024, "x" * 64 * 31, "yz" * 32 * 33, "one\ntwo " * 900] + [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(5).collect()]
+    docs = spark.createDataFrame(list(enumerate(texts + texts[:3])), "doc_id long, text string").withColumn("feature", F.lit("clash"))
+    got = {r.id: bytes(r.feature) for r in media.media_features(media.store_media(docs)).collect()}
+    for i, t in enumerate(texts):
+        raw = t.encode()
+        lines = np.frombuffer(raw + bytes(64 - len(raw) if not raw else -len(raw) % 64), np.uint8).reshape(-1, 64)
+        assert got[i] == brute_hash(lines), t[:20]
+    assert [got[i] for i in range(3)] == [got[len(texts) + i] for i in range(3)]
+
+
 def _png(kinds, lines):
     """A PNG whose lines are filtered as told, by the definition."""
     out, prior = b"", [0] * len(lines[0])
@@ -161,6 +193,17 @@ def test_licenses(spark):
     assert licenses.scan_licenses(df.where("false")).count() == 0
 
 
+def test_equal_spellings_and_typographic_marks(spark):
+    gpl = licenses.LICENSES["GPL-2.0"]
+    pairs = [("wilful", "willful"), ("wilfull act", "willfull act"), ("licence licence licence", "license license license"), ("non-commercial non commercial", "noncommercial noncommercial"), ("copyright holder copyright holder", "copyright owner copyright owner"),
+             ("\u201cAS IS\u201d \u2014 it\u2019s\u00a0so\u2026", '"as is" - it\'s so...'), ("sub-licence", "sublicense"), (gpl.replace('"', "\u201d").replace("-", "\u2013"), gpl)]
+    df = spark.createDataFrame([(2 * n + i, t) for n, p in enumerate(pairs + pairs[:1]) for i, t in enumerate(p)], "doc_id long, text string").withColumn("notices", F.lit(0))
+    rows = licenses.scan_licenses(df.union(df.where("doc_id = 3")))  # a repeated row
+    found = [r.canonical_sha256 for r in rows.dropDuplicates().orderBy("doc_id").collect()]
+    assert found[::2] == found[1::2] and len(set(found)) == len(pairs)
+    agrees({"documents": df.union(df.where("doc_id = 3"))}, rows, queries.oracle_sql()["op6_licenses"])
+
+
 def test_every_licence_line_is_named(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     lines = {x for r in docs.collect() for x in (r.text or "").split("\n") if "license" in x.lower()}
@@ -201,6 +244,84 @@ def test_toxicity_held_out(spark):
     assert all(abs(again[r.doc_id] - r.score) < 1e-9 for r in toxicity.score_toxicity(docs, labels).collect())  # held-out labels teach nothing
 
 
+def brute_restore(chars, token):
+    """The likeliest of all words that the token may stand for, each path of the lattice spelt out."""
+    paths = [("", 0.0)]
+    before, run = "", 0
+    for c in token:
+        run = run + 1 if c == before else 0
+        steps = [(c, 0.0 if c.isalpha() else toxicity.KEEP_ODD)] + [(x, toxicity.REPLACE) for x in toxicity.STANDS_FOR.get(c, "")]
+        if c in toxicity.DROPPED:
+            steps.append(("", toxicity.DROP))
+        elif c == before:
+            steps.append(("", toxicity.REPEAT[run > 1]))
+        paths = [(w + x, cost + more) for w, cost in paths for x, more in steps]
+        before = c
+    best = {}
+    for w, cost in paths:
+        s = f"^^{w}$"
+        best[w] = max(best.get(w, -1e99), sum(chars.logp(s[i : i + 3]) for i in range(len(s) - 2)) - cost)
+    return best
+
+
+def test_restoring_equals_brute_force():
+    rng = random.Random(12)
+    words = ("idiot", "stupid", "scum", "loser", "clown", "moron", "trash", "pathetic")
+    chars = toxicity.CharModel({g: rng.randrange(5, 90) for w in words for g in (f"^^{w}$"[i : i + 3] for i in range(len(w) + 1))})
+    swaps = {"i": "1!i", "o": "0o", "s": "$5s", "t": "7+t", "a": "@4a", "e": "3e", "u": "vu*"}
+    for _ in range(300):
+        token = "".join(rng.choice(swaps.get(c, c)) * rng.choice((1, 1, 1, 2, 3)) + rng.choice(("", "", "", ".", "-")) for c in rng.choice(words))[:11]
+        likely = brute_restore(chars, token)
+        assert likely[chars.restore(token)] >= max(likely.values()) - 1e-9, token
+
+
+def test_scores_equal_brute_force(spark):
+    """The query's scores on the small table, put together anew in plain Python from counts by word."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{d}/labels.parquet")
+    texts, told = {r.doc_id: r.text or "" for r in docs.collect()}, {r.doc_id: r.toxic for r in labels.collect()}
+    crc = lambda i: zlib.crc32(str(i).encode())
+    taught = {i: y for i, y in told.items() if i in texts and y in (0, 1) and crc(i) % 5}
+    words = {i: toxicity.plain_words(t.lower()) for i, t in texts.items()}
+    grams = {}
+    for ws in words.values():
+        for w in ws:
+            for i in range(len(w) + 1):
+                g = f"^^{w}$"[i : i + 3]
+                grams[g] = grams.get(g, 0) + 1
+    chars = toxicity.CharModel(grams)
+
+    def evidence(ids):
+        n = [sum(taught[i] == y for i in ids) for y in (0, 1)]
+        count = {}
+        for i in ids:
+            for w in words[i]:
+                count.setdefault(w, [0, 0])[taught[i]] += 1
+        out, xl = {}, lambda *xs: sum(x * np.log(x) for x in xs if x)
+        for w, (b, a) in count.items():
+            c, e = n[1] - a, n[0] - b
+            ratio = 2 * (xl(a, b, c, e) - xl(a + b, c + e, a + c, b + e) + xl(sum(n)))
+            weight = np.log((a + 0.5) / (n[1] + 1)) - np.log((b + 0.5) / (n[0] + 1))
+            if a >= toxicity.LEAST_TEXTS and weight > 0 and ratio >= toxicity.LEAST_RATIO:
+                out[w] = weight
+        forms = {toxicity.form(w) for w in out}
+        clean = {w for w, (b, _) in count.items() if b} | {w for i, ws in words.items() if taught.get(i) == 0 for w in ws}
+        return out, forms, {w for w in clean if toxicity.form(w) in forms} - out.keys()
+
+    measured = lambda t, ev: toxicity.text_evidence(t, ev[0], chars, toxicity.held_sizes(ev[0]), ev[1], ev[2])
+    half = lambda i: crc(i) // 5 % 2
+    by_half = [evidence([i for i in taught if half(i) == h]) for h in (0, 1)]
+    e = np.array([measured(texts[i], by_half[1 - half(i)]) for i in taught])
+    x = np.column_stack([np.ones_like(e), e, np.sqrt(e), [np.log1p(len(texts[i])) for i in taught]])
+    fit = toxicity._logistic(x, np.array(list(taught.values()), float))
+    whole = evidence(list(taught))
+    assert len(whole[0]) > 3
+    for sent in (toxicity.SENT_LABELS, 10):
+        for r in toxicity.score_toxicity(docs, labels, sent_labels=sent).collect():
+            v = measured(texts[r.doc_id], whole)
+            assert r.score == pytest.approx(1 / (1 + np.exp(-(np.array([1, v, np.sqrt(v), np.log1p(len(texts[r.doc_id]))]) @ fit))), abs=1e-6) and r.held_out == (crc(r.doc_id) % 5 == 0)
+
+
 def test_restored_words():
     chars = toxicity.CharModel({g: 50 for w in ("idiot", "stupid", "worthless", "loser", "clown") for g in (f"^^{w}$"[i : i + 3] for i in range(len(w) + 1))})
     for odd, plain in (("1d10t", "idiot"), ("s.t.u.p.i.d", "stupid"), ("l0000ser", "loser"), ("cl0wn", "clown"), ("$tup1d", "stupid")):
@@ -238,12 +359,27 @@ def test_model_of_toxicity_is_whole(spark):
         chars = toxicity.CharModel(toxicity._char_tables(learned, part))
         assert len(chars.tri[0]) == 70000 and all(toxicity._count(chars.tri, int(k)) == r[3] for r, k in zip(rows[5000::97], toxicity.packed([r[1] for r in rows[5000::97]]), strict=True))
         assert chars.total == 1 + sum(r[3] for r in rows[5000:])
-    texts = spark.createDataFrame([("ab no", 1, 0), ("ab", 0, 2), ("cd", None, None), (None, 1, 0)], "text string, toxic long, clean long")
+    texts = spark.createDataFrame([("ab no", 1, 0, 0), ("ab", 0, 2, 0), ("cd", None, None, None), (None, 1, 0, 1), ("ab", 3, 0, 1)], "text string, toxic long, clean long, half int")
     got = {(r.kind, r.key): (r.toxic, r.clean) for r in toxicity._learned(texts).collect()}
-    assert got[0, "ab"] == (1, 2) and (0, "cd") not in got and got[1, "cd$"] == (0, 1) and got[1, "^ab"] == (0, 2)
+    assert got[0, "ab"] == (1, 2) and got[2, "ab"] == (3, 0) and (0, "cd") not in got and got[1, "cd$"] == (0, 1) and got[1, "^ab"] == (0, 3)
     assert toxicity.CharModel({}).restore("1d") and toxicity.CharModel({"^^a": 2}).total == 3
 
 
+def test_suffixes_and_registered_domains(spark):
+    want = {
+        "a.b.example.com": ("example.com", "com"), "news.co.uk": ("news.co.uk", "co.uk"), "www.news.co.uk:80": ("news.co.uk", "co.uk"), "u:p@shop.com.au": ("shop.com.au", "com.au"), "user.github.io": ("user.github.io", "github.io"),
+        "x.user.github.io": ("user.github.io", "github.io"), "co.uk": ("co.uk", "co.uk"), "localhost": ("localhost", "localhost"), "": ("", ""), "10.0.0.1:8080": ("10.0.0.1", "10.0.0.1"), "[::1]:80": ("[::1]", "[::1]"),
+        "example.org.": ("example.org", "org"), "com.example": ("com.example", "example"), "a.co.example": ("co.example", "example"), "me@x@y.de": ("y.de", "de"), "..": ("", ""),
+    }
+    pages = spark.createDataFrame([(i, f"http://{h}/") for i, h in enumerate(want)], "page_id long, url string")
+    host = F.regexp_extract("url", "//(.*)/", 1)
+    got = {r.h: (r.d, r.s) for r in pages.select(host.alias("h"), reputation.registered_domain(host).alias("d"), reputation.suffix(host).alias("s")).collect()}
+    assert got == want
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(len(want))], "doc_id long, quality int, toxic int")
+    outcomes = pages.join(labels, pages.page_id == labels.doc_id).select(host.alias("host"), (F.col("quality") == 0).alias("bad"))
+    agrees({"pages": pages, "labels": labels}, reputation.judge_urls(pages, outcomes).drop("bad_bound"), queries.oracle_sql()["op10_url_reputation"])
+
+
 def test_reputations(spark):
     rng = random.Random(6)
     rows, marks = [], []

@@ -1,6 +1,7 @@
 """Registered queries, their SQL on the small tables, and the pipeline."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quern.llm import neardup, pii, queries
+from quern.llm import neardup, pii, quality, queries
 
 TABLES = "documents pages labels".split()
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -59,3 +60,55 @@ def test_pipeline(spark, sf):
     assert Counter((r.doc_id, r.ids_sha256) for r in out["tokens"].collect()) == want
     assert Counter((r.doc_id, r.ids_sha256) for r in corpus_pipeline.run(spark, sf).collect()) == want
     assert pii.KINDS[:4] == ("email", "ip", "card", "phone")
+
+
+def _odd(spark, docs):
+    """Documents with null, empty and very long texts, null and repeated ids, ties, repeated rows, and columns with names of the stages' own."""
+    rng = random.Random(9)
+    kept = [r.text for r in quality.well_formed(docs).where("lang = 'en'").orderBy("doc_id").limit(60).collect()]
+    pool = [w for t in kept for w in t.split()]
+    text = lambda n: " ".join(rng.choice(pool) for _ in range(n))  # noqa: E731  like the prose around it
+    long_, some, other, third = text(40_000), text(90), text(90), text(90)
+    rows = [
+        (9001, None, None, None), (9002, "", "en", "src0"), (9003, " \n ", "en", None), (None, some, "en", "src0"), (None, text(90), "en", "src0"), (9004, long_, "en", "src0"), (9005, long_ + " end", "en", "src1"),
+        (9006, other, None, None), (9006, other, None, None), (9006, third, "xx", "src0"), (9007, "mail me@example.org now " * 30, "en", "src0"),
+    ]
+    odd = spark.createDataFrame([(i, t, lang, src, len(t or "")) for i, t, lang, src in rows], docs.schema)
+    clash = {"_row": F.lit(1), "size": F.lit("x"), "taken": F.lit(2.5), "kept": F.lit(False), "id": F.lit(0), "text_": F.lit("t"), "component_id": F.lit(3), "n_tokens": F.lit("n"), "_id": F.lit(8), "spans": F.lit("s")}
+    return docs.union(odd).withColumns(clash)
+
+
+def test_pipeline_of_odd_documents(spark, sf, tmp_path):
+    docs = _odd(spark, spark.read.parquet(f"{sf}/documents.parquet"))
+    docs.write.parquet(f"{tmp_path}/odd/documents.parquet")
+    before, out = docs, {}
+    for name, stage in corpus_pipeline.STAGES:
+        out[name] = spark.createDataFrame((d := stage(spark, before, sf)).collect(), d.schema)
+        if name != "tokens":
+            assert out[name].columns == docs.columns and out[name].where("size <> 'x' OR kept OR id <> 0 OR spans <> 's'").count() == 0
+        before = out[name]
+    ids = {k: Counter(r[0] for r in v.select("doc_id").collect()) for k, v in out.items()}
+    assert not {9001, 9002, 9003, 9007} & ids["quality"].keys() and ids["quality"][None] == 2 and ids["quality"][9006] == 3  # short and repetitive texts go
+    assert ids["near-duplicates"][9004] == 1 and 9005 not in ids["near-duplicates"] and ids["near-duplicates"][9006] == 1 and ids["near-duplicates"][None] == 2
+    assert ids["personal data"] == ids["near-duplicates"] and set(ids["source mix"]) <= set(ids["personal data"]) and max(ids["source mix"].values()) <= 4
+    run = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    assert Counter(r.ids_sha256 for r in run) == Counter(r.ids_sha256 for r in out["tokens"].collect())
+
+
+def test_stages_alone_on_odd_documents(spark, sf):
+    docs = _odd(spark, spark.read.parquet(f"{sf}/documents.parquet").limit(5))
+    by = dict(corpus_pipeline.STAGES)
+    kept = by["near-duplicates"](spark, docs, sf).collect()
+    assert {9001, 9002, 9003} <= {r.doc_id for r in kept} and sum(r.doc_id == 9006 for r in kept) == 1
+    texts = {r.doc_id: r.text for r in by["personal data"](spark, docs, sf).collect()}
+    assert texts[9001] is None and texts[9002] == "" and "@" not in texts[9007]
+    assert not {9001, 9002, 9003} & {r.doc_id for r in by["source mix"](spark, docs, sf).collect()}
+    tokens = {r.doc_id: r.n_tokens for r in by["tokens"](spark, docs, sf).collect()}
+    assert tokens[9001] == tokens[9002] == 0 and tokens[9004] > 40_000
+
+
+def test_empty_tables(spark, sf, tmp_path):
+    for t in TABLES:
+        spark.read.parquet(f"{sf}/{t}.parquet").where("false").write.parquet(f"{tmp_path}/{t}.parquet")
+    for name, query in {**queries.queries(), "pipeline": corpus_pipeline.run}.items():
+        assert query(spark, str(tmp_path)).count() == 0, name
