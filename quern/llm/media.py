@@ -9,7 +9,11 @@ transform and sets a bit for each of the 8 x 8 lowest frequencies above their
 median.
 
 Cases: a null payload is an empty one; an image has one line at least, padded
-with zeros; a damaged image raises ``ValueError`` with the chunk's name.
+with zeros; filters that tie in cost are taken in the order named; a frequency
+at the median gives no bit; repeated rows are alike; a very long payload is one
+image, held by one task at a time; an empty table gives an empty result; extra
+columns are ignored, whatever their names; a damaged image raises ``ValueError``
+with the chunk's name.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.batches import slices
 from quern.shared import ship
 
 MAGIC = b"\x89PNG\r\n\x1a\n"
@@ -144,7 +149,7 @@ def padded(payload: bytes, width: int = WIDTH) -> bytes:
 def store_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, level: int = LEVEL) -> DataFrame:
     """``id, n_bytes, media``: each text's UTF-8 bytes as a PNG in a binary column."""
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             raw = [x or b"" for x in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array([encode_png(padded(x, width), width, level) for x in raw], pa.binary())], names=["id", "n_bytes", "media"])
 
@@ -157,7 +162,7 @@ def store_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 def media_features(stored: DataFrame) -> DataFrame:
     """``stored`` without the images, with what is read back from them: digests, checksum, ``feature`` (binary)."""
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 2):
             rows = []
             for media in b.column(2).to_pylist():
                 samples = decode_png(media)

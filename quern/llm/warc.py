@@ -8,15 +8,21 @@ response, the others revisit it and hold no payload.
 The index has a line for each capture, in key order. Lines are packed into
 compressed blocks; each index file has a sparse directory with the first key of
 every block, and one row per index file, with its first key, is all that the
-driver sees. A lookup searches the files' first keys, then that file's
-directory, then the block, each by bisection, and reads ranges of bytes only.
+driver sees (a task writes one file). A lookup searches the files' first keys,
+then that file's directory, then the block, each by bisection, and reads ranges
+of bytes only.
 
 Files lie in the folder that all executors share and are named anew by each
 attempt of a task; what a failed attempt left behind is in no index.
 
+Ids are whole numbers.
+
 Cases: a null html is an empty payload; a null url has an empty key before the
-id; a page without an id is a response of its own; repeated rows are repeated
-records; an empty table gives an empty archive; extra columns are ignored.
+id; a page without an id is a response of its own; of pages that tie in payload
+the largest id is the response, and rows that repeat an id, url and payload are
+repeated records of one kind; a very long payload is one record, held by one
+task at a time; an empty table gives an empty archive; extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,6 +41,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.batches import SLICE, slices
 from quern.llm.reputation import url_host
 from quern.shared import Scratch
 
@@ -44,8 +51,6 @@ LEVEL = 4
 #: Bytes after which a task begins another archive.
 ROLL = 1 << 30
 OPEN_FILES, OPEN_BLOCKS = 32, 4
-#: Rows of the top level, one for each index file.
-MOST_FILES = 1_000_000
 
 
 def capture_key(page_id: Column, url: Column, digest: Column) -> Column:
@@ -163,7 +168,7 @@ class CaptureArchive:
                     firsts.append([lines[0].partition("\t")[0], *index.add(gzip_member("\n".join(lines).encode()))])
                     lines.clear()
 
-            for b in batches:
+            for b in slices(batches, 7):
                 for key, kind, page, url, digest, n, refers, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
                     if kind == 0:
                         key_now, refers_now = key, refers
@@ -188,10 +193,7 @@ class CaptureArchive:
 
         dealt = rows.repartitionByRange(_tasks(pages), "key").sortWithinPartitions("key", "kind")
         written = scratch.put(dealt.mapInArrow(write, "key string, name string, at long, size long"))
-        top = written.limit(MOST_FILES + 1).collect()  # a row for each index file
-        if len(top) > MOST_FILES:
-            raise ValueError("more index files than the top level may hold")
-        return CaptureArchive(root, [tuple(r) for r in top])
+        return CaptureArchive(root, [tuple(r) for r in written.collect()])  # a row for each index file
 
     def lookup(self, wanted: DataFrame, payloads: bool = True) -> DataFrame:
         """``wanted(key, ...)`` with each capture's record type, payload and headers; the payload of a revisit is null.
@@ -207,7 +209,7 @@ class CaptureArchive:
 
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             look = CaptureReader(root, shared.value)
-            for b in batches:
+            for b in (part for batch in batches for part in look.parts(batch)):
                 found = [look.find(k) for k in b.column("key").to_pylist()]
                 got = [look.record(x) if x else (None, None) for x in found]
                 head = lambda name: pa.array([h.get(name) if h else None for h, _ in got], pa.string())
@@ -251,6 +253,18 @@ class CaptureReader:
         j = bisect.bisect_left(keys, key)
         return json.loads(places[j]) if j < len(keys) and keys[j] == key else None
 
+    def parts(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """The batch in parts whose records take about ``SLICE`` bytes in their files."""
+        begin, total = 0, 0
+        for i, key in enumerate(batch.column("key").to_pylist()):
+            n = (self.find(key) or (None, 0, 0))[2]
+            if i > begin and total + n > SLICE:
+                yield batch.slice(begin, i - begin)
+                begin, total = i, 0
+            total += n
+        if batch.num_rows > begin:
+            yield batch.slice(begin)
+
     def record(self, place: list) -> tuple[dict[str, str], bytes]:
         headers, payload = parse_record(self.files.read(*place))
         if headers["WARC-Type"] == "response" and (len(payload) != int(headers["Payload-Length"]) or headers["WARC-Payload-Digest"] != "sha1:" + base32_digest(hashlib.sha1(payload).hexdigest())):
