@@ -55,6 +55,7 @@ class Engine:
         self.db, self.user, self.users = 0, "default", acl.Users()
         self.flags, self.subscribers, self.inbox = "", {}, {}
         self.slow: list[tuple] = []
+        self.calls, self.began = 0, self.now()
         self.catalog, self.graphs = docindex.Catalog(), {}
 
     # tables
@@ -969,9 +970,16 @@ class Engine:
     def echo(self, message: str) -> str:
         return message
 
-    def info(self) -> DataFrame:
-        """``type, n_keys, n_expiring``."""
-        return self.keyspace().groupBy("type").agg(F.count("*").alias("n_keys"), F.count("due_ms").alias("n_expiring"))
+    def info(self, section: str | None = None) -> DataFrame:
+        """``section, name, value``: server, stats and keyspace, or one of them."""
+        facts = [
+            ("server", "spark_version", self.spark.version), ("server", "uptime_ms", str(self.now() - self.began)), ("server", "db", str(self.db)), ("server", "role", "master"),
+            ("stats", "commands", str(self.calls)), ("stats", "slowlog_len", str(len(self.slow))), ("stats", "channels", str(sum(map(bool, self.subscribers.values())))), ("stats", "users", str(len(self.users.names()))),
+        ]
+        counts = self.keyspace().groupBy("type").agg(F.count("*").alias("n"), F.count("due_ms").alias("due"))
+        kept = counts.select(F.lit("keyspace").alias("section"), F.col("type").alias("name"), F.concat(F.lit("keys="), "n", F.lit(",expires="), "due").alias("value"))
+        every = self._rows(facts, "section string, name string, value string").union(kept)
+        return every if section is None else every.where(F.col("section") == section.lower())
 
     def config_get(self, name: str) -> dict[str, str]:
         return {name: self.flags} if name.lower() == "notify-keyspace-events" else {}
@@ -1034,7 +1042,7 @@ class Engine:
         refused = None if method in ("auth", "acl_whoami") else self.users.refusal(self.user, upper.split(" ")[0], keys)
         if refused:
             raise CommandError(refused)
-        began = time.perf_counter()
+        began, self.calls = time.perf_counter(), self.calls + 1
         out = getattr(self, method)(*args, **options)
         took = int((time.perf_counter() - began) * 1e6)
         if took >= SLOW_US:

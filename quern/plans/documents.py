@@ -59,23 +59,76 @@ def _edited(name, change, doc_sql, reply, error="NULL"):
 
 
 E = "events"
-add("json_get", lambda s, d: _props(s, d).select("key", j.get(doc(), "$.k").alias("value")), "SELECT event_id AS key, (props::JSON -> '$.k')::VARCHAR AS value FROM events")
-add("json_get_string", lambda s, d: _mixed(s, d).select("key", j.get(doc(), "$.s").alias("value")), """SELECT event_id AS key, '"' || event_type || '"' AS value FROM events""")
-add("json_mget", lambda s, d: j.mget(_props(s, d), load(s, d, "customer").select(F.col("c_custkey").alias("pos"), (F.col("c_custkey") * 5).alias("key")), "$.k"), "SELECT c_custkey AS pos, c_custkey * 5 AS key, (props::JSON -> '$.k')::VARCHAR AS value FROM customer LEFT JOIN events ON event_id = c_custkey * 5")
-add("json_type", lambda s, d: _profiles(s, d).select("key", *(j.type_of(doc(), p).alias(n) for n, p in (("t_name", "$.name"), ("t_tags", "$.tags"), ("t_tag", "$.tags[1]"), ("t_o", "$.o"), ("t_on", "$.o.on"), ("t_x", "$['a b'][0].x")))), f"""
-SELECT key, 'string' AS t_name, CASE WHEN key % 5 = 0 THEN NULL WHEN key % 7 = 0 THEN 'string' ELSE 'array' END AS t_tags, CASE WHEN len(tags) > 1 THEN 'number' END AS t_tag, 'object' AS t_o, 'boolean' AS t_on, 'null' AS t_x FROM {PROFILE} AS p""")
-add("json_objkeys", lambda s, d: _profiles(s, d).select("key", F.array_join(je.objkeys(doc()), ",").alias("names"), F.array_join(je.objkeys(doc(), "$.o"), ",").alias("inner"), je.objkeys(doc(), "$.name").isNull().alias("none")), f"""
-SELECT key, 'name,' || CASE WHEN key % 5 = 0 THEN '' ELSE 'tags,' END || 'o,a b' AS names, 'n,on,kinds' AS inner, true AS none FROM {PROFILE} AS p""".replace("AS inner", 'AS "inner"'))
-add("json_objlen", lambda s, d: _profiles(s, d).select("key", je.objlen(doc()).alias("n"), je.objlen(doc(), "$['a b'][0]").alias("one"), je.objlen(doc(), "$.tags").alias("none")), f"""
-SELECT key, CASE WHEN key % 5 = 0 THEN 3 ELSE 4 END::BIGINT AS n, 1::BIGINT AS one, NULL::BIGINT AS none FROM {PROFILE} AS p""")
-add("json_arrlen", lambda s, d: _profiles(s, d).select("key", j.arrlen(doc(), "$.tags").alias("n"), j.arrlen(doc(), "$.o").alias("none")), f"SELECT key, len(tags)::BIGINT AS n, NULL::BIGINT AS none FROM {PROFILE} AS p")
-add("json_strlen", lambda s, d: _profiles(s, d).select("key", j.strlen(doc(), "$.o.kinds").alias("n")), f"SELECT key, length(kinds)::BIGINT AS n FROM {PROFILE} AS p")
+add(
+    "json_get",
+    lambda s, d: _props(s, d).select("key", j.get(doc(), "$.k").alias("value")),
+    "SELECT event_id AS key, (props::JSON -> '$.k')::VARCHAR AS value FROM events",
+)
+add(
+    "json_get_string",
+    lambda s, d: _mixed(s, d).select("key", j.get(doc(), "$.s").alias("value")),
+    """SELECT event_id AS key, '"' || event_type || '"' AS value FROM events""",
+)
+add(
+    "json_mget",
+    lambda s, d: j.mget(_props(s, d), load(s, d, "customer").select(F.col("c_custkey").alias("pos"), (F.col("c_custkey") * 5).alias("key")), "$.k"),
+    "SELECT c_custkey AS pos, c_custkey * 5 AS key, (props::JSON -> '$.k')::VARCHAR AS value FROM customer LEFT JOIN events ON event_id = c_custkey * 5",
+)
+add(
+    "json_type",
+    lambda s, d: _profiles(s, d).select("key", *(j.type_of(doc(), p).alias(n) for n, p in (("t_name", "$.name"), ("t_tags", "$.tags"), ("t_tag", "$.tags[1]"), ("t_o", "$.o"), ("t_on", "$.o.on"), ("t_x", "$['a b'][0].x")))),
+    f"""
+SELECT key, 'string' AS t_name, CASE WHEN key % 5 = 0 THEN NULL WHEN key % 7 = 0 THEN 'string' ELSE 'array' END AS t_tags, CASE WHEN len(tags) > 1 THEN 'number' END AS t_tag, 'object' AS t_o, 'boolean' AS t_on, 'null' AS t_x FROM {PROFILE} AS p""",
+)
+add(
+    "json_objkeys",
+    lambda s, d: _profiles(s, d).select("key", F.array_join(je.objkeys(doc()), ",").alias("names"), F.array_join(je.objkeys(doc(), "$.o"), ",").alias("inner"), je.objkeys(doc(), "$.name").isNull().alias("none")),
+    f"""
+SELECT key, 'name,' || CASE WHEN key % 5 = 0 THEN '' ELSE 'tags,' END || 'o,a b' AS names, 'n,on,kinds' AS inner, true AS none FROM {PROFILE} AS p""".replace("AS inner", 'AS "inner"'),
+)
+add(
+    "json_objlen",
+    lambda s, d: _profiles(s, d).select("key", je.objlen(doc()).alias("n"), je.objlen(doc(), "$['a b'][0]").alias("one"), je.objlen(doc(), "$.tags").alias("none")),
+    f"""
+SELECT key, CASE WHEN key % 5 = 0 THEN 3 ELSE 4 END::BIGINT AS n, 1::BIGINT AS one, NULL::BIGINT AS none FROM {PROFILE} AS p""",
+)
+add(
+    "json_arrlen",
+    lambda s, d: _profiles(s, d).select("key", j.arrlen(doc(), "$.tags").alias("n"), j.arrlen(doc(), "$.o").alias("none")),
+    f"SELECT key, len(tags)::BIGINT AS n, NULL::BIGINT AS none FROM {PROFILE} AS p",
+)
+add(
+    "json_strlen",
+    lambda s, d: _profiles(s, d).select("key", j.strlen(doc(), "$.o.kinds").alias("n")),
+    f"SELECT key, length(kinds)::BIGINT AS n FROM {PROFILE} AS p",
+)
 _edited("json_arrappend", lambda x: je.arrappend(x, "$.tags", F.lit("-1"), F.lit("-2")), _text("list_concat(tags, [-1, -2])"), "len(tags) + 2", ERROR)
-_edited("json_arrinsert", lambda x: je.arrinsert(x, "$.tags", -3, F.lit("-1")), _text("list_concat(list_concat(tags[:greatest(len(tags) - 2, 0)], [-1]), tags[greatest(len(tags) - 2, 0) + 1:])"), "len(tags) + 1", ERROR)
-_edited("json_arrpop", lambda x: je.arrpop(x, "$.tags", 1), _text("CASE WHEN len(tags) > 1 THEN list_concat(tags[:1], tags[3:]) ELSE tags END"), "tags[2]")
-_edited("json_arrtrim", lambda x: je.arrtrim(x, "$.tags", 1, -2), _text("tags[2:len(tags) - 1]"), "CASE WHEN tags IS NOT NULL THEN greatest(len(tags) - 2, 0) END", ERROR)
-add("json_arrindex", lambda s, d: _profiles(s, d).select("key", je.arrindex(doc(), "$.tags", je.value_at(doc(), "$.tags[3]")).alias("found"), je.arrindex(doc(), "$.tags", F.lit("-9")).alias("none"), je.arrindex(doc(), "$.tags", je.value_at(doc(), "$.tags[0]"), 1).alias("after")), f"""
-SELECT key, CASE WHEN len(tags) >= 4 THEN 3 ELSE -1 END::BIGINT AS found, -1::BIGINT AS none, -1::BIGINT AS after FROM {PROFILE} AS p""")
+_edited(
+    "json_arrinsert",
+    lambda x: je.arrinsert(x, "$.tags", -3, F.lit("-1")),
+    _text("list_concat(list_concat(tags[:greatest(len(tags) - 2, 0)], [-1]), tags[greatest(len(tags) - 2, 0) + 1:])"),
+    "len(tags) + 1",
+    ERROR,
+)
+_edited(
+    "json_arrpop",
+    lambda x: je.arrpop(x, "$.tags", 1),
+    _text("CASE WHEN len(tags) > 1 THEN list_concat(tags[:1], tags[3:]) ELSE tags END"),
+    "tags[2]",
+)
+_edited(
+    "json_arrtrim",
+    lambda x: je.arrtrim(x, "$.tags", 1, -2),
+    _text("tags[2:len(tags) - 1]"),
+    "CASE WHEN tags IS NOT NULL THEN greatest(len(tags) - 2, 0) END",
+    ERROR,
+)
+add(
+    "json_arrindex",
+    lambda s, d: _profiles(s, d).select("key", je.arrindex(doc(), "$.tags", je.value_at(doc(), "$.tags[3]")).alias("found"), je.arrindex(doc(), "$.tags", F.lit("-9")).alias("none"), je.arrindex(doc(), "$.tags", je.value_at(doc(), "$.tags[0]"), 1).alias("after")),
+    f"""
+SELECT key, CASE WHEN len(tags) >= 4 THEN 3 ELSE -1 END::BIGINT AS found, -1::BIGINT AS none, -1::BIGINT AS after FROM {PROFILE} AS p""",
+)
 _edited("json_strappend", lambda x: je.strappend(x, "$.o.kinds", F.lit("+é")), _text(kinds="kinds || '+é'"), "length(kinds) + 2")
 _edited("json_numincrby", lambda x: je.numincrby(x, "$.o.n", 2.5), _text(n="(n + 2) || '.5'"), "(n + 2) || '.5'")
 _edited("json_nummultby", lambda x: je.nummultby(x, "$.o.n", 3.0), _text(n="n * 3"), "n * 3")
@@ -84,12 +137,36 @@ _edited("json_toggle_refused", lambda x: je.toggle(x, "$.name"), _text(), "NULL"
 _edited("json_clear", lambda x: je.clear(x, "$.tags"), _text("[]"), "CASE WHEN tags IS NOT NULL THEN 1 ELSE 0 END")
 _edited("json_del", lambda x: je.delete(x, "$.o.on"), _text().replace(""","on":' || flag || '""", ""), "1")
 _edited("json_del_element", lambda x: je.delete(x, "$.tags[0]"), _text("tags[2:]"), "CASE WHEN len(tags) > 0 THEN 1 ELSE 0 END")
-add("json_set", lambda s, d: _profiles(s, d).select("key", je.set_value(doc(), "$.o.n", F.lit('{"y":[1.0,"2"]}')).alias("doc")), f"""SELECT key, {_text(n="'{" + '"y":[1,"2"]' + "}'")} AS doc FROM {PROFILE} AS p""")
-add("json_set_member", lambda s, d: _props(s, d).select("key", j.with_member(doc(), "a", F.lit("[1]")).alias("doc")), """SELECT event_id AS key, '{"a":[1],"k":' || (props::JSON ->> '$.k') || '}' AS doc FROM events""")
-add("json_del_member", lambda s, d: _mixed(s, d).select("key", j.get(j.without_member(doc(), "o"), "$.o").alias("gone"), j.get(j.without_member(doc(), "o"), "$.n").alias("n")), "SELECT event_id AS key, NULL::VARCHAR AS gone, user_id::VARCHAR AS n FROM events")
-add("json_wildcard", lambda s, d: load(s, d, "events").select(F.col("event_id").alias("key"), j.get(F.concat(F.lit('{"a":[{"b":'), F.col("user_id").cast("string"), F.lit('},{"c":1}]}')), "$.a[*].b").alias("value")), "SELECT event_id AS key, '[' || user_id || ',null]' AS value FROM events")
-add("json_descend", lambda s, d: load(s, d, "events").select(F.col("event_id").alias("key"), j.descend(F.concat(F.lit('{"a":[{"b":'), F.col("user_id").cast("string"), F.lit('},{"c":{"b":2}}]}')), "$..b").alias("value")), "SELECT event_id AS key, '[' || user_id || ',2]' AS value FROM events")
-add("json_set_deep", lambda s, d: j.update_path(_profiles(s, d), "$.o.y[1]", F.lit("7")), f"""SELECT key, replace({_text()}, '"}},"a b"', '","y":[null,7]}},"a b"') AS doc FROM {PROFILE} AS p""")
+add(
+    "json_set",
+    lambda s, d: _profiles(s, d).select("key", je.set_value(doc(), "$.o.n", F.lit('{"y":[1.0,"2"]}')).alias("doc")),
+    f"""SELECT key, {_text(n="'{" + '"y":[1,"2"]' + "}'")} AS doc FROM {PROFILE} AS p""",
+)
+add(
+    "json_set_member",
+    lambda s, d: _props(s, d).select("key", j.with_member(doc(), "a", F.lit("[1]")).alias("doc")),
+    """SELECT event_id AS key, '{"a":[1],"k":' || (props::JSON ->> '$.k') || '}' AS doc FROM events""",
+)
+add(
+    "json_del_member",
+    lambda s, d: _mixed(s, d).select("key", j.get(j.without_member(doc(), "o"), "$.o").alias("gone"), j.get(j.without_member(doc(), "o"), "$.n").alias("n")),
+    "SELECT event_id AS key, NULL::VARCHAR AS gone, user_id::VARCHAR AS n FROM events",
+)
+add(
+    "json_wildcard",
+    lambda s, d: load(s, d, "events").select(F.col("event_id").alias("key"), j.get(F.concat(F.lit('{"a":[{"b":'), F.col("user_id").cast("string"), F.lit('},{"c":1}]}')), "$.a[*].b").alias("value")),
+    "SELECT event_id AS key, '[' || user_id || ',null]' AS value FROM events",
+)
+add(
+    "json_descend",
+    lambda s, d: load(s, d, "events").select(F.col("event_id").alias("key"), j.descend(F.concat(F.lit('{"a":[{"b":'), F.col("user_id").cast("string"), F.lit('},{"c":{"b":2}}]}')), "$..b").alias("value")),
+    "SELECT event_id AS key, '[' || user_id || ',2]' AS value FROM events",
+)
+add(
+    "json_set_deep",
+    lambda s, d: j.update_path(_profiles(s, d), "$.o.y[1]", F.lit("7")),
+    f"""SELECT key, replace({_text()}, '"}},"a b"', '","y":[null,7]}},"a b"') AS doc FROM {PROFILE} AS p""",
+)
 
 TOK = "(SELECT DISTINCT doc_id AS doc, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda t: t <> '')) AS term FROM documents)"
 
@@ -105,10 +182,34 @@ def _index(s, d):
 FOUND = f"SELECT doc FROM {TOK} AS t GROUP BY doc HAVING bool_or(contains(term, 'ther')) AND bool_or(contains(term, 'ing'))"
 add("doc_postings", lambda s, d: di.frequencies(_index(s, d)), f"SELECT term, count(*) AS n_docs FROM {TOK} AS t GROUP BY term")
 add("doc_search", lambda s, d: di.search(_index(s, d), "Ther, ing"), FOUND)
-add("doc_search_filter", lambda s, d: di.search(_index(s, d), "ther ing", di.numeric(_docs(s, d), ["n_chars"]), "n_chars", 500, 2000), f"{FOUND} AND doc IN (SELECT doc_id FROM documents WHERE n_chars BETWEEN 500 AND 2000)")
-add("doc_search_limit", lambda s, d: di.search(_index(s, d), "ther", offset=5, count=10), f"SELECT DISTINCT doc FROM {TOK} AS t WHERE contains(term, 'ther') ORDER BY doc LIMIT 10 OFFSET 5")
-add("doc_index_update", lambda s, d: di.frequencies(di.update(_index(s, d), _docs(s, d).where("doc % 4 = 0").withColumn("text", F.concat(F.lit("updated "), F.col("lang"))), ["text"])), f"""
-SELECT term, count(*) AS n_docs FROM (SELECT doc, term FROM {TOK} AS t WHERE doc % 4 <> 0 UNION ALL SELECT doc_id, unnest(['updated', lang]) FROM documents WHERE doc_id % 4 = 0) GROUP BY term""")
-add("doc_index_del", lambda s, d: di.remove(_index(s, d), _docs(s, d).where("doc % 2 = 0")).groupBy("doc").agg(F.count("*").alias("n_terms")), f"SELECT doc, count(*) AS n_terms FROM {TOK} AS t WHERE doc % 2 = 1 GROUP BY doc")
-add("doc_aggregate_count", lambda s, d: di.aggregate(_docs(s, d).withColumn("lang", F.when(F.col("lang") != "es", F.col("lang"))), "lang"), "SELECT CASE WHEN lang = 'es' THEN 'undefined' ELSE lang END AS grp, count(*) AS value FROM documents GROUP BY 1")
-add("doc_aggregate_sum", lambda s, d: di.aggregate(_docs(s, d), "source", "SUM", "n_chars"), "SELECT source AS grp, sum(n_chars)::DOUBLE AS value FROM documents GROUP BY 1")
+add(
+    "doc_search_filter",
+    lambda s, d: di.search(_index(s, d), "ther ing", di.numeric(_docs(s, d), ["n_chars"]), "n_chars", 500, 2000),
+    f"{FOUND} AND doc IN (SELECT doc_id FROM documents WHERE n_chars BETWEEN 500 AND 2000)",
+)
+add(
+    "doc_search_limit",
+    lambda s, d: di.search(_index(s, d), "ther", offset=5, count=10),
+    f"SELECT DISTINCT doc FROM {TOK} AS t WHERE contains(term, 'ther') ORDER BY doc LIMIT 10 OFFSET 5",
+)
+add(
+    "doc_index_update",
+    lambda s, d: di.frequencies(di.update(_index(s, d), _docs(s, d).where("doc % 4 = 0").withColumn("text", F.concat(F.lit("updated "), F.col("lang"))), ["text"])),
+    f"""
+SELECT term, count(*) AS n_docs FROM (SELECT doc, term FROM {TOK} AS t WHERE doc % 4 <> 0 UNION ALL SELECT doc_id, unnest(['updated', lang]) FROM documents WHERE doc_id % 4 = 0) GROUP BY term""",
+)
+add(
+    "doc_index_del",
+    lambda s, d: di.remove(_index(s, d), _docs(s, d).where("doc % 2 = 0")).groupBy("doc").agg(F.count("*").alias("n_terms")),
+    f"SELECT doc, count(*) AS n_terms FROM {TOK} AS t WHERE doc % 2 = 1 GROUP BY doc",
+)
+add(
+    "doc_aggregate_count",
+    lambda s, d: di.aggregate(_docs(s, d).withColumn("lang", F.when(F.col("lang") != "es", F.col("lang"))), "lang"),
+    "SELECT CASE WHEN lang = 'es' THEN 'undefined' ELSE lang END AS grp, count(*) AS value FROM documents GROUP BY 1",
+)
+add(
+    "doc_aggregate_sum",
+    lambda s, d: di.aggregate(_docs(s, d), "source", "SUM", "n_chars"),
+    "SELECT source AS grp, sum(n_chars)::DOUBLE AS value FROM documents GROUP BY 1",
+)

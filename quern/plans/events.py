@@ -23,9 +23,21 @@ def _subs(s, d):
 
 
 SUBS = "(SELECT c_custkey AS client, ['click', 'view', 'error', 'quiet'][(c_custkey % 4 + 1)::INT] AS channel FROM customer)"
-add("pubsub_publish_counts", lambda s, d: nt.receivers(_messages(s, d), _subs(s, d)), f"SELECT event_id AS seq, (SELECT count(*) FROM {SUBS} AS s WHERE s.channel = event_type) AS receivers FROM events")
-add("pubsub_delivery", lambda s, d: nt.publish(_messages(s, d), _subs(s, d)).groupBy("client", "channel").agg(F.count("*").alias("n_messages")), f"SELECT client, channel, count(*) AS n_messages FROM events JOIN {SUBS} AS s ON channel = event_type GROUP BY ALL")
-add("pubsub_unsubscribe", lambda s, d: nt.subscriptions_at_end(load(s, d, "events").select(F.col("user_id").alias("client"), F.col("event_type").alias("channel"), F.struct("ts", "event_id").alias("seq"), F.when(F.col("event_id") % 2 == 0, "SUBSCRIBE").otherwise("UNSUBSCRIBE").alias("op"))), "SELECT client, channel FROM (SELECT user_id AS client, event_type AS channel, arg_max(event_id, (ts, event_id)) AS e FROM events GROUP BY ALL) WHERE e % 2 = 0")
+add(
+    "pubsub_publish_counts",
+    lambda s, d: nt.receivers(_messages(s, d), _subs(s, d)),
+    f"SELECT event_id AS seq, (SELECT count(*) FROM {SUBS} AS s WHERE s.channel = event_type) AS receivers FROM events",
+)
+add(
+    "pubsub_delivery",
+    lambda s, d: nt.publish(_messages(s, d), _subs(s, d)).groupBy("client", "channel").agg(F.count("*").alias("n_messages")),
+    f"SELECT client, channel, count(*) AS n_messages FROM events JOIN {SUBS} AS s ON channel = event_type GROUP BY ALL",
+)
+add(
+    "pubsub_unsubscribe",
+    lambda s, d: nt.subscriptions_at_end(load(s, d, "events").select(F.col("user_id").alias("client"), F.col("event_type").alias("channel"), F.struct("ts", "event_id").alias("seq"), F.when(F.col("event_id") % 2 == 0, "SUBSCRIBE").otherwise("UNSUBSCRIBE").alias("op"))),
+    "SELECT client, channel FROM (SELECT user_id AS client, event_type AS channel, arg_max(event_id, (ts, event_id)) AS e FROM events GROUP BY ALL) WHERE e % 2 = 0",
+)
 
 
 def _commands(s, d):
@@ -34,8 +46,16 @@ def _commands(s, d):
 
 
 EV = "(SELECT event_id AS seq, user_id % 2 AS db, 'user:' || user_id AS key, CASE event_type WHEN 'signup' THEN 'set' WHEN 'click' THEN 'incr' WHEN 'view' THEN 'lpush' WHEN 'error' THEN 'del' ELSE 'hset' END AS ev FROM events)"
-add("notify_keyevents", lambda s, d: nt.notifications(_commands(s, d), "EA"), f"SELECT seq, '__keyevent@' || db || '__:' || ev AS channel, key AS payload FROM {EV} AS e")
-add("notify_keyspace", lambda s, d: nt.notifications(_commands(s, d), "KE$g"), f"SELECT seq, unnest(['__keyevent@' || db || '__:' || ev, '__keyspace@' || db || '__:' || key]) AS channel, unnest([key, ev]) AS payload FROM {EV} AS e WHERE ev IN ('set', 'incr', 'del')")
+add(
+    "notify_keyevents",
+    lambda s, d: nt.notifications(_commands(s, d), "EA"),
+    f"SELECT seq, '__keyevent@' || db || '__:' || ev AS channel, key AS payload FROM {EV} AS e",
+)
+add(
+    "notify_keyspace",
+    lambda s, d: nt.notifications(_commands(s, d), "KE$g"),
+    f"SELECT seq, unnest(['__keyevent@' || db || '__:' || ev, '__keyspace@' || db || '__:' || key]) AS channel, unnest([key, ev]) AS payload FROM {EV} AS e WHERE ev IN ('set', 'incr', 'del')",
+)
 
 
 def _due(s, d):
@@ -45,9 +65,13 @@ def _due(s, d):
 
 
 SWEPT, SWEEP = 1706000000000, 1706600000000
-add("notify_expired", lambda s, d: nt.notifications(nt.expirations(_due(s, d), F.lit(SWEPT), F.lit(SWEEP)), "KEx"), f"""
+add(
+    "notify_expired",
+    lambda s, d: nt.notifications(nt.expirations(_due(s, d), F.lit(SWEPT), F.lit(SWEEP)), "KEx"),
+    f"""
 SELECT due AS seq, unnest(['__keyevent@' || db || '__:expired', '__keyspace@' || db || '__:' || key]) AS channel, unnest([key, 'expired']) AS payload FROM
-  (SELECT user_id % 2 AS db, 'user:' || user_id AS key, arg_max((epoch_us(ts) // 1000) + floor(value)::BIGINT * 3600000, (ts, event_id)) AS due FROM events GROUP BY user_id) WHERE due > {SWEPT} AND due <= {SWEEP}""")
+  (SELECT user_id % 2 AS db, 'user:' || user_id AS key, arg_max((epoch_us(ts) // 1000) + floor(value)::BIGINT * 3600000, (ts, event_id)) AS due FROM events GROUP BY user_id) WHERE due > {SWEPT} AND due <= {SWEEP}""",
+)
 
 
 def _accesses(s, d):
@@ -55,26 +79,42 @@ def _accesses(s, d):
 
 
 ACC = "(SELECT event_id % 5 AS client, user_id AS key, event_id AS seq, event_type IN ('signup', 'purchase') AS w FROM events)"
-add("track_invalidate", lambda s, d: nt.invalidations(_accesses(s, d)), f"""
-SELECT DISTINCT r.client, r.key, min(x.seq) AS seq FROM {ACC} AS r JOIN {ACC} AS x ON x.key = r.key AND x.w AND x.seq > r.seq WHERE NOT r.w GROUP BY r.client, r.key, r.seq""")
+add(
+    "track_invalidate",
+    lambda s, d: nt.invalidations(_accesses(s, d)),
+    f"""
+SELECT DISTINCT r.client, r.key, min(x.seq) AS seq FROM {ACC} AS r JOIN {ACC} AS x ON x.key = r.key AND x.w AND x.seq > r.seq WHERE NOT r.w GROUP BY r.client, r.key, r.seq""",
+)
 
 
 def _prefixes(s, d):
     return s.createDataFrame([(1, "user:1"), (2, "user:"), (3, "user:22"), (4, "order:")], "client int, prefix string")
 
 
-add("track_bcast", lambda s, d: nt.broadcasts(_commands(s, d).where("cmd = 'SET'"), _prefixes(s, d)), f"""
-SELECT p.client, e.key, e.seq FROM {EV} AS e JOIN (VALUES (1, 'user:1'), (2, 'user:'), (3, 'user:22'), (4, 'order:')) AS p(client, prefix) ON starts_with(e.key, p.prefix) WHERE ev = 'set'""")
+add(
+    "track_bcast",
+    lambda s, d: nt.broadcasts(_commands(s, d).where("cmd = 'SET'"), _prefixes(s, d)),
+    f"""
+SELECT p.client, e.key, e.seq FROM {EV} AS e JOIN (VALUES (1, 'user:1'), (2, 'user:'), (3, 'user:22'), (4, 'order:')) AS p(client, prefix) ON starts_with(e.key, p.prefix) WHERE ev = 'set'""",
+)
 
 
 def _users(s, d):
     return s.createDataFrame([("0", True, True, [], True, []), ("1", True, False, ["SET", "INCR"], False, ["user:1*"]), ("2", True, False, ["DEL"], True, []), ("3", False, True, [], True, [])], "user string, enabled boolean, all_commands boolean, commands array<string>, all_keys boolean, patterns array<string>")
 
 
-add("acl_check", lambda s, d: nt.permitted(_commands(s, d).withColumn("user", (F.col("seq") % 5).cast("string")), _users(s, d)), """
+add(
+    "acl_check",
+    lambda s, d: nt.permitted(_commands(s, d).withColumn("user", (F.col("seq") % 5).cast("string")), _users(s, d)),
+    """
 SELECT *, CASE "user" WHEN '0' THEN true WHEN '1' THEN cmd IN ('SET', 'INCR') AND starts_with(key, 'user:1') WHEN '2' THEN cmd = 'DEL' ELSE false END AS allowed
-FROM (SELECT event_id AS seq, (event_id % 5)::VARCHAR AS "user", CASE event_type WHEN 'signup' THEN 'SET' WHEN 'click' THEN 'INCR' WHEN 'view' THEN 'LPUSH' WHEN 'error' THEN 'DEL' ELSE 'HSET' END AS cmd, 'user:' || user_id AS key FROM events)""")
-add("slowlog_get", lambda s, d: nt.slowlog(load(s, d, "events").select(F.col("event_id").alias("id"), (F.col("value") * 20).alias("duration_us"), F.col("event_type").alias("cmd"))).select("id", "cmd"), "SELECT event_id AS id, event_type AS cmd FROM events WHERE value * 20 >= 1000 ORDER BY event_id DESC LIMIT 128")
+FROM (SELECT event_id AS seq, (event_id % 5)::VARCHAR AS "user", CASE event_type WHEN 'signup' THEN 'SET' WHEN 'click' THEN 'INCR' WHEN 'view' THEN 'LPUSH' WHEN 'error' THEN 'DEL' ELSE 'HSET' END AS cmd, 'user:' || user_id AS key FROM events)""",
+)
+add(
+    "slowlog_get",
+    lambda s, d: nt.slowlog(load(s, d, "events").select(F.col("event_id").alias("id"), (F.col("value") * 20).alias("duration_us"), F.col("event_type").alias("cmd"))).select("id", "cmd"),
+    "SELECT event_id AS id, event_type AS cmd FROM events WHERE value * 20 >= 1000 ORDER BY event_id DESC LIMIT 128",
+)
 
 
 def _transactional(s, d):
@@ -87,9 +127,13 @@ def _transactional(s, d):
     return body.union(ends)
 
 
-add("txn_exec_fold", lambda s, d: cl.transactions(_transactional(s, d)).groupBy("key").agg(F.max_by("arg", "effect").alias("value")), """
+add(
+    "txn_exec_fold",
+    lambda s, d: cl.transactions(_transactional(s, d)).groupBy("key").agg(F.max_by("arg", "effect").alias("value")),
+    """
 SELECT user_id AS key, arg_max(event_id, (CASE WHEN event_type <> 'purchase' THEN event_id // 10 * 20 + 19 ELSE event_id * 2 END, event_id * 2)) AS value
-FROM events WHERE event_type = 'purchase' OR event_id // 10 % 4 <> 0 GROUP BY 1""")
+FROM events WHERE event_type = 'purchase' OR event_id // 10 % 4 <> 0 GROUP BY 1""",
+)
 
 
 def _list_log(s, d):
@@ -101,10 +145,18 @@ def _list_log(s, d):
     return pushes.union(users.select("key", (F.col("seq") + 1_000_000).alias("seq"), F.posexplode(more)).select("key", F.col("seq") + F.col("pos"), "col.cmd", "col.arg"))
 
 
-add("log_list_fold", lambda s, d: cl.fold_lists(_list_log(s, d)).select("key", F.array_join("items", ",").alias("items")), """
+add(
+    "log_list_fold",
+    lambda s, d: cl.fold_lists(_list_log(s, d)).select("key", F.array_join("items", ",").alias("items")),
+    """
 WITH l AS (SELECT user_id AS key, list(event_id::VARCHAR ORDER BY CASE WHEN event_type = 'click' THEN 0 ELSE 1 END, CASE WHEN event_type = 'click' THEN -event_id ELSE event_id END) AS a FROM events GROUP BY 1)
-SELECT key, array_to_string(list_concat(['new'], a[2:len(a) - 3]), ',') AS items FROM l""")
-add("repl_catch_up", lambda s, d: cl.catch_up(_commands(s, d), 9000).select("seq", "cmd"), f"SELECT event_id AS seq, CASE event_type WHEN 'signup' THEN 'SET' WHEN 'click' THEN 'INCR' WHEN 'view' THEN 'LPUSH' WHEN 'error' THEN 'DEL' ELSE 'HSET' END AS cmd FROM events WHERE event_id > 9000")
+SELECT key, array_to_string(list_concat(['new'], a[2:len(a) - 3]), ',') AS items FROM l""",
+)
+add(
+    "repl_catch_up",
+    lambda s, d: cl.catch_up(_commands(s, d), 9000).select("seq", "cmd"),
+    f"SELECT event_id AS seq, CASE event_type WHEN 'signup' THEN 'SET' WHEN 'click' THEN 'INCR' WHEN 'view' THEN 'LPUSH' WHEN 'error' THEN 'DEL' ELSE 'HSET' END AS cmd FROM events WHERE event_id > 9000",
+)
 
 
 def _hash_log(s, d):
@@ -114,9 +166,13 @@ def _hash_log(s, d):
     return load(s, d, "events").select(F.lit(0).alias("db"), F.col("user_id").alias("key"), k.alias("seq"), cmd.alias("cmd"), args.alias("args"))
 
 
-add("log_hash_fold", lambda s, d: fo.fold(_hash_log(s, d)).select("key", "type", F.col("name").alias("field"), "value", "errors"), """
+add(
+    "log_hash_fold",
+    lambda s, d: fo.fold(_hash_log(s, d)).select("key", "type", F.col("name").alias("field"), "value", "errors"),
+    """
 WITH w AS (SELECT user_id AS key, event_type AS field, max(event_id) AS e FROM events WHERE event_type <> 'error' GROUP BY ALL), x AS (SELECT user_id AS key, max(event_id) AS e FROM events WHERE event_type = 'error' GROUP BY 1)
-SELECT w.key, 'hash' AS type, field, w.e::VARCHAR AS value, 0::BIGINT AS errors FROM w LEFT JOIN x USING (key) WHERE field <> 'click' OR x.e IS NULL OR w.e > x.e""")
+SELECT w.key, 'hash' AS type, field, w.e::VARCHAR AS value, 0::BIGINT AS errors FROM w LEFT JOIN x USING (key) WHERE field <> 'click' OR x.e IS NULL OR w.e > x.e""",
+)
 
 
 def _set_log(s, d):
@@ -124,8 +180,12 @@ def _set_log(s, d):
     return load(s, d, "events").select(F.lit(0).alias("db"), F.col("user_id").alias("key"), F.col("event_id").alias("seq"), op.alias("cmd"), F.array(F.floor(F.col("value") / 10).cast("long").cast("string")).alias("args"))
 
 
-add("log_set_fold", lambda s, d: fo.fold(_set_log(s, d)).select("key", F.col("name").alias("member")), """
-SELECT key, member FROM (SELECT user_id AS key, floor(value / 10)::BIGINT::VARCHAR AS member, arg_max(event_type NOT IN ('error', 'signup'), event_id) AS there FROM events GROUP BY ALL) WHERE there""")
+add(
+    "log_set_fold",
+    lambda s, d: fo.fold(_set_log(s, d)).select("key", F.col("name").alias("member")),
+    """
+SELECT key, member FROM (SELECT user_id AS key, floor(value / 10)::BIGINT::VARCHAR AS member, arg_max(event_type NOT IN ('error', 'signup'), event_id) AS there FROM events GROUP BY ALL) WHERE there""",
+)
 
 
 def _stream_log(s, d):
@@ -134,4 +194,8 @@ def _stream_log(s, d):
 
 STREAMED = """(SELECT event_id AS seq, sum(4 + 9 + 4 + strlen('k' || user_id) + 2 + 4 + strlen(event_type) + 2) OVER (ORDER BY event_id)::BIGINT AS ends FROM events)"""
 add("repl_offsets", lambda s, d: cl.offsets(_stream_log(s, d)).select("seq", "ends"), f"SELECT seq, ends FROM {STREAMED} AS r")
-add("repl_psync", lambda s, d: cl.psync(_stream_log(s, d), "id1", "id1", cl.offsets(_stream_log(s, d)).where("seq = 9000").first().ends)[1].select("seq", "ends"), f"SELECT seq, ends FROM {STREAMED} AS r WHERE seq > 9000")
+add(
+    "repl_psync",
+    lambda s, d: cl.psync(_stream_log(s, d), "id1", "id1", cl.offsets(_stream_log(s, d)).where("seq = 9000").first().ends)[1].select("seq", "ends"),
+    f"SELECT seq, ends FROM {STREAMED} AS r WHERE seq > 9000",
+)

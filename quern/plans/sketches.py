@@ -23,15 +23,23 @@ def _regs(s, d):
 
 
 add("hll_pfadd_registers", _regs, f"SELECT key, idx, rho FROM {REGS} AS r")
-add("hll_pfadd_changed", lambda s, d: sk.pfadd_changed(sk.pfadd(b.items(s, d).where("item % 2 = 0")), sk.pfadd(b.items(s, d).where("item % 20 = 0 OR key = 'click'"))), f"""
+add(
+    "hll_pfadd_changed",
+    lambda s, d: sk.pfadd_changed(sk.pfadd(b.items(s, d).where("item % 2 = 0")), sk.pfadd(b.items(s, d).where("item % 20 = 0 OR key = 'click'"))),
+    f"""
 WITH i AS (SELECT event_type AS key, event_id AS e, {H.format(item='event_id::VARCHAR')} AS h FROM events),
 r AS (SELECT key, e, (h >> 18)::INT AS idx, CASE WHEN h & 262143 = 0 THEN 19 ELSE 19 - length(bin(h & 262143)) END AS rho FROM i),
 a AS (SELECT key, idx, max(rho) AS rho FROM r WHERE e % 2 = 0 GROUP BY ALL), n AS (SELECT key, idx, max(rho) AS rho FROM r WHERE e % 20 = 0 OR key = 'click' GROUP BY ALL)
-SELECT n.key, bool_or(n.rho > coalesce(a.rho, 0))::INT AS changed FROM n LEFT JOIN a ON a.key = n.key AND a.idx = n.idx GROUP BY n.key""")
+SELECT n.key, bool_or(n.rho > coalesce(a.rho, 0))::INT AS changed FROM n LEFT JOIN a ON a.key = n.key AND a.idx = n.idx GROUP BY n.key""",
+)
 add("hll_pfcount", lambda s, d: sk.pfcount(_regs(s, d)), "SELECT key, " + EST.format(by="key,", regs=REGS, where="", group="GROUP BY key"))
 add("hll_pfcount_multi", lambda s, d: sk.pfcount_union(_regs(s, d), TWO), "SELECT " + EST.format(by="", regs=MERGED, where="", group=""))
 add("hll_pfmerge", lambda s, d: sk.pfmerge(_regs(s, d), TWO), f"SELECT idx, rho FROM {MERGED} AS m")
-add("hll_native", lambda s, d: sk.native_distinct(b.items(s, d)))
+add(
+    "hll_native",
+    lambda s, d: sk.native_distinct(b.items(s, d)).join(b.items(s, d).groupBy("key").agg(F.countDistinct("item").alias("n")), "key").select("key", "n", (F.abs(F.col("n_distinct") - F.col("n")) <= 0.04 * F.col("n")).alias("near")),
+    "SELECT event_type AS key, count(DISTINCT event_id) AS n, true AS near FROM events GROUP BY 1",
+)
 
 
 
@@ -57,13 +65,45 @@ def _probes(s, d):
 
 add("cf_fingerprint", lambda s, d: sk.cf_place(_probes(s, d)), f"SELECT key, item, fp, lo, hi FROM {PLACE.format(items=PROBES)} AS p")
 add("cf_add", lambda s, d: sk.cf_add(_users(s, d)), f"SELECT key, fp, lo, hi, n FROM {CF} AS c")
-add("cf_addnx", lambda s, d: sk.cf_addnx(_users(s, d)).select("key", "item", "seq", "added"), f"SELECT key, item, seq, (row_number() OVER (PARTITION BY key, fp, lo, hi ORDER BY seq) = 1)::INT AS added FROM {PLACE.format(items=USERS)} AS p")
-add("cf_exists", lambda s, d: sk.cf_exists(sk.cf_add(_users(s, d)), _probes(s, d)), f"SELECT p.key, item, (c.n IS NOT NULL)::INT AS present FROM {PLACE.format(items=PROBES)} AS p LEFT JOIN {CF} AS c ON c.key = p.key AND c.fp = p.fp AND c.lo = p.lo AND c.hi = p.hi")
-add("cf_del", lambda s, d: sk.cf_delete(sk.cf_add(_users(s, d)), _users(s, d).where("key IN ('click', 'view') OR cast(item AS int) < 40").drop("seq")), f"""
+add(
+    "cf_addnx",
+    lambda s, d: sk.cf_addnx(_users(s, d)).select("key", "item", "seq", "added"),
+    f"SELECT key, item, seq, (row_number() OVER (PARTITION BY key, fp, lo, hi ORDER BY seq) = 1)::INT AS added FROM {PLACE.format(items=USERS)} AS p",
+)
+add(
+    "cf_exists",
+    lambda s, d: sk.cf_exists(sk.cf_add(_users(s, d)), _probes(s, d)),
+    f"SELECT p.key, item, (c.n IS NOT NULL)::INT AS present FROM {PLACE.format(items=PROBES)} AS p LEFT JOIN {CF} AS c ON c.key = p.key AND c.fp = p.fp AND c.lo = p.lo AND c.hi = p.hi",
+)
+add(
+    "cf_del",
+    lambda s, d: sk.cf_delete(sk.cf_add(_users(s, d)), _users(s, d).where("key IN ('click', 'view') OR cast(item AS int) < 40").drop("seq")),
+    f"""
 WITH g AS (SELECT key, fp, lo, hi, count(*) AS n FROM {PLACE.format(items="(SELECT event_type AS key, user_id::VARCHAR AS item FROM events WHERE event_type IN ('click', 'view') OR user_id < 40)")} AS p GROUP BY ALL)
-SELECT c.key, c.fp, c.lo, c.hi, c.n - coalesce(g.n, 0) AS n FROM {CF} AS c LEFT JOIN g ON c.key = g.key AND c.fp = g.fp AND c.lo = g.lo AND c.hi = g.hi WHERE c.n > coalesce(g.n, 0)""")
-add("cf_insert", lambda s, d: sk.cf_fill(_users(s, d).groupBy("key", "item").agg(F.min("seq").alias("seq")), 1 << 20).select("key", "item", "seq", "added"), f"SELECT key, item, min(seq) AS seq, 1::INT AS added FROM {USERS} AS u GROUP BY ALL")
-add("cf_copies", lambda s, d: sk.cf_fill(_users(s, d).where("item = '0'"), 1 << 20).groupBy("key").agg(F.sum("added").alias("held")), "SELECT event_type AS key, least(count(*), 8)::BIGINT AS held FROM events WHERE user_id = 0 GROUP BY 1")
-add("cf_insertnx", lambda s, d: sk.cf_fill(_users(s, d), 1024, only_new=True).select("key", "item", "seq", "added"), f"SELECT key, item, seq, (row_number() OVER (PARTITION BY key, fp, lo, hi ORDER BY seq) = 1)::INT AS added FROM {PLACE.format(items=USERS)} AS p")
-add("cf_reserve", lambda s, d: s.createDataFrame([(1 << c, sk.buckets_of(1 << c)) for c in range(13)], "capacity long, buckets long"), "SELECT (1 << c)::BIGINT AS capacity, greatest(1, (1 << c) // 4)::BIGINT AS buckets FROM (SELECT unnest(range(13)) AS c)")
-add("cf_full", lambda s, d: sk.cf_fill(_users(s, d), 16, 4, 20).groupBy("key").agg(F.least(F.sum("added"), F.lit(17)).alias("held"), F.bool_or(F.col("added") == 0).alias("full")).select("key", (F.col("held") >= 4).alias("some"), "full"), "SELECT event_type AS key, true AS some, true AS full FROM events GROUP BY 1")
+SELECT c.key, c.fp, c.lo, c.hi, c.n - coalesce(g.n, 0) AS n FROM {CF} AS c LEFT JOIN g ON c.key = g.key AND c.fp = g.fp AND c.lo = g.lo AND c.hi = g.hi WHERE c.n > coalesce(g.n, 0)""",
+)
+add(
+    "cf_insert",
+    lambda s, d: sk.cf_fill(_users(s, d).groupBy("key", "item").agg(F.min("seq").alias("seq")), 1 << 20).select("key", "item", "seq", "added"),
+    f"SELECT key, item, min(seq) AS seq, 1::INT AS added FROM {USERS} AS u GROUP BY ALL",
+)
+add(
+    "cf_copies",
+    lambda s, d: sk.cf_fill(_users(s, d).where("item = '0'"), 1 << 20).groupBy("key").agg(F.sum("added").alias("held")),
+    "SELECT event_type AS key, least(count(*), 8)::BIGINT AS held FROM events WHERE user_id = 0 GROUP BY 1",
+)
+add(
+    "cf_insertnx",
+    lambda s, d: sk.cf_fill(_users(s, d), 1024, only_new=True).select("key", "item", "seq", "added"),
+    f"SELECT key, item, seq, (row_number() OVER (PARTITION BY key, fp, lo, hi ORDER BY seq) = 1)::INT AS added FROM {PLACE.format(items=USERS)} AS p",
+)
+add(
+    "cf_reserve",
+    lambda s, d: s.createDataFrame([(1 << c, sk.buckets_of(1 << c)) for c in range(13)], "capacity long, buckets long"),
+    "SELECT (1 << c)::BIGINT AS capacity, greatest(1, (1 << c) // 4)::BIGINT AS buckets FROM (SELECT unnest(range(13)) AS c)",
+)
+add(
+    "cf_full",
+    lambda s, d: sk.cf_fill(_users(s, d), 16, 4, 20).groupBy("key").agg(F.least(F.sum("added"), F.lit(17)).alias("held"), F.bool_or(F.col("added") == 0).alias("full")).select("key", (F.col("held") >= 4).alias("some"), "full"),
+    "SELECT event_type AS key, true AS some, true AS full FROM events GROUP BY 1",
+)
