@@ -32,9 +32,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _TITLE = r"[\x09\x20#*=]*(?:the )?(?:(?:mit|expat|isc|zlib|zlib/libpng|bsd|new bsd|modified bsd|simplified bsd|bsd zero[ -]clause|zero[ -]clause bsd|[023]-clause bsd|bsd [023]-clause|bsd 2-clause \"simplified\"|bsd 3-clause \"(?:new|revised)\"(?: or \"revised\")?) licen[sc]e|zero[ -]clause bsd|unlicense)(?: \([a-z0-9/-]+\))?[.:*]*[\x09\x0D\x20]*"
 #: A line that names a holder, without a year perhaps: no longer than eight words, for text may begin like it too.
 _HOLDER = r"[\x09\x20]*(?:copyright|\(c\)|\xA9)(?:[\x09\x20]+[^\x09\x20\n]+){1,8}[\x09\x0D\x20]*"
+_END = r"(?=\n|\z)"
 #: Lines of holders that begin a paragraph, under a title or not; a line that begins with a copyright sign or the word and has a sign or a year (text wrapped before the word stays); a title; reserved rights.
 COPYRIGHT_LINE = (
-    rf"(?m)(?:\A[\x09\x0A\x0D\x20]*|\n[\x09\x0D\x20]*\n)(?:{_TITLE}\n)?{_HOLDER}(?:\n{_HOLDER})*$"
+    rf"(?m)(?:\A[\x09\x0A\x0D\x20]*+|\n[\x09\x0D\x20]*+\n)(?:{_TITLE}\n)?{_HOLDER}{_END}(?:\n{_HOLDER}{_END})*+"  # possessive: Java repeats other groups by recursion, and would try each of many blanks
     r"|^[\x09\x20]*(?:copyright[\x09\x20]*(?:\(c\)|\xA9)|copyright\b[^\n]*[0-9]{4}|\(c\)[^\n]*[0-9]{4}|\xA9)[^\n]*$"
     rf"|^{_TITLE}$|^[\x09\x20]*all rights reserved[.]?[\x09\x0D\x20]*$"
 )
