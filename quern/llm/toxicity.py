@@ -10,7 +10,8 @@ the letters it may replace, or for nothing (separators and repeats), at a cost
 each. The Viterbi path under the character model is the restored word. Single
 characters set apart by spaces or marks are joined and restored likewise,
 with the one-letter words beside them. A long restored word, and a joined one
-of any length, is evidence for the words it holds. So is read a word of letters
+of any length, is evidence for the words it holds; tokens of more than ``PIECE``
+characters are read in overlapping pieces. So is read a word of letters
 alone that differs from one of evidence by doubled letters and v for u, unless
 a clean labelled text holds it.
 
@@ -58,6 +59,8 @@ HALVES, TRIGRAMS = (0, 2), 1
 PART = 1_000_000
 LEAST_TEXTS, LEAST_RATIO = 6, 20.0
 FLUSH = 200_000
+#: Characters of a token up to which what it tells is kept, and those that are restored at once, with their overlap.
+KEPT, PIECE, OVERLAP = 64, 512, 128
 #: What a character may stand for besides itself.
 STANDS_FOR = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou", "v": "u",
@@ -151,34 +154,29 @@ class CharModel:
         best = max(paths.items(), key=lambda kv: (kv[1][0] + self.logp(kv[0] + "$"), kv[1][1]))[1][1]
         if len(self.words) > FLUSH:
             self.words.clear()
-        self.words[token] = best
+        if len(token) <= KEPT:
+            self.words[token] = best
         return best
 
 
-def plain_words(low: str, odd: set[str] | None = None) -> set[str]:
-    """Distinct words of letters alone of a lower-case text; tokens that need restoring go to ``odd``."""
-    plain = set()
-    triple = odd is not None and _TRIPLE.search(low) is not None
-    for tok in set(low.split()):
-        if not tok.isalpha():
-            tok = tok.strip(STRIPPED)
-            if len(tok) > 2 and tok[-1] == tok[-2] == tok[-3] and not tok[-1].isalpha():
-                tok = tok.rstrip(tok[-1]).strip(STRIPPED)
-            if not tok.isalpha():
-                if odd is not None and any(c.isalpha() for c in tok):
-                    odd.add(tok)
-                continue
-        plain.add(tok)
-        if triple and _TRIPLE.search(tok):
-            odd.add(tok)
-    return plain
-
-
-def plain_and_odd(text: str) -> tuple[set[str], set[str], set[str]]:
-    """Distinct lower-case words of letters alone, the tokens that need restoring, and the joined runs of single characters."""
-    low, odd = text.lower(), set()
-    plain = plain_words(low, odd)
-    return plain, odd, {"".join(c for c in m.group() if c.isalnum()) for m in _SPACED.finditer(low)}
+def stripped(token: str) -> str:
+    """Without the marks around it, and without a mark that ends it three times over."""
+    token = token.strip(STRIPPED)
+    if len(token) > 2 and token[-1] == token[-2] == token[-3] and not token[-1].isalpha():
+        token = token.rstrip(token[-1]).strip(STRIPPED)
+    return token
+
+
+def plain_words(low: str) -> set[str]:
+    """Distinct words of letters alone of a lower-case text."""
+    tokens = set(low.split())
+    plain = {t for t in tokens if t.isalpha()}
+    return plain | {t for t in map(stripped, tokens - plain) if t.isalpha()}
+
+
+def spaced_words(low: str) -> set[str]:
+    """The joined runs of single characters of a lower-case text."""
+    return {"".join(c for c in m.group() if c.isalnum()) for m in _SPACED.finditer(low)}
 
 
 def _learned(texts: DataFrame) -> DataFrame:
@@ -188,33 +186,34 @@ def _learned(texts: DataFrame) -> DataFrame:
     count is its ``clean``.
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: dict[str, list[int]] = {}
+        texts_of: Counter[str] = Counter()
+        told: dict[tuple[int, int], Counter[str]] = {(half, y): Counter() for half in (0, 1) for y in (0, 1)}
 
         def out() -> Iterator[pa.RecordBatch]:
             grams: Counter[str] = Counter()
-            rows = []
-            for w, (n, *told) in words.items():
+            for w, n in texts_of.items():
                 s = f"^^{w}$"
                 for i in range(len(s) - 2):
                     grams[s[i : i + 3]] += n
-                rows += [(kind, w, *told[2 * i : 2 * i + 2]) for i, kind in enumerate(HALVES) if any(told[2 * i : 2 * i + 2])]
-            rows += [(TRIGRAMS, g, 0, n) for g, n in grams.items()]
-            cols = list(zip(*rows, strict=True)) or [()] * 4
-            kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64())
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["kind", "key", "toxic", "clean"])
-            words.clear()
+            parts = [(TRIGRAMS, list(grams), [0] * len(grams), list(grams.values()))]
+            for half, kind in enumerate(HALVES):
+                clean, toxic = told[half, 0], told[half, 1]
+                keys = list(clean.keys() | toxic.keys())
+                parts.append((kind, keys, [toxic[k] for k in keys], [clean[k] for k in keys]))
+            for kind, keys, toxic, clean in parts:
+                yield pa.record_batch([pa.array([kind] * len(keys), pa.int32()), pa.array(keys, pa.string()), pa.array(toxic, pa.int64()), pa.array(clean, pa.int64())], names=["kind", "key", "toxic", "clean"])
+            for c in (texts_of, *told.values()):
+                c.clear()
 
         for b in slices(batches, 0):
             for text, toxic, clean, half in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                for w in plain_words((text or "").lower()):
-                    got = words.get(w)
-                    if got is None:
-                        got = words[w] = [0, 0, 0, 0, 0]
-                    got[0] += 1
-                    if toxic is not None:
-                        got[1 + 2 * half] += toxic
-                        got[2 + 2 * half] += clean
-                if len(words) > FLUSH:
+                words = plain_words((text or "").lower())
+                texts_of.update(words)
+                if toxic is not None:
+                    for y, times in ((1, toxic), (0, clean)):
+                        for _ in range(times):
+                            told[half, y].update(words)
+                if len(texts_of) > FLUSH:
                     yield from out()
         yield from out()
 
@@ -269,18 +268,56 @@ def _known(learned: DataFrame, weights: dict[str, float], part: int = PART) -> s
     return {k for t in _in_parts(words.join(forms, "form", "left_semi").select("key").distinct(), part) for k in t.column("key").to_pylist()} - weights.keys()
 
 
-def text_evidence(text: str, weights: dict[str, float], chars: CharModel, sizes: list[int], forms: Set[str] = frozenset(), known: Set[str] = frozenset()) -> float:
-    """``sizes`` are the ``held_sizes`` of the weights, ``forms`` their forms, and ``known`` words of such a form that stand for themselves."""
-    plain, odd, joined = plain_and_odd(text)
-    hits = plain & weights.keys()
-    odd |= {w for w in plain - hits if _DOUBLED.search(w) and form(w) in forms and w not in known}
-    for tok in odd | joined:
-        word = chars.restore(tok)
-        if word in weights:
-            hits.add(word)
-        elif len(word) > 7 or tok in joined:
-            hits |= {w for n in sizes if n <= len(word) for i in range(len(word) - n + 1) if (w := word[i : i + n]) in weights}
-    return math.fsum(weights[w] for w in hits)
+class Reader:
+    """Finds evidence in texts; what a token tells is found once, and kept for the ``FLUSH`` last tokens at most."""
+
+    def __init__(self, weights: dict[str, float], chars: CharModel, known: Set[str] = frozenset()):
+        """``known`` are words of the form of one of evidence that stand for themselves."""
+        self.weights, self.chars, self.known = weights, chars, known
+        self.sizes, self.forms = held_sizes(weights), {form(w) for w in weights}
+        self.seen: set[str] = set()
+        self.telling: dict[str, frozenset[str]] = {}
+
+    def restored(self, token: str, whole: bool) -> set[str]:
+        """Words of evidence that a token stands for, or holds, if that is long or a joined run (not ``whole``)."""
+        found: set[str] = set()
+        for at in range(0, max(1, len(token) - OVERLAP), PIECE - OVERLAP):
+            word = self.chars.restore(token if len(token) <= PIECE else token[at : at + PIECE])
+            if word in self.weights:
+                found.add(word)
+            elif len(word) > 7 or not whole:
+                found |= {w for n in self.sizes if n <= len(word) for i in range(len(word) - n + 1) if (w := word[i : i + n]) in self.weights}
+            if len(token) <= PIECE:
+                break
+        return found
+
+    def token(self, token: str) -> set[str]:
+        """Words of evidence that a token of a lower-case text tells of."""
+        token = stripped(token) if not token.isalpha() else token
+        if not token.isalpha():
+            return self.restored(token, True) if any(c.isalpha() for c in token) else set()
+        hits = {token} & self.weights.keys()
+        disguised = not hits and token not in self.known and _DOUBLED.search(token) and form(token) in self.forms
+        return hits | (self.restored(token, True) if disguised or _TRIPLE.search(token) else set())
+
+    def evidence(self, text: str) -> float:
+        low = text.lower()
+        tokens = set(low.split())
+        new, hits = tokens - self.seen, set()
+        if new:
+            if len(self.seen) > FLUSH:
+                self.seen, self.telling, new = set(), {}, tokens
+            for t in new:
+                told = self.token(t)
+                if len(t) > KEPT:
+                    hits |= told
+                elif told:
+                    self.telling[t] = frozenset(told)
+            self.seen.update(t for t in new if len(t) <= KEPT)
+        hits.update(*(self.telling[t] for t in tokens & self.telling.keys()))
+        for run in spaced_words(low):
+            hits |= self.restored(run, False)
+        return math.fsum(self.weights[w] for w in hits)
 
 
 def _measured(docs: DataFrame, weights: dict[str, float], trigrams: list[tuple[np.ndarray, np.ndarray]], known: set[str]) -> DataFrame:
@@ -289,11 +326,10 @@ def _measured(docs: DataFrame, weights: dict[str, float], trigrams: list[tuple[n
     rest, at = [c for c in docs.columns if c != "text"], docs.columns.index("text")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, chars = model.value[0], CharModel(model.value[1])
-        sizes, forms, known = held_sizes(w), {form(x) for x in w}, model.value[2]
+        reader = Reader(model.value[0], CharModel(model.value[1]), model.value[2])
         for b in slices(batches, at):
             texts = [t or "" for t in b.column("text").to_pylist()]
-            yield pa.record_batch([*(b.column(c) for c in rest), pa.array([text_evidence(t, w, chars, sizes, forms, known) for t in texts], pa.float64()), pa.array([math.log1p(len(t)) for t in texts], pa.float64())], names=[*rest, "evidence", "size"])
+            yield pa.record_batch([*(b.column(c) for c in rest), pa.array([reader.evidence(t) for t in texts], pa.float64()), pa.array([math.log1p(len(t)) for t in texts], pa.float64())], names=[*rest, "evidence", "size"])
 
     kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in rest)
     return docs.mapInArrow(measure, f"{kinds}, evidence double, size double")
