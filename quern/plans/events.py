@@ -194,8 +194,17 @@ def _stream_log(s, d):
 
 STREAMED = """(SELECT event_id AS seq, sum(4 + 9 + 4 + strlen('k' || user_id) + 2 + 4 + strlen(event_type) + 2) OVER (ORDER BY event_id)::BIGINT AS ends FROM events)"""
 add("repl_offsets", lambda s, d: cl.offsets(_stream_log(s, d)).select("seq", "ends"), f"SELECT seq, ends FROM {STREAMED} AS r")
+
+
+def _caught_up(s, d):
+    """What a replica that is a hundred commands behind still gets."""
+    log = _stream_log(s, d)
+    behind = cl.offsets(log).orderBy(F.desc("seq")).offset(100).first().ends
+    return cl.psync(log, "id1", "id1", behind)[1]
+
+
 add(
     "repl_psync",
-    lambda s, d: cl.psync(_stream_log(s, d), "id1", "id1", cl.offsets(_stream_log(s, d)).where("seq = 9000").first().ends)[1].select("seq", "ends"),
-    f"SELECT seq, ends FROM {STREAMED} AS r WHERE seq > 9000",
+    lambda s, d: _caught_up(s, d).select("seq", "ends"),
+    f"SELECT seq, ends FROM {STREAMED} AS r WHERE seq > (SELECT max(event_id) - 100 FROM events)",
 )
