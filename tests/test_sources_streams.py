@@ -169,14 +169,14 @@ def test_folded_logs(spark):
         got.setdefault(r.key, []).append((r.type, r.pos, r.name, r.value, r.score, r.due_ms, r.errors))
     assert got == {
         "s": [("string", None, None, "7", None, 99, 1)], "l": [("list", 0, None, "b", None, None, 1), ("list", 1, None, "z", None, None, 1)], "h": [("hash", None, "g", "2", None, None, 0)],
-        "z": [("zset", None, "b", None, 2.0, None, 0), ("zset", None, "a", None, 3.5, None, 0)], "e": [("string", None, None, "now a string", None, None, 0)],
+        "z": [("zset", None, "a", None, 3.5, None, 0), ("zset", None, "b", None, 2.0, None, 0)], "e": [("string", None, None, "now a string", None, None, 0)],
     }
     many = spark.createDataFrame([(0, 0, "MSET", ["a", "1", "b", "2"]), (1, 0, "DEL", ["a", "c"]), (2, 0, "APPEND", ["b", "!"])], "seq int, db int, cmd string, args array<string>")
     assert [(r.key, r.value) for r in folds.fold(folds.split_keys(many)).collect()] == [("b", "2!")]
     with pytest.raises(Exception, match="can't be folded"):
         folds.fold(log.withColumn("cmd", F.lit("RENAME"))).count()
     with pytest.raises(Exception, match="no command on a list"):
-        commandlog.fold_lists(spark.createDataFrame([("k", 1, "SADD", "x")], "key string, seq int, cmd string, arg string")).count()
+        commandlog.fold_lists(spark.createDataFrame([("k", 1, "SADD", "x")], "key string, seq int, cmd string, arg string")).collect()
 
 
 def test_resynchronisation(spark):
