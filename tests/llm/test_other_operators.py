@@ -191,6 +191,11 @@ def test_licenses(spark):
     got = {r.doc_id: (r.license, r.notices) for r in licenses.scan_licenses(df).collect()}
     assert got == {0: ("MIT", ""), 1: ("MIT", ""), 2: (None, ""), 3: (None, "Apache-2.0,MIT"), 4: (None, ""), 5: (None, ""), 6: (None, ""), 7: (None, "MIT")}
     assert licenses.scan_licenses(df.where("false")).count() == 0
+    many = ["\n\n" + "copyright foo bar\n" * 30000 + mit, "Copyright A\nCopyright one two three four five six seven eight nine ten\nx", "a\n\ncopyright b c\r\n(c) d\ne", "\n \n" * 20000 + "x"]
+    long_ = spark.createDataFrame(list(enumerate(many)), "doc_id long, text string")
+    rows = licenses.scan_licenses(long_)
+    assert rows.where("doc_id = 0").first().license == "MIT"
+    agrees({"documents": long_}, rows, queries.oracle_sql()["op6_licenses"])
 
 
 def test_equal_spellings_and_typographic_marks(spark):
@@ -229,6 +234,7 @@ def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
     odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "word " * 50000), (-4, "you 1d10t, st*pid s c u m and w0rthl3ss tra$h cl0wn m0ron")], "doc_id long, text string")
+    odd = odd.union(odd.where("doc_id = -4").withColumn("doc_id", F.lit(-5).cast("long"))).union(odd.where("doc_id = -4").select(F.lit(-6).cast("long"), F.repeat(F.concat("text", F.lit(" x1y2 ")), 5000)))
     scored = toxicity.score_toxicity(docs.select("doc_id", "text").union(odd).withColumn("score", F.lit(1)), labels)
     rows = scored.join(labels, "doc_id").where("held_out").collect()
     pos, neg = [r.score for r in rows if r.toxic], [r.score for r in rows if not r.toxic]
@@ -236,7 +242,7 @@ def test_toxicity_held_out(spark):
     assert auc > 0.8 and sum(r.predicted for r in rows if not r.toxic) <= 0.03 * len(neg)
     got = {r.doc_id: r for r in scored.where("doc_id < 0").collect()}
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got.values())
-    assert got[-4].score > 0.5 > got[-2].score
+    assert got[-4].score > 0.5 > got[-2].score and got[-5].score == got[-4].score  # repeated texts score alike
     assert toxicity.score_toxicity(docs.limit(3), labels.where("false")).where("score <> 0").count() == 0
     assert toxicity.score_toxicity(docs.where("false"), labels).count() == 0
     shuffled = labels.withColumn("toxic", F.when(toxicity.fold_of(F.col("doc_id")) == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
@@ -308,7 +314,7 @@ def test_scores_equal_brute_force(spark):
         clean = {w for w, (b, _) in count.items() if b} | {w for i, ws in words.items() if taught.get(i) == 0 for w in ws}
         return out, forms, {w for w in clean if toxicity.form(w) in forms} - out.keys()
 
-    measured = lambda t, ev: toxicity.text_evidence(t, ev[0], chars, toxicity.held_sizes(ev[0]), ev[1], ev[2])
+    measured = lambda t, ev: toxicity.Reader(ev[0], chars, ev[2]).evidence(t)
     half = lambda i: crc(i) // 5 % 2
     by_half = [evidence([i for i in taught if half(i) == h]) for h in (0, 1)]
     e = np.array([measured(texts[i], by_half[1 - half(i)]) for i in taught])
@@ -328,6 +334,15 @@ def test_restored_words():
         assert chars.restore(odd) == plain
 
 
+def test_long_tokens_are_read_in_pieces():
+    words = ("idiot", "scum", "harmless")
+    chars = toxicity.CharModel({g: 50 for w in words for g in (f"^^{w}$"[i : i + 3] for i in range(len(w) + 1))})
+    reader = toxicity.Reader({"idiot": 1.0, "scum": 2.0}, chars)
+    for before in (0, 300, 500, 700, 5000, 300_000):
+        assert reader.evidence("x1" * before + "idiot" + "y2" * 400) == 1, before
+    assert reader.evidence("s " + "c " + "u " + "m " + "z " * 3000) == 2 and not reader.telling and max(map(len, reader.seen)) <= toxicity.KEPT
+
+
 def test_spaced_words_beside_punctuation_and_letters():
     words = ("idiot", "scum", "loser", "scumbag", "ass")
     chars = toxicity.CharModel({g: 50 for w in words for g in (f"^^{w}$"[i : i + 3] for i in range(len(w) + 1))})
@@ -336,8 +351,8 @@ def test_spaced_words_beside_punctuation_and_letters():
         ("you s c u m!", 2), ("you i d i o t.", 1), ("l o s e r, go", 4), ("(s c u m)", 2), ('"s c u m"', 2), ("s - c - u - m", 2), ("s  --  c  --  u  --  m", 2), ("a s c u m", 2), ("s c u m a", 2), ("such a\ns c u m?! i d 1 0 t; x", 3),
         ("don't s.c.u.m!", 2), ("l_o_s_e_r.", 4), ("a b c, and 1 2 3 4.", 0), ("", 0),
     ):
-        assert toxicity.text_evidence(text, weights, chars, toxicity.held_sizes(weights)) == want, text
-    assert toxicity.text_evidence("an a s s!", {"ass": 1.0}, chars, []) == 1
+        assert toxicity.Reader(weights, chars).evidence(text) == want, text
+    assert toxicity.Reader({"ass": 1.0}, chars).evidence("an a s s!") == 1
 
 
 def test_disguised_by_letters_alone(spark):
@@ -346,9 +361,8 @@ def test_disguised_by_letters_alone(spark):
     learned = spark.createDataFrame([(0, "hoop", 0, 3), (0, "hop", 9, 1), (0, "sccum", 2, 0), (0, "other", 1, 9), (1, "hop", 0, 9)], "kind int, key string, toxic long, clean long")
     known = toxicity._known(learned, weights)
     assert known == {"hoop"} and toxicity._known(learned, {}) == set()
-    forms = {toxicity.form(w) for w in weights}
     for text, want in (("an idiiot", 1), ("Sccum!", 2), ("stvpid", 4), ("sttvppid idiott", 5), ("hoop", 0), ("hopp", 8), ("very good", 0), ("scum sccum", 2)):
-        assert toxicity.text_evidence(text, weights, chars, toxicity.held_sizes(weights), forms, known) == want, text
+        assert toxicity.Reader(weights, chars, known).evidence(text) == want, text
 
 
 def test_model_of_toxicity_is_whole(spark):
