@@ -3,14 +3,16 @@
 1. Texts with the same words in the same order form a class; its smallest id is
    a node, and only nodes go on.
 2. A node is posted under each of its signature's coordinate-value pairs
-   (tokens). Tokens that no other node has can't collide and are dropped, and
-   with them all nodes that are left with fewer tokens than the match threshold.
+   (tokens), first under ``coordinates - matches + 1`` of them: a node that
+   shares none of these can't reach the threshold. Of the rest, tokens that no
+   other node has can't collide and are dropped, and with them all nodes that
+   are left with fewer tokens than the match threshold.
 3. Two nodes that share ``matches`` tokens share one of their rarest
    ``m - matches + 1``, where m is what each has left, so only these prefixes
    are joined; frequent tokens, such as those of a common passage, stay out.
 4. A list whose nodes already lie in one component can't add anything and is
-   skipped. Two rounds link each node to the best-matching leader of its
-   lists; then all pairs across components are compared. Lists of up to
+   skipped. Two rounds link each node to the leader that most of its lists
+   have; then all pairs across components are compared. Lists of up to
    ``short_list`` nodes are joined with themselves. Of a longer one, only the
    nodes outside its largest component go to all of its blocks, where their
    collisions with the block's nodes are counted by merging the shorter posting
@@ -95,13 +97,23 @@ def _with_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(sets, "id long, h1 long, values array<long>")
 
 
+def _may_match(nodes: DataFrame, matches: int, coordinates: int) -> DataFrame:
+    """Those of ``nodes(node, n, toks)`` that share one of the first ``coordinates - matches + 1`` tokens with another.
+
+    Two nodes with ``matches`` equal coordinates can't differ in all of these.
+    """
+    first = nodes.select("node", F.explode(F.slice("toks", 1, coordinates - matches + 1)).alias("tok"))
+    shared = first.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1")
+    return nodes.join(first.join(shared, "tok").select("node").distinct(), "node", "left_semi")
+
+
 def _candidates(nodes: DataFrame, matches: int) -> DataFrame:
     """``node, n, toks, prefix`` of the nodes that may have a partner; ``toks`` are those that some other node has."""
-    posted = nodes.select("node", "n", F.explode("toks").alias("tok"))
+    posted = nodes.select("node", F.explode("toks").alias("tok"))
     shared = posted.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1")
-    left = posted.join(shared, "tok").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("own")).where(F.size("own") >= matches)
+    left = posted.join(shared, "tok").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("own")).where(F.size("own") >= matches)
     prefix = F.slice("own", F.lit(1), F.size("own") - matches + 1)
-    return left.select("node", "n", F.col("own.tok").alias("toks"), prefix["tok"].alias("prefix"))
+    return left.join(nodes.select("node", "n"), "node").select("node", "n", F.col("own.tok").alias("toks"), prefix["tok"].alias("prefix"))
 
 
 def _beside(pairs: DataFrame, rows: DataFrame, value: str) -> DataFrame:
@@ -136,12 +148,12 @@ def _with_components(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
     return own.join(whole.select("tok", "len", F.col("x.comp").alias("main"), "size", (F.col("size") - F.col("x.bytes")).alias("outside")), "tok")
 
 
-def _best_leaders(lists: DataFrame, cands: DataFrame, round_: int, matches: int) -> DataFrame:
-    """One pair a node: of its lists' leaders in other components, the one with the most equal coordinates."""
+def _best_leaders(lists: DataFrame, round_: int) -> DataFrame:
+    """One pair a node: of its lists' leaders in other components, the one that most of its lists have."""
     rank = F.col("node") if round_ == 0 else F.xxhash64("node", F.lit(round_))
     leaders = lists.groupBy("tok").agg(F.min(F.struct(rank.alias("rank"), F.col("node").alias("leader"), F.col("comp").alias("lcomp"))).alias("x")).select("tok", "x.leader", "x.lcomp")
-    pairs = lists.join(leaders, "tok").where("comp <> lcomp").select(F.col("node").alias("u"), F.col("leader").alias("v")).distinct()
-    return _matched(pairs, cands, matches).groupBy("u").agg(F.max(F.struct("m", "v")).alias("x")).select("u", F.col("x.v").alias("v"))
+    pairs = lists.join(leaders, "tok").where("comp <> lcomp").groupBy(F.col("node").alias("u"), F.col("leader").alias("v")).agg(F.count("*").alias("k"))
+    return pairs.groupBy("u").agg(F.max(F.struct("k", "v")).alias("x")).select("u", F.col("x.v").alias("v"))
 
 
 def _short_list_pairs(lists: DataFrame, short_list: int) -> DataFrame:
@@ -279,8 +291,10 @@ def near_duplicates(
     wide, signed = signed, scratch.put(signed.drop("toks"))
     scratch.drop(wide)
     linkable = signed.where("id IS NOT NULL AND n > 0")
-    cands = scratch.put(_candidates(nodes, matches))
+    near = scratch.put(_may_match(nodes, matches, coordinates))
     scratch.drop(nodes)
+    cands = scratch.put(_candidates(near, matches))
+    scratch.drop(near)
     sets = _sets(scratch, docs, cands, id_col, text_col, words)
     lists = scratch.put(cands.select("node", "n", F.explode("prefix").alias("tok")).distinct())
 
@@ -289,7 +303,7 @@ def near_duplicates(
     labels = components(links, scratch) if links.take(1) else None
     for round_ in range(2):
         open_ = scratch.put(_with_components(lists, labels))
-        found = scratch.put(_similar(_best_leaders(open_, cands, round_, matches), sets, similar))
+        found = scratch.put(_similar(_best_leaders(open_, round_), sets, similar))
         links = links.union(found)
         labels = components(links, scratch)
         scratch.drop(open_)
