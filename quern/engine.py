@@ -36,7 +36,7 @@ SCHEMAS = {
 #: Tables that hold no values of their own.
 BESIDE = ("cuckoo", "expiry", "ts_meta", "ts_rule", "group", "pending")
 VALUES = tuple(k for k in SCHEMAS if k not in BESIDE)
-CUT = 20
+CUT = 8
 SLOW_US, SLOW_KEPT = 1000, 128
 KV, ITEM = "key string, value string, pos int", "key string, item string"
 
