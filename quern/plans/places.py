@@ -128,8 +128,8 @@ SELECT query, id, dist, row_number() OVER (PARTITION BY query ORDER BY dist, id
 )
 add("vec_dot", lambda s, d: _arith(s, d, v.dot), f"SELECT vec_id AS id, round({DOT.format(a='embedding', b='q')}, 6) AS x FROM embeddings, {Q} AS q")
 for name, f, op in (("addvec", v.add, "+"), ("subvec", v.subtract, "-")):
-    add(f"vec_{name}", lambda s, d, f=f: b.vectors(s, d).select("id", F.inline(F.transform(f(F.col("embedding"), F.array(*map(F.lit, _query(s, d)))), lambda x, i: F.struct(i.cast("long").alias("i"), F.round(x, 6).alias("x"))))), f"""
-SELECT vec_id AS id, unnest(range(64)) AS i, unnest(list_transform(list_zip(embedding::DOUBLE[], q::DOUBLE[]), lambda z: round(z[1] {op} z[2], 6))) AS x FROM embeddings, {Q} AS q""")
+    add(f"vec_{name}", lambda s, d, f=f: b.vectors(s, d).select("id", F.inline(F.transform(f(F.col("embedding"), F.array(*map(F.lit, _query(s, d)))), lambda x, i: F.struct(i.cast("long").alias("i"), (F.round(x, 6) + 0.0).alias("x"))))), f"""
+SELECT vec_id AS id, unnest(range(64)) AS i, unnest(list_transform(list_zip(embedding::DOUBLE[], q::DOUBLE[]), lambda z: round(z[1] {op} z[2], 6) + 0::DOUBLE)) AS x FROM embeddings, {Q} AS q""")
 add(
     "vec_embedadd_json",
     lambda s, d: embedders.embed(load(s, d, "events").select("event_id", F.concat(F.lit('{"vector":['), F.col("user_id").cast("string"), F.lit(",1.5]}")).alias("payload")), "json").select("event_id", F.col("embedding")[0].alias("a"), F.col("embedding")[1].alias("b")),
