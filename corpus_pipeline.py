@@ -64,5 +64,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         done = scratch.put(stage(spark, docs, sf_dir), f"stage{i}")
         if i:
             scratch.drop(docs)
+            scratch.release()
         docs = done
     return docs

@@ -71,15 +71,14 @@ class Scratch:
         self._held.discard(to)
 
     def drop(self, *tables: DataFrame | None) -> None:
-        """Delete tables that nothing reads any more, and let go of what was shuffled for them."""
+        """Delete tables that nothing reads any more."""
         for df in tables:
             to = getattr(df, "_quern_path", None)
             if to:
                 self._delete(to)
-        self.release()
 
     def release(self) -> None:
-        """Shuffle files are deleted when the driver collects what refers to them, so that it had better do so."""
+        """Shuffle files are deleted when the driver collects what refers to them; after a large step it had better do so."""
         self.spark._jvm.System.gc()
 
     def drop_all_but(self, *tables: DataFrame) -> None:
