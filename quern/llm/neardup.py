@@ -290,11 +290,14 @@ def near_duplicates(
     nodes = scratch.put(linkable.join(classes, ["h1", "h2"]).where("id = node").groupBy("h1", "h2", "node").agg(F.first("n").alias("n"), F.first("toks").alias("toks")))
     wide, signed = signed, scratch.put(signed.drop("toks"))
     scratch.drop(wide)
+    scratch.release()
     linkable = signed.where("id IS NOT NULL AND n > 0")
     near = scratch.put(_may_match(nodes, matches, coordinates))
     scratch.drop(nodes)
+    scratch.release()
     cands = scratch.put(_candidates(near, matches))
     scratch.drop(near)
+    scratch.release()
     sets = _sets(scratch, docs, cands, id_col, text_col, words)
     lists = scratch.put(cands.select("node", "n", F.explode("prefix").alias("tok")).distinct())
 
@@ -307,11 +310,13 @@ def near_duplicates(
         links = links.union(found)
         labels = components(links, scratch)
         scratch.drop(open_)
+        scratch.release()
     open_ = scratch.put(_with_components(lists, labels))
     links = links.union(scratch.put(_long_list_links(open_, sets, matches, similar, short_list, block)))
     links = links.union(scratch.put(_similar(_matched(_short_list_pairs(open_, short_list), sets, matches).select("u", "v"), sets, similar)))
     labels = components(links, scratch)
     scratch.drop(sets, open_)
+    scratch.release()
 
     of_class = scratch.put(classes.join(labels, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("class_component")))
     scratch.drop_all_but(signed, of_class)
