@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.batches import slices
-from quern.llm.graph import components
+from quern.llm.graph import Merged, components
 from quern.llm.shingles import Signer, sequence_values, shingle_sets
 from quern.llm.text import packed, unpacked
 from quern.shared import Scratch
@@ -218,24 +218,6 @@ class Postings:
         return found[enough], counts[enough]
 
 
-class _Merged:
-    """Components joined so far within one task."""
-
-    def __init__(self):
-        self.up: dict[int, int] = {}
-
-    def find(self, x: int) -> int:
-        while (y := self.up.get(x, x)) != x:
-            self.up[x] = self.up.get(y, y)
-            x = y
-        return x
-
-    def join(self, x: int, y: int) -> bool:
-        x, y = self.find(x), self.find(y)
-        self.up[max(x, y)] = min(x, y)
-        return x != y
-
-
 def _long_list_links(lists: DataFrame, sets: DataFrame, matches: int, similar: int, short_list: int, block: int) -> DataFrame:
     """Confirmed links between components within lists too long to join.
 
@@ -251,7 +233,7 @@ def _long_list_links(lists: DataFrame, sets: DataFrame, matches: int, similar: i
         outside = comp != here.column("main").to_numpy() if len(node) else np.zeros(0, bool)
         postings = Postings(*_flat(here.column("toks")))
         (begins, tokens), (bounds, values), (own_bounds, own_values) = _flat(guests.column("toks")), _flat(here.column("values")), _flat(guests.column("values"))
-        merged, found, sets_ = _Merged(), [], {}
+        merged, found, sets_ = Merged(), [], {}
 
         def full(y: int) -> frozenset:
             if y not in sets_:

@@ -12,6 +12,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -42,6 +43,18 @@ def ship(spark: SparkSession) -> None:
     sc._quern_shipped = True
 
 
+def trim(spark: SparkSession) -> str | None:
+    """Have the driver's allocator give freed native memory back to the system; None where its JVM has no command for that."""
+    jvm = spark._jvm
+    server = jvm.java.lang.Class.forName("javax.management.MBeanServer")  # the class of the server itself is closed to reflection
+    args = spark.sparkContext._gateway.new_array(jvm.Object, 4)
+    args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    try:
+        return next(m for m in server.getMethods() if m.getName() == "invoke").invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except Py4JJavaError:
+        return None
+
+
 class Scratch:
     """A folder of its own under the shared one, for the tables of one call of an operator."""
 
@@ -78,8 +91,12 @@ class Scratch:
                 self._delete(to)
 
     def release(self) -> None:
-        """Shuffle files are deleted when the driver collects what refers to them; after a large step it had better do so."""
+        """Shuffle files are deleted when the driver collects what refers to them; after a large step it had better do so.
+
+        Its threads also leave freed native memory with the allocator, which is then given back.
+        """
         self.spark._jvm.System.gc()
+        trim(self.spark)
 
     def drop_all_but(self, *tables: DataFrame) -> None:
         """Delete all tables but those that the result reads."""
