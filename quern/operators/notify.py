@@ -22,6 +22,12 @@ def publish(messages: DataFrame, subscriptions: DataFrame) -> DataFrame:
     return messages.join(subscriptions.select("channel", "client").distinct(), "channel").select("seq", "client", "channel", "payload")
 
 
+def delivered(messages: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """``client, channel, n_messages``: how many messages each subscriber gets. They are counted once a channel, before the join."""
+    n = messages.groupBy("channel").agg(F.count("*").alias("n_messages"))
+    return subscriptions.select("client", "channel").distinct().join(n, "channel").select("client", "channel", "n_messages")
+
+
 def receivers(messages: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """``seq, receivers``: what PUBLISH returns. Subscribers are counted once a channel, before the join."""
     n = subscriptions.select("channel", "client").distinct().groupBy("channel").agg(F.count("*").alias("_n"))
