@@ -12,9 +12,9 @@ one by one under a capacity, and tells which find no place.
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 
-import pandas as pd
-
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,44 +108,51 @@ def cf_fill(items: DataFrame, capacity: int = 1024, bucket_size: int = 4, kicks:
     An item goes into one of its two buckets, or takes the place of another,
     which moves to its own other bucket, up to ``kicks`` times; then the filter
     is full, the item is not added, and the last one moved is lost, as in the
-    original. With ``only_new`` items that seem to be there aren't added. Items
-    are placed with expressions; a key's filter, which its capacity bounds, is
-    filled by one task in order of ``seq``.
+    original. With ``only_new`` items that seem to be there aren't added, and a
+    null item never is. Items are placed with expressions; a key's filter, which
+    its capacity bounds, is filled by one task in order of ``seq``, batch by
+    batch as the rows come from the sort.
     """
     buckets = buckets_of(capacity, bucket_size)
     ship(items.sparkSession)
     placed = _placed(items, buckets).select("key", "item", "seq", "fp", "lo", "hi", F.col("_first").alias("first"))
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        rng, held, added = random.Random(seed), {}, []
-        pdf = pdf.sort_values("seq", kind="stable")
-        pair = {}
-        for fp, lo, hi, first in zip(pdf["fp"], pdf["lo"], pdf["hi"], pdf["first"], strict=True):
-            pair.setdefault(fp, lo ^ hi)  # the two buckets of a fingerprint differ by its own hash
-            second = lo if first == hi else hi
-            own, other = held.setdefault(first, []), held.setdefault(second, [])
-            if only_new and (fp in own or fp in other):
-                added.append(0)
-                continue
-            done = next((b for b in (own, other) if len(b) < bucket_size), None)
-            if done is not None:
-                done.append(fp)
-                added.append(1)
-                continue
-            i, f, ok = rng.choice((first, second)), fp, 0
-            for _ in range(kicks):
-                at = rng.randrange(bucket_size)
-                held[i][at], f = f, held[i][at]
-                i ^= pair[f]
-                if len(held.setdefault(i, [])) < bucket_size:
-                    held[i].append(f)
-                    ok = 1
-                    break
-            added.append(ok)
-        return pdf[["key", "item", "seq"]].assign(added=added)
+    in_order = placed.repartition("key").sortWithinPartitions("key", F.asc_nulls_last("seq"), "item")
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rng, held, pair = object(), None, {}, {}
+        for t in batches:
+            added = []
+            for key, fp, lo, hi, first in zip(*(t.column(c).to_pylist() for c in ("key", "fp", "lo", "hi", "first")), strict=True):
+                if key != now:
+                    now, rng, held, pair = key, random.Random(seed), {}, {}
+                if fp is None:
+                    added.append(0)
+                    continue
+                pair.setdefault(fp, lo ^ hi)  # the two buckets of a fingerprint differ by its own hash
+                second = lo if first == hi else hi
+                own, other = held.setdefault(first, []), held.setdefault(second, [])
+                if only_new and (fp in own or fp in other):
+                    added.append(0)
+                    continue
+                done = next((b for b in (own, other) if len(b) < bucket_size), None)
+                if done is not None:
+                    done.append(fp)
+                    added.append(1)
+                    continue
+                i, f, ok = rng.choice((first, second)), fp, 0
+                for _ in range(kicks):
+                    at = rng.randrange(bucket_size)
+                    held[i][at], f = f, held[i][at]
+                    i ^= pair[f]
+                    if len(held.setdefault(i, [])) < bucket_size:
+                        held[i].append(f)
+                        ok = 1
+                        break
+                added.append(ok)
+            yield pa.RecordBatch.from_arrays([t.column("key"), t.column("item"), t.column("seq"), pa.array(added, pa.int32())], ["key", "item", "seq", "added"])
 
     kinds = {c: items.schema[c].dataType.simpleString() for c in ("key", "item", "seq")}
-    return placed.groupBy("key").applyInPandas(fill, ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", added int")
+    return in_order.mapInArrow(fill, ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", added int")
 
 
 def cf_add(items: DataFrame, buckets: int = 256) -> DataFrame:

@@ -3,7 +3,7 @@
 import duckdb
 from pyspark.sql import functions as F
 
-from quern.operators import notify
+from quern.operators import notify, sketches
 from quern.plans import registry
 
 
@@ -37,3 +37,19 @@ def test_delivery_counts_messages_before_they_meet_subscribers(spark, sf):
 def test_insertnx_of_more_items_than_a_filter_of_that_capacity_holds(spark, tmp_path):
     e = spark.range(6000).select(F.col("id").alias("event_id"), (F.col("id") * 7 % 5000).alias("user_id"), F.lit("click").alias("event_type"))
     agrees(spark, written(spark, tmp_path, events=e), "cf_insertnx", "events")
+
+
+def test_filters_are_filled_batch_by_batch(spark):
+    items = spark.range(600).select(F.when(F.col("id") % 3 > 0, F.concat(F.lit("k"), F.col("id") % 3)).alias("key"), (F.col("id") * 11 % 150).cast("string").alias("item"), F.col("id").alias("seq"))
+    items = items.union(spark.createDataFrame([("k1", None, 600)], items.schema))
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        filled = sketches.cf_fill(items, 1024, only_new=True)
+        assert "FlatMapGroups" not in filled._jdf.queryExecution().optimizedPlan().toString()  # one that holds all rows of a key in Python
+        got = {(r.key, r.item, r.seq): r.added for r in filled.collect()}
+        full = sketches.cf_fill(items, 16, 4, 20).groupBy("key").agg(F.min("added").alias("least")).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert got.pop(("k1", None, 600)) == 0 and len(full) == 3 and {r.least for r in full} == {0}
+    assert got == {(r.key, r.item, r.seq): r.added for r in sketches.cf_addnx(items.where("item IS NOT NULL")).collect()}
