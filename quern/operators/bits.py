@@ -3,7 +3,8 @@
 Bit 0 is the first bit of the first byte. A bitmap's size grows with its set
 bits only; the packed form counts bits per 32,768-bit block. Fields of up to 62
 bits of one integer are expressions; ``bitfield`` runs any list of subcommands
-over fields of up to 64 bits of a byte string, in Arrow batches.
+over fields of up to 64 bits of a byte string, in Arrow batches, short strings
+by columns and long ones row by row.
 """
 
 from __future__ import annotations
@@ -11,11 +12,16 @@ from __future__ import annotations
 import re
 from decimal import Decimal
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ALL64 = (1 << 64) - 1
+#: Bytes of a string up to which a batch of them is worked on by columns.
+SHORT = 256
+REPLIES = pa.list_(pa.decimal128(20, 0))
 
 
 def setbit(writes: DataFrame) -> DataFrame:
@@ -140,6 +146,115 @@ def _run(data: bytes, ops: list[tuple]) -> tuple[bytes, list[int | None]]:
     return data, replies
 
 
+def _end(ops: list[tuple]) -> int:
+    """The bytes that the fields of some subcommands reach."""
+    return max((-(-sum(field_at(*args[:2])[:2]) // 8) for name, *args in ops if name != "OVERFLOW"), default=0)
+
+
+def _decimals(numbers: np.ndarray, signed: bool, known: np.ndarray) -> np.ndarray:
+    """Numbers of 64 bits as decimals, 16 bytes each, low half first."""
+    out = np.zeros((len(numbers), 2), np.uint64)
+    out[:, 0] = numbers
+    if signed:
+        out[:, 1] = np.where(numbers.view(np.int64) < 0, np.uint64(ALL64), np.uint64(0))
+    out[~known] = 0
+    return out
+
+
+def _changed(old: np.ndarray, arg: int, width: int, signed: bool, policy: str) -> tuple[np.ndarray, np.ndarray]:
+    """Fields after ``arg`` is added, and where that is allowed.
+
+    ``old`` and the result are 64-bit patterns. No sum is taken before it is known to fit: the room up to each bound is
+    compared with the number first.
+    """
+    lo, hi = (-(1 << (width - 1)), (1 << (width - 1)) - 1) if signed else (0, (1 << width) - 1)
+    kind = np.int64 if signed else np.uint64
+    value = old.view(kind)
+    if arg >= 0:
+        beyond, edge = (value > kind(hi - arg) if hi - arg >= lo else np.ones(len(old), bool)), hi
+    else:
+        beyond, edge = (value < kind(lo - arg) if lo - arg <= hi else np.ones(len(old), bool)), lo
+    total = old + np.uint64(arg & ALL64)  # modulo 2 ** 64
+    if policy == "SAT":
+        total = np.where(beyond, np.uint64(edge & ALL64), total)
+    elif policy == "WRAP" and width < 64:
+        total = total & np.uint64((1 << width) - 1)
+        if signed:
+            total = np.where(total >> np.uint64(width - 1) != 0, total | np.uint64(ALL64 ^ ((1 << width) - 1)), total)
+    return total, ~beyond if policy == "FAIL" else np.ones(len(old), bool)
+
+
+def _run_columns(data: np.ndarray, sizes: np.ndarray, ops: list[tuple]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """``_run`` for the rows of a matrix of bytes, zeros behind each row's size; changes both, and gives decimals and where they are known."""
+    policy, replies, there = "WRAP", [], []
+    every = np.ones(len(data), bool)
+    u = np.uint64
+    for name, *args in ops:
+        if name == "OVERFLOW":
+            policy = args[0]
+            continue
+        offset, width, signed = field_at(args[0], args[1])
+        first, last = offset // 8, (offset + width - 1) // 8
+        spare = (last + 1) * 8 - offset - width  # bits of the last byte behind the field
+        mask = u((1 << width) - 1)
+        raw = np.zeros(len(data), u)
+        for i in range(first, last + 1):
+            left = (last - i) * 8 - spare
+            byte = data[:, i].astype(u)
+            raw |= byte << u(left) if left >= 0 else byte >> u(-left)
+        raw &= mask
+        old = np.where(raw >> u(width - 1) != 0, raw | u(ALL64 ^ int(mask)), raw) if signed else raw
+        if name == "GET":
+            replies.append(_decimals(old, signed, every))
+            there.append(every)
+            continue
+        start = np.zeros(len(data), u) if name == "SET" else old
+        new, ok = _changed(start, args[2], width, signed, policy)
+        put = np.where(ok, new & mask, raw)
+        for i in range(first, last + 1):
+            left = (last - i) * 8 - spare
+            part, over = (put >> u(left), mask >> u(left)) if left >= 0 else (put << u(-left), mask << u(-left))
+            own = np.uint8(int(over) & 255)
+            data[:, i] = (data[:, i] & np.uint8(255 ^ int(own))) | (part & u(255)).astype(np.uint8) & own
+        np.maximum(sizes, np.where(ok, last + 1, 0), out=sizes)
+        replies.append(_decimals(old if name == "SET" else new, signed, ok))
+        there.append(ok)
+    return sizes, replies, there
+
+
+def _by_columns(values: pa.Array, ops: list[tuple]) -> pa.StructArray:
+    """``bitfield`` of short strings; nulls are empty."""
+    n = len(values)
+    values = values.cast(pa.binary()).fill_null(b"")
+    ends = np.frombuffer(values.buffers()[1], np.int32, n + 1, values.offset * 4).astype(np.int64)
+    sizes = np.diff(ends)
+    wide = max(int(sizes.max(initial=0)), _end(ops), 1)
+    data = np.zeros((n, wide), np.uint8)
+    if sizes.sum():
+        data[np.arange(wide) < sizes[:, None]] = np.frombuffer(values.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+    sizes, replies, there = _run_columns(data, sizes, ops)
+    at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    out = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(at), pa.py_buffer(data[np.arange(wide) < sizes[:, None]])])
+    k = len(replies)
+    numbers = np.ascontiguousarray(np.stack(replies, axis=1)) if k else np.zeros((0, 2), np.uint64)
+    known = np.packbits(np.stack(there, axis=1).ravel(), bitorder="little") if k else np.zeros(0, np.uint8)
+    flat = pa.Array.from_buffers(pa.decimal128(20, 0), n * k, [pa.py_buffer(known), pa.py_buffer(numbers)])
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * k), flat)
+    return pa.StructArray.from_arrays([out, lists], ["value", "replies"])
+
+
+def _by_rows(values: pa.Array, ops: list[tuple]) -> pa.StructArray:
+    done = [_run(v if v is not None else b"", ops) for v in values.to_pylist()]
+    replies = pa.array([[None if r is None else Decimal(r) for r in d[1]] for d in done], REPLIES)
+    return pa.StructArray.from_arrays([pa.array([d[0] for d in done], pa.binary()), replies], ["value", "replies"])
+
+
+def run_batch(values: pa.Array, ops: list[tuple]) -> pa.StructArray:
+    """``bitfield`` of a batch: by columns where each string, and what the fields reach, is short."""
+    longest = pa.compute.max(pa.compute.binary_length(values)).as_py() or 0
+    return _by_columns(values, ops) if max(longest, _end(ops)) <= SHORT else _by_rows(values, ops)
+
+
 def bitfield(value: Column, ops: list[tuple]) -> Column:
     """``value, replies`` of a byte string under subcommands in order; a null value is an empty string.
 
@@ -153,10 +268,9 @@ def bitfield(value: Column, ops: list[tuple]) -> Column:
         if name != "OVERFLOW":
             field_at(args[0], args[1])
 
-    @F.pandas_udf("value binary, replies array<decimal(20,0)>")
-    def run(values: pd.Series) -> pd.DataFrame:
-        done = [_run(bytes(v) if v is not None else b"", ops) for v in values]
-        return pd.DataFrame({"value": [d[0] for d in done], "replies": [[None if r is None else Decimal(r) for r in d[1]] for d in done]})
+    @F.arrow_udf("value binary, replies array<decimal(20,0)>")
+    def run(values: pa.Array) -> pa.Array:
+        return run_batch(values, ops)
 
     return run(value)
 
