@@ -10,6 +10,10 @@ RADIUS_M = 6372793.490855331
 UNITS = {"m": 1.0, "km": 1000.0, "mi": 1609.340383398085, "ft": 0.3048}
 METRES_A_DEGREE = 111320.0
 BASE32 = "0123456789bcdefghjkmnpqrstuvwxyz"
+#: Pairs of a centre and a place that a task compares, about.
+TASK_PAIRS = 4_000_000
+#: Places up to which they are broadcast to those tasks.
+BROADCAST_PLACES = 1_000_000
 
 
 def geoadd(writes: DataFrame) -> DataFrame:
@@ -90,6 +94,11 @@ def search_box(geo: DataFrame, lon: float, lat: float, width: float, height: flo
     return box.withColumn("dist", in_unit(distance_m(F.lit(float(lon)), F.lit(float(lat)), F.col("lon"), F.col("lat")), unit))
 
 
+def _on_unit_sphere(lon: str, lat: str) -> tuple[Column, Column, Column]:
+    a, b = F.radians(lon), F.radians(lat)
+    return F.cos(b) * F.cos(a), F.cos(b) * F.sin(a), F.sin(b)
+
+
 def search_around(geo: DataFrame, centres: DataFrame, radius: float, unit: str = "m") -> DataFrame:
     """``key, centre, member, dist`` for every centre of ``centres(key, centre, clon, clat)`` at once.
 
@@ -99,6 +108,13 @@ def search_around(geo: DataFrame, centres: DataFrame, radius: float, unit: str =
     cell and those beside it in its band and the two next to it, so work grows
     with what lies near. Around the poles a band is one cell. The exact distance
     follows.
+
+    Pairs grow with the square of what a cell holds, and tables too small to be
+    dealt out by their bytes have many. So they are counted by cell first: from
+    ``TASK_PAIRS`` on there is a task for each so many. Up to ``BROADCAST_PLACES``
+    go to all tasks and centres are dealt; of more, the centres of a cell with
+    over a quarter of a task's pairs are dealt into shares that each meet all
+    its places.
     """
     import math
 
@@ -120,8 +136,27 @@ def search_around(geo: DataFrame, centres: DataFrame, radius: float, unit: str =
     around = centres.withColumn("_band", F.explode(F.sequence(band_of("clat") - 1, band_of("clat") + 1)))
     beside = F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.pmod(cell(F.col("clon"), F.col("_band")) + k, n_cells(F.col("_band")))))
     around = around.withColumn("_cell", F.explode(beside))
+    places = places.withColumns(dict(zip(("_x", "_y", "_z"), _on_unit_sphere("lon", "lat"), strict=True)))
+    around = around.withColumns(dict(zip(("_cx", "_cy", "_cz"), _on_unit_sphere("clon", "clat"), strict=True)))
+    chord = sum(((F.col(f"_{c}") - F.col(f"_c{c}")) * (F.col(f"_{c}") - F.col(f"_c{c}")) for c in "xyz"), F.lit(0.0))  # squared; spares far pairs the angles
+
+    by = ["key", "_band", "_cell"]
+    pairs = places.groupBy(by).agg(F.count("*").alias("_a")).join(around.groupBy(by).agg(F.count("*").alias("_b")), by).withColumn("_pairs", F.col("_a").cast("double") * F.col("_b"))
+    total = pairs.agg(F.sum("_pairs")).first()[0] or 0.0
+    if total > TASK_PAIRS:
+        tasks = math.ceil(total / TASK_PAIRS)
+        if places.count() <= BROADCAST_PLACES:
+            places, around = F.broadcast(places), around.repartition(tasks, "centre", *by)
+        else:
+            shares = pairs.select(*by, F.least(F.ceil(F.col("_pairs") / TASK_PAIRS * 4), F.col("_b")).cast("int").alias("_shares"))
+            places = places.join(shares, by).withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1))).drop("_shares")
+            around = around.join(shares, by).withColumn("_share", F.pmod(F.xxhash64("centre"), F.col("_shares")).cast("int")).drop("_shares")
+            at = F.struct(*by, "_share").alias("_at")
+            places = places.select(at, "member", "lon", "lat", "_x", "_y", "_z").repartition(tasks, "_at")
+            around = around.select(at, "key", "centre", "clon", "clat", "_cx", "_cy", "_cz").repartition(tasks, "_at")
+            by = ["_at"]
     d = distance_m(F.col("clon"), F.col("clat"), F.col("lon"), F.col("lat"))
-    near = places.join(around, ["key", "_band", "_cell"]).withColumn("_m", d).where(F.col("_m") <= metres)
+    near = places.join(around, by).where(chord <= (2 * math.sin(angle / 2)) ** 2 + 1e-9).withColumn("_m", d).where(F.col("_m") <= metres)
     return near.select("key", "centre", "member", in_unit(F.col("_m"), unit).alias("dist"))
 
 

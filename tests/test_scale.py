@@ -6,7 +6,7 @@ import duckdb
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quern.operators import bits, notify, sketches
+from quern.operators import bits, geo, notify, sketches
 from quern.plans import registry
 
 
@@ -71,3 +71,15 @@ def test_bit_fields_by_columns_are_those_row_by_row():
     start = time.process_time()
     bits.run_batch(packed, [("INCRBY", "u8", "#7", 200), ("OVERFLOW", "SAT"), ("INCRBY", "u8", 48, 230), ("SET", "i64", 0, -1), ("GET", "u64", "#0")])
     assert time.process_time() - start < 0.5  # seconds if it is done row by row
+
+
+def test_places_of_a_full_cell_are_dealt_over_tasks(spark, monkeypatch):
+    places = spark.range(300).select(F.lit("g").alias("key"), F.col("id").cast("string").alias("member"), (F.col("id") % 20 / 10).alias("lon"), (F.col("id") / 20 / 10).alias("lat"))
+    want = sorted(geo.members_around(places, 60.0, "km").select("centre", "member").collect())
+    monkeypatch.setattr(geo, "TASK_PAIRS", 5_000)
+    near = geo.members_around(places, 60.0, "km")
+    assert sorted(near.select("centre", "member").collect()) == want
+    rows = [r[1] for r in near.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(rows) > 4 and max(rows) < len(want) / 3
+    monkeypatch.setattr(geo, "BROADCAST_PLACES", 0)
+    assert sorted(geo.members_around(places, 60.0, "km").select("centre", "member").collect()) == want
